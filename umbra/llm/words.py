@@ -16,8 +16,8 @@ import pyarrow as pa
 
 CHUNK = 2 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Words [^\x20\x09-\x0D]+
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
@@ -77,6 +77,17 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def span_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each span data[starts[i] : starts[i] + lengths[i]]; bytes between spans aren't inside."""
+    n, begin = len(data), int(starts[0])
+    power = powers(int(lengths.max()) + 1)
+    place = np.arange(begin, n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    np.minimum(place, len(power) - 1, out=place)
+    codes = _CODES[data[begin:]] * power[place]
+    codes[~inside[begin:]] = 0
+    return mix(np.add.reduceat(codes, starts - begin) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def tokenize(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, lower: bool = True, first: int = 0) -> Words:
     """The words of the texts raw[offsets[t]:offsets[t + 1]]; word is SPACED or ALNUM."""
     low = offsets[0]
@@ -84,7 +95,7 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, lower: bool
     n = int(offsets[-1])
     data = raw[low : low + n]
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(data, offsets, none, none, np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), first)
@@ -100,14 +111,7 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, lower: bool
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
         return Words(data, offsets, starts, ends, np.zeros(0, dtype=np.uint64), bounds, first)
-    lengths = ends - starts
-    power = powers(int(lengths.max()) + 1)
-    begin = int(starts[0])
-    place = np.arange(begin, n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    np.minimum(place, len(power) - 1, out=place)
-    codes = _CODES[data[begin:]] * power[place]
-    codes[~inside[begin:]] = 0
-    hashes = mix(np.add.reduceat(codes, starts - begin) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    hashes = span_hashes(data, inside, starts, ends - starts)
     return Words(data, offsets, starts, ends, hashes, bounds, first)
 
 

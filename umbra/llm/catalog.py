@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from umbra.llm.licenses import scan_licenses
+from umbra.llm.near_dups import near_duplicates
 from umbra.llm.packing import pack
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.tables import read
@@ -38,3 +39,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from umbra.llm.language_model import score_texts
 from umbra.llm.licenses import scan_licenses
 from umbra.llm.near_dups import near_duplicates
 from umbra.llm.packing import pack
@@ -44,3 +45,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from umbra.llm.language_model import score_texts
 from umbra.llm.licenses import scan_licenses
 from umbra.llm.near_dups import near_duplicates
 from umbra.llm.packing import pack
+from umbra.llm.quality_model import quality
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.tables import read
 from umbra.llm.winnowing import contamination
@@ -50,3 +51,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

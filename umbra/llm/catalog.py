@@ -12,6 +12,7 @@ from umbra.llm.packing import pack
 from umbra.llm.quality_model import quality
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.tables import read
+from umbra.llm.toxicity import toxicity
 from umbra.llm.winnowing import contamination
 
 QUERIES: dict = {}
@@ -56,3 +57,8 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from umbra.llm.html_text import main_text
 from umbra.llm.language_model import score_texts
 from umbra.llm.licenses import scan_licenses
 from umbra.llm.near_dups import near_duplicates
@@ -62,3 +63,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))

@@ -2,5 +2,432 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.audit import compare, memo, sumtree
+from umbra.functions import encoding, ring64
+from umbra.functions.prf import bernoulli
+from umbra.operators import attribution as attr
+from umbra.operators import discovery, dummies, match, noise, permute, private_join, shares, sketch
+from umbra.operators.party import PartySpec, duplicate_ids
+from umbra.plans import inputs
+from umbra.plans.inputs import IDS, RECEIVER_SQL, SENDER_SQL, TOUCH_SQL, table
+from umbra.session import shared_folder
+from umbra.sources import csv_tables, generators
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+DAYS3 = 3 * 86400.0
+S_SPEC, R_SPEC = PartySpec(tuple(IDS), ("s_cents",)), PartySpec(tuple(IDS), ("r_nation",))
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def prf_sql(*parts: str) -> str:
+    """DuckDB text of prf60; parts are SQL expressions."""
+    return "('0x' || substr(sha256(concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 15))::BIGINT"
+
+
+# --- set matching
+
+X_IDS, Y_IDS = "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 7 = 0"
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+
+
+def _y(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"))
+
+
+@query(f"SELECT id FROM ({X_IDS}) INTERSECT SELECT id FROM ({Y_IDS})")
+def psi_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.psi(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS cardinality FROM (SELECT id FROM ({X_IDS}) INTERSECT SELECT id FROM ({Y_IDS}))")
+def psi_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.psi_cardinality(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS cardinality, coalesce(sum(id), 0)::BIGINT AS total FROM (SELECT id FROM ({X_IDS}) INTERSECT SELECT id FROM ({Y_IDS}))")
+def psi_sum_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.psi_sum_int(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+@query(
+    "SELECT count(*) AS cardinality, coalesce(sum(value), 0)::BIGINT AS total FROM (SELECT l_orderkey AS id, CAST(l_quantity AS BIGINT) AS value FROM lineitem"
+    " INTERSECT SELECT l_partkey AS id, CAST(l_quantity AS BIGINT) AS value FROM lineitem)"
+)
+def psi_sum_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return match.psi_sum(lines.selectExpr("l_orderkey AS id", "CAST(l_quantity AS BIGINT) AS value"), lines.selectExpr("l_partkey AS id", "CAST(l_quantity AS BIGINT) AS value"))
+
+
+@query(f"SELECT id FROM ({X_IDS}) EXCEPT SELECT id FROM ({Y_IDS})")
+def set_difference_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.set_difference(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+MATCH_SQL = f"""WITH s AS ({SENDER_SQL}), r AS ({RECEIVER_SQL}),
+m0 AS (SELECT s.row_id AS s_row, r.row_id AS r_row, 0 AS match_round FROM s JOIN r ON s.id_0 = r.id_0),
+m1 AS (SELECT s.row_id AS s_row, r.row_id AS r_row, 1 AS match_round FROM s JOIN r ON s.id_1 = r.id_1
+  WHERE s.row_id NOT IN (SELECT s_row FROM m0) AND r.row_id NOT IN (SELECT r_row FROM m0)),
+m2 AS (SELECT s.row_id AS s_row, r.row_id AS r_row, 2 AS match_round FROM s JOIN r ON s.id_2 = r.id_2
+  WHERE s.row_id NOT IN (SELECT s_row FROM m0 UNION ALL SELECT s_row FROM m1) AND r.row_id NOT IN (SELECT r_row FROM m0 UNION ALL SELECT r_row FROM m1)),
+m AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+f AS (SELECT m.*, s.s_cents, r.r_nation FROM m JOIN s ON m.s_row = s.row_id JOIN r ON m.r_row = r.row_id)
+"""
+
+
+def _parties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return inputs.sender(spark, sf_dir), inputs.receiver(spark, sf_dir)
+
+
+@query(MATCH_SQL + "SELECT s_row, r_row, match_round FROM m")
+def waterfall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.waterfall_match(*_parties(spark, sf_dir), IDS)
+
+
+@query(MATCH_SQL + "SELECT match_round, count(*) AS n FROM m GROUP BY 1")
+def waterfall_round_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.waterfall_match(*_parties(spark, sf_dir), IDS).groupBy("match_round").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, r = _parties(spark, sf_dir)
+    return match.intersection_features(match.waterfall_match(s, r, IDS), s, r, S_SPEC, R_SPEC)
+
+
+@query(MATCH_SQL + "SELECT sum(s_cents)::BIGINT AS s_total, sum(r_nation)::BIGINT AS r_total, count(*) AS n FROM f")
+def waterfall_features_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).agg(F.sum("s_cents").alias("s_total"), F.sum("r_nation").alias("r_total"), F.count(F.lit(1)).alias("n"))
+
+
+@query(MATCH_SQL + "SELECT s_row, r_row, match_round, s_cents, r_nation FROM f")
+def intersection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir)
+
+
+@query("SELECT 'c_name' AS id_column, c_mktsegment AS id, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 1")
+def duplicate_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS row_id", "c_mktsegment AS c_name")
+    return duplicate_ids(rows, PartySpec(("c_name",)))
+
+
+# --- dummies
+
+TAU = 64
+
+
+def _with_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = {"tau": TAU, "seed": "umbra"}
+    return private_join.private_join(*_parties(spark, sf_dir), S_SPEC, R_SPEC, config, config | {"zero_column": 0})
+
+
+_picks = " UNION ALL ".join(
+    f"SELECT {i} AS c, '{side}' AS side, range AS pick, row_number() OVER (ORDER BY {prf_sql(repr('umbra'), repr('pick'), repr(side), str(i), 'range')}, range) AS n FROM range({2 * TAU})" for i in range(3) for side in "sr"
+)
+_DUMMY_SQL = f"picks AS (SELECT * FROM ({_picks}) WHERE n <= {TAU}), both_sides AS (SELECT c, pick FROM picks GROUP BY c, pick HAVING count(*) = 2)"
+
+
+@query(MATCH_SQL.rstrip() + f", {_DUMMY_SQL} SELECT (SELECT count(*) FROM m) + (SELECT count(*) FROM both_sides) AS n, (SELECT sum(r_nation)::BIGINT FROM f) AS r_total")
+def join_with_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receiver's sum is the one without dummies, as its dummies are zero."""
+    return _with_dummies(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum("r_nation").alias("r_total"))
+
+
+@query(MATCH_SQL + "SELECT sum(r_nation)::BIGINT AS total FROM f")
+def join_shares_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_join.sum_check(private_join.joined_shares(_with_dummies(spark, sf_dir), ["s_cents", "r_nation"], "umbra"), "r_nation")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {n}::BIGINT, {q}, {e}, {t})" for k, n, q, e, t in dummies.tau_rows()) + ") AS t(ids, n_rows, queries, epsilon, tau)")
+def tau_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dummies.tau_table(spark)
+
+
+# --- attribution
+
+_TOUCH = f"WITH {TOUCH_SQL} "
+
+
+def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.impressions(spark, sf_dir).join(inputs.conversions(spark, sf_dir), "user_id")
+
+
+@query(_TOUCH + f"SELECT coalesce(sum(value) FILTER (t1 - t0 > 0 AND t1 - t0 < {DAYS3}), 0) AS attributed, count(*) FILTER (t1 - t0 > 0 AND t1 - t0 < {DAYS3}) AS n_attributed FROM j")
+def attribution_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = attr.attribution(_touches(spark, sf_dir), DAYS3)
+    return out.select(F.round("attributed", 6).alias("attributed"), "n_attributed")
+
+
+ORACLE["attribution_sum"] = ORACLE["attribution_sum"].replace("coalesce(sum", "round(coalesce(sum", 1).replace(", 0) AS attributed", ", 0), 6) AS attributed", 1)
+
+
+@query(_TOUCH + f"SELECT user_id, round(t1 - t0, 6) AS dt, value FROM j WHERE t1 - t0 > 0 AND t1 - t0 < {DAYS3}")
+def attribution_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _touches(spark, sf_dir).where(attr.window_predicate(F.col("t0"), F.col("t1"), DAYS3))
+    return j.select("user_id", F.round(F.col("t1") - F.col("t0"), 6).alias("dt"), "value")
+
+
+_FIXED = (
+    f"SELECT coalesce(sum(trunc(value * 65536)::BIGINT) FILTER (trunc(t1 * 65536)::BIGINT - trunc(t0 * 65536)::BIGINT > 0"
+    f" AND trunc(t1 * 65536)::BIGINT - trunc(t0 * 65536)::BIGINT < {int(DAYS3 * 65536)}), 0)::DOUBLE / 65536 AS attributed FROM j"
+)
+
+
+@query(_TOUCH + _FIXED)
+def attribution_fixed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attr.attribution_fixed(_touches(spark, sf_dir), DAYS3)
+
+
+@query(_TOUCH + _FIXED)
+def attribution_shared_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attr.attribution_shared(_touches(spark, sf_dir).withColumnRenamed("user_id", "row_no"), DAYS3, "umbra")
+
+
+@query(_TOUCH + f"SELECT round(coalesce(sum(value) FILTER (t1 - t0 > 0 AND t1 - t0 < {DAYS3}), 0), 6) AS attributed, count(*) FILTER (t1 - t0 > 0 AND t1 - t0 < {DAYS3}) AS n_attributed FROM j")
+def measurement_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match through ids and all: impressions and conversions as party tables."""
+    ids = ["CAST(user_id AS STRING) AS id_0", "concat('x', user_id) AS id_1"]
+    s = inputs.impressions(spark, sf_dir).selectExpr("user_id AS row_id", *ids, "t0")
+    r = inputs.conversions(spark, sf_dir).selectExpr("user_id AS row_id", *ids, "t1", "value")
+    return attr.measurement(s, r, ["id_0", "id_1"], DAYS3).select(F.round("attributed", 6).alias("attributed"), "n_attributed")
+
+
+# --- shares
+
+
+def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS row_no", "CAST(round(c_acctbal * 100) AS BIGINT) AS cents", "CAST(c_nationkey AS BIGINT) * 20000 AS other")
+
+
+_CENTS = "WITH c AS (SELECT c_custkey AS row_no, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(c_nationkey AS BIGINT) * 20000 AS other FROM customer) "
+
+
+@query(_CENTS + "SELECT row_no, cents, other FROM c")
+def share_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares.reveal(shares.share(_cents(spark, sf_dir), ["cents", "other"], "umbra"), ["cents", "other"])
+
+
+@query(_CENTS + "SELECT sum(cents)::BIGINT AS cents, sum(other)::BIGINT AS other FROM c")
+def share_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = shares.column_sum(shares.share(_cents(spark, sf_dir), ["cents", "other"], "umbra"), ["cents", "other"])
+    return sums.agg(*[ring64.signed(ring64.total(F.col(f"s_{c}"))).alias(c) for c in ("cents", "other")])
+
+
+@query(_CENTS + "SELECT row_no, CAST(cents > other AS INTEGER) AS gt, CAST(cents < other AS INTEGER) AS lt, CAST(cents < 0 AS INTEGER) AS sign, CASE WHEN cents > other THEN cents ELSE 0 END AS chosen FROM c")
+def compare_and_mux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, lt = shares.greater(F.col("cents"), F.col("other")), shares.less(F.col("cents"), F.col("other"))
+    return _cents(spark, sf_dir).select("row_no", gt.alias("gt"), lt.alias("lt"), shares.sign_bit(F.col("cents")).alias("sign"), shares.mux(gt, F.col("cents")).alias("chosen"))
+
+
+@query(_CENTS + "SELECT row_no, cents & other AS anded, cents + other AS added FROM c")
+def beaver_and_adder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cents(spark, sf_dir)
+    z = shares.beaver_and(shares.xor_share(F.col("cents"), "x", F.col("row_no")), shares.xor_share(F.col("other"), "y", F.col("row_no")), "t", F.col("row_no"))
+    return shares.prefix_add(rows, "cents", "other", "added").select("row_no", z[0].bitwiseXOR(z[1]).alias("anded"), "added")
+
+
+@query(_CENTS + "SELECT row_no, (cents::HUGEINT - other::HUGEINT)::BIGINT AS difference, (-cents)::BIGINT AS negated, (cents::HUGEINT * 0 + 18446744073709551616 + other - 18446744073709551616)::BIGINT AS wrapped FROM c")
+def ring_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = F.col("cents"), F.col("other")
+    return _cents(spark, sf_dir).select("row_no", ring64.signed(ring64.sub(c, o)).alias("difference"), ring64.signed(ring64.neg(c)).alias("negated"), ring64.signed(ring64.add(o, F.lit(str(1 << 64)).cast("decimal(38,0)"))).alias("wrapped"))
+
+
+# --- noise, permutations
+
+TRIALS = noise.binomial_trials(1.0, 1e-5)
+_words = [f"bit_count({prf_sql(repr('umbra'), 'c_custkey', str(w))}{'' if (w + 1) * 60 <= TRIALS else f' & {(1 << (TRIALS % 60)) - 1}'})" for w in range(-(-TRIALS // 60))]
+
+
+@query(f"SELECT c_custkey AS id, ({' + '.join(_words)})::DOUBLE - {TRIALS / 2} AS noise FROM customer")
+def binomial_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), noise.binomial_noise(TRIALS, "umbra", F.col("c_custkey")).alias("noise"))
+
+
+_U = f"({prf_sql(repr('umbra'), repr('laplace'), 'c_custkey')}::DOUBLE / {1 << 60} - 0.5)"
+
+
+@query(f"SELECT c_custkey AS id, round(0.0 - 2.0 * sign({_U}) * ln(greatest(1 - 2 * abs({_U}), {2.0**-60})), 9) AS noise FROM customer")
+def laplace_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(noise.laplace_noise(2.0, "umbra", "laplace", F.col("c_custkey")), 9).alias("noise"))
+
+
+def _noisy_segments(key: str) -> str:
+    words = " + ".join(f"bit_count({prf_sql(repr('segments'), key, str(w))}{'' if (w + 1) * 60 <= TRIALS else f' & {(1 << (TRIALS % 60)) - 1}'})" for w in range(-(-TRIALS // 60)))
+    return f"({words})::DOUBLE - {TRIALS / 2}"
+
+
+@query(f"SELECT c_mktsegment AS segment, count(*) + {_noisy_segments('c_mktsegment')} AS noisy FROM customer GROUP BY c_mktsegment")
+def noisy_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("segment", (F.col("n") + noise.binomial_noise(TRIALS, "segments", F.col("segment"))).alias("noisy"))
+
+
+@query(f"SELECT c_custkey AS id, row_number() OVER (ORDER BY {prf_sql(repr('umbra'), 'c_custkey')}, c_custkey) - 1 AS target FROM customer")
+def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_no"))
+    return permute.generate_permutation(rows, "umbra").select(F.col("row_no").alias("id"), "target")
+
+
+@query("SELECT c_custkey - min(c_custkey) OVER () AS row_no, c_name AS name FROM customer")
+def permute_unpermute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    least = rows.agg(F.min("c_custkey")).first()[0]
+    rows = rows.select((F.col("c_custkey") - F.lit(least)).alias("row_no"), F.col("c_name").alias("name"))
+    p = permute.generate_permutation(rows, "umbra")
+    return permute.unpermute(permute.permute(rows, p), p).select("row_no", "name")
+
+
+@query(f"SELECT c_custkey AS id, CAST(floor({prf_sql(repr('umbra'), 'c_custkey')}::DOUBLE / {1 << 60} * 1000000) < 0.3 * 1000000 AS INTEGER) AS bit FROM customer")
+def bernoulli_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), bernoulli(0.3, "umbra", F.col("c_custkey")).alias("bit"))
+
+
+# --- sketch and discovery
+
+PARAMS = sketch.SketchParams(k=16, m=64, s=4, p=0.5)
+
+
+def _fold(m: int) -> str:
+    acc = "0::BIGINT"
+    for k in range(16):
+        acc = f"(({acc}) * 65536 + ('0x' || substr(d, {4 * k + 1}, 4))::BIGINT) % {m}"
+    return acc
+
+
+@query(f"SELECT id, {_fold(1000)} AS h FROM (SELECT c_custkey AS id, sha256(c_name || '$$$' || CAST(c_custkey % 7 AS VARCHAR)) AS d FROM customer)")
+def hash_encode_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), encoding.hash_encode(F.col("c_name"), F.col("c_custkey") % 7, 1000).alias("h"))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_mktsegment").alias("message"))
+
+
+_REPORTS = f"""WITH r0 AS (SELECT c_custkey AS client_id, c_mktsegment AS message, {prf_sql("'umbra'", "'j'", "c_custkey")} % {PARAMS.k} AS j,
+  CAST(floor({prf_sql("'umbra'", "'hit'", "c_custkey")}::DOUBLE / {1 << 60} * 1000000) < {PARAMS.p} * 1000000 AS INTEGER) AS hit FROM customer WHERE c_mktsegment IS NOT NULL),
+r1 AS (SELECT client_id, j, hit, {_fold(PARAMS.m)} AS r FROM (SELECT *, sha256(message || '$$$' || CAST(j AS VARCHAR)) AS d FROM r0)),
+fill AS (SELECT client_id, j, hit, c AS pos, row_number() OVER (PARTITION BY client_id ORDER BY {prf_sql("'umbra'", "'fill'", "client_id", "c")}, c) AS n
+  FROM (SELECT r1.*, t.range AS c FROM r1, range({PARAMS.m}) t WHERE t.range <> r)),
+x AS (SELECT client_id, j, r AS pos FROM r1 WHERE hit = 1 UNION ALL SELECT client_id, j, pos FROM fill WHERE n <= {PARAMS.s} - hit),
+cells AS (SELECT j, pos, count(*) AS cnt FROM x GROUP BY 1, 2)
+"""
+
+
+@query(_REPORTS + "SELECT CAST(j AS INTEGER) AS j, CAST(pos AS INTEGER) AS pos, cnt FROM cells")
+def sketch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.build(sketch.privatize(_messages(spark, sf_dir), PARAMS, "umbra"))
+
+
+_q = PARAMS.q
+_EST = f"round((c - {PARAMS.p} * n / {PARAMS.m} - {_q!r} * n * (1 - 1.0::DOUBLE / {PARAMS.m})) / (({PARAMS.p} - {_q!r}) * (1 - 1.0::DOUBLE / {PARAMS.m})), 6)"
+
+
+@query(
+    _REPORTS
+    + f", cand AS (SELECT message, j, {_fold(PARAMS.m)} AS pos FROM (SELECT message, t.range AS j, sha256(message || '$$$' || CAST(t.range AS VARCHAR)) AS d FROM (SELECT DISTINCT c_mktsegment AS message FROM customer), range({PARAMS.k}) t))"
+    + f" SELECT message, {_EST} AS est FROM (SELECT message, coalesce(sum(cnt), 0)::DOUBLE AS c, (SELECT count(*) FROM r0)::DOUBLE AS n FROM cand LEFT JOIN cells USING (j, pos) GROUP BY message)"
+)
+def sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    built = sketch.build(sketch.privatize(messages, PARAMS, "umbra"))
+    n = messages.where("message IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
+    return sketch.estimate(built, n, messages.select("message").distinct(), PARAMS).select("message", F.round("est", 6).alias("est"))
+
+
+EPSILON, DELTA = 0.1, 1e-5
+_T, _B = noise.stability_parameters(EPSILON, DELTA)
+_LAP = f"({prf_sql(repr('umbra'), repr('release'), 'upper(sha256(w))')}::DOUBLE / {1 << 60} - 0.5)"
+_WORDS = "SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"SELECT w AS message FROM (SELECT w, count(*) AS n FROM ({_WORDS}) WHERE w <> '' GROUP BY w) WHERE n + (0.0 - {_B!r} * sign({_LAP}) * ln(greatest(1 - 2 * abs({_LAP}), {2.0**-60}))) >= {_T!r}")
+def discover_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("client_id"), F.explode(F.split("text", "\\s+")).alias("message")).where("message <> ''")
+    return discovery.discover(words, EPSILON, DELTA, "umbra")
+
+
+@query("SELECT upper(sha256(c_mktsegment)) AS digest, count(*) AS cnt FROM customer GROUP BY c_mktsegment")
+def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.digest_group(discovery.enclose(_messages(spark, sf_dir), "0123456789abcdef"), "umbra").select(F.hex("digest").alias("digest"), "cnt")
+
+
+# --- encodings
+
+
+@query(
+    "SELECT c_custkey AS id, trunc(c_acctbal * 65536)::BIGINT AS fixed, trunc(c_acctbal * 65536)::BIGINT / 65536.0::DOUBLE AS back, upper(sha256(c_name)) AS digest, upper(hex(c_name)) AS hexed,"
+    " printf('%06X%06X', c_custkey, c_nationkey::BIGINT) AS packed FROM customer"
+)
+def scalar_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = encoding.fixed_encode(F.col("c_acctbal"))
+    packed = encoding.serialize_ints(F.array(F.col("c_custkey"), F.col("c_nationkey").cast("bigint")), 3)
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        fixed.alias("fixed"),
+        encoding.fixed_decode(fixed).alias("back"),
+        F.hex(encoding.sha256_digest(F.col("c_name"))).alias("digest"),
+        encoding.hex_encode(F.col("c_name")).alias("hexed"),
+        F.hex(packed).alias("packed"),
+    )
+
+
+# --- sources
+
+
+@query(
+    "WITH p AS (SELECT range AS r, CASE WHEN range < 850 THEN 0 WHEN range < 950 THEN 1 ELSE 2 END AS c FROM range(1000)) SELECT CAST(c AS INTEGER) AS match_round, count(*) AS n FROM p GROUP BY 1"
+)
+def generated_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, r = generators.bench_parties(spark, 1000)
+    return match.waterfall_match(s, r, IDS).groupBy("match_round").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT id_0, id_1, id_2, r_nation FROM ({RECEIVER_SQL})")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Party tables through a keyed CSV in the shared folder and back."""
+    folder = shared_folder(spark) + "/keyed-csv"
+    csv_tables.sink_keyed_csv(inputs.receiver(spark, sf_dir).select(*IDS, "r_nation"), folder, header=True, mode="overwrite")
+    return csv_tables.scan_keyed_csv(spark, folder, IDS, ["r_nation"], header=True).select(*IDS, F.col("r_nation").cast("bigint").alias("r_nation"))
+
+
+# --- audits
+
+SET_X, SET_Y = list(range(20)), list(range(10, 30))
+
+
+@query("SELECT CAST(n AS INTEGER) AS n, CAST(c AS INTEGER) AS c, CAST(calls AS INTEGER) AS calls FROM (VALUES " + ", ".join(f"(12, {c}, {k})" for c, k in enumerate([0, 4, 6, 8, 9, 10, 11, 10, 9, 8, 6, 4, 0])) + ") AS t(n, c, calls)")
+def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memo.calls_table(spark, 12).where("n = 12")
+
+
+@query()
+def audit_memo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memo.memo_table(spark, 12)
+
+
+@query()
+def audit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.leakage_curve(spark, SET_X, SET_Y, [0, 1, 2, 3, 4, 8, 16], 20)
+
+
+@query("WITH s AS (SELECT range AS v FROM range(1, 13)) SELECT a.v AS x, b.v AS y, c.v AS z FROM s a, s b, s c WHERE a.v < b.v AND b.v < c.v AND a.v + b.v + c.v = 18")
+def n_sum_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sumtree.n_sum(range(1, 13), 18, 3)
+    return spark.createDataFrame([tuple(map(int, r)) for r in found], "x bigint, y bigint, z bigint")
+

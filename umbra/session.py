@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="umbra-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder, for tables that a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -37,7 +37,7 @@ EMBED = 4
 WORD_BITS = 18
 CHAR_BITS = 20
 GRAMS = (3, 5)
-PER_CLASS = 1500
+PER_CLASS = 1200
 ROUNDS = 4
 LEAST_STEPS = 300
 THRESHOLD = 0.5
@@ -216,12 +216,47 @@ def window_index(v: Vocabulary, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.where(inside, v.index[np.minimum(at, len(v.index) - 1)], -1) if len(v.index) else np.full(at.shape, -1)
 
 
-def log_odds(slots: np.ndarray, texts: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Of each slot: the log odds that a text with it is toxic against those of any text, less their error; (slot, text) pairs may repeat."""
-    pair = np.unique(texts.astype(np.int64) * size + slots)
-    slot, label = pair % size, y[pair // size]
-    bad = np.bincount(slot, weights=label, minlength=size)
-    good = np.bincount(slot, weights=1 - label, minlength=size)
+def learn_words(net: Network, sample: list[tuple[str, int]], y: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+    """The sample's vocabulary and text borders; sets the tables' first parts to log odds. A chunk of texts at a time."""
+    sizes = {"word": 1 << WORD_BITS, "char": 1 << CHAR_BITS}
+    bad, good = ({k: np.zeros(n) for k, n in sizes.items()} for _ in range(2))
+    hashes, ends, parts, seen = [], [np.zeros(1, dtype=np.int64)], [], np.zeros(0, dtype=np.uint64)
+    for w in words(pa.array([t for t, _ in sample]), ALNUM, size=1 << 20):
+        own = Vocabulary(w)
+        text = w.text_of_words()
+        # of each text its distinct words, then their n-grams
+        pair = np.unique(text * len(own.words) + own.index)
+        text, number = pair // len(own.words), pair % len(own.words)
+        grams_ = np.diff(own.borders)[number]
+        at = np.repeat(own.borders[:-1][number] - (np.cumsum(grams_) - grams_), grams_) + np.arange(grams_.sum())
+        for k, slots, texts in (("word", own.words[number], text), ("char", own.chars[at], np.repeat(text, grams_))):
+            once = np.unique(texts * sizes[k] + slots)
+            label = y[w.first + once // sizes[k]]
+            bad[k] += np.bincount(once % sizes[k], weights=label, minlength=sizes[k])
+            good[k] += np.bincount(once % sizes[k], weights=1 - label, minlength=sizes[k])
+        keys = np.unique(w.hashes)
+        new = ~np.isin(keys, seen)
+        seen = np.union1d(seen, keys)
+        parts.append((keys[new], own, np.flatnonzero(new)))
+        hashes.append(w.hashes)
+        ends.append(ends[-1][-1] + w.bounds[1:])
+    for k in sizes:
+        net.p[k][:, 0] = log_odds(bad[k], good[k], y)
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys)
+    v = Vocabulary.__new__(Vocabulary)
+    v.words = np.concatenate([own.words[n] for _, own, n in parts])[order]
+    v.lengths = np.concatenate([own.lengths[n] for _, own, n in parts])[order]
+    grams_ = [own.chars[own.borders[i] : own.borders[i + 1]] for _, own, n in parts for i in n]
+    grams_ = [grams_[i] for i in order]
+    v.borders = np.concatenate([[0], np.cumsum([len(g) for g in grams_], dtype=np.int64)])
+    v.chars = np.concatenate(grams_) if grams_ else np.zeros(0, np.int64)
+    v.index = np.searchsorted(keys[order], np.concatenate(hashes)).astype(np.int32)
+    return v, np.concatenate(ends)
+
+
+def log_odds(bad: np.ndarray, good: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each slot, by the toxic and clean texts that have it: the log odds that a text with it is toxic, less their error."""
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))
     error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     return np.clip(odds - CAUTION * error, 0, 4).astype(np.float32)
@@ -249,18 +284,9 @@ def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01,
     if len(set(y.tolist())) < 2:
         net.constant = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
         return net
-    w = next(words(pa.array([t for t, _ in sample]), ALNUM, size=1 << 40))
-    v = Vocabulary(w)
-    text = w.text_of_words()
-    per_word = np.diff(v.borders)
-    gram_text = np.repeat(text, per_word[v.index])
-    base = np.cumsum(per_word[v.index]) - per_word[v.index]
-    gram = v.chars[np.repeat(v.borders[:-1][v.index] - base, per_word[v.index]) + np.arange(len(gram_text))]
-    net.p["word"][:, 0] = log_odds(v.words[v.index], text, y, 1 << WORD_BITS)
-    net.p["char"][:, 0] = log_odds(gram, gram_text, y, 1 << CHAR_BITS)
-    del gram, gram_text
+    v, bounds = learn_words(net, sample, y)
     rng = np.random.Generator(np.random.PCG64(seed))
-    first, size, owner = windows(w.bounds)
+    first, size, owner = windows(bounds)
     borders = np.searchsorted(owner, np.arange(len(y) + 1))
     x = v.inputs(net.p["word"], net.p["char"])
     hint = np.concatenate([[0], np.cumsum((x[:, 0] + x[:, -2])[v.index])])
@@ -272,7 +298,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01,
     # few rows: more rounds, for as many steps
     for round_ in range(min(12, max(rounds, LEAST_STEPS * batch // (2 * len(y)) + 1))):
         if round_:
-            worst = net.worst(v, w.bounds)[1]
+            worst = net.worst(v, bounds)[1]
         clean = np.flatnonzero(y == 0)
         other = (borders[clean] + rng.random(len(clean)) * np.diff(borders)[clean]).astype(np.int64)
         rows = np.concatenate([worst, other])

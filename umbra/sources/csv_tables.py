@@ -16,7 +16,8 @@ def _reader(spark: SparkSession, header: bool):
 def scan_keyed_csv(spark: SparkSession, path: str, ids: list[str], features: list[str], header: bool = False) -> DataFrame:
     """id columns as strings, features as unsigned 64-bit decimals; column names are given, never read."""
     schema = ", ".join([f"`{c}` string" for c in ids] + [f"`{c}` {U64}" for c in features])
-    return _reader(spark, header).schema(schema).csv(path)
+    read = _reader(spark, header).schema(schema).csv(path)
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ids], *features)
 
 
 def scan_shares_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

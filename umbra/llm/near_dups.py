@@ -8,8 +8,9 @@ component are dropped. A small node is compared exhaustively; a large one branch
 then still large is compared in blocks of bounded size. TREES independent trees bring the recall of a pair just at the
 threshold above 0.999.
 
-To keep large groups of near copies linear, HUB_ROUNDS trees come first in which a node's classes are compared with
-one hub of the node only; what these link needs no further comparison. Every link is confirmed on the two whole sets
+To keep large groups of near copies linear, CHAIN_ROUNDS trees come first in which a node's classes are sorted by their
+signatures, compared in blocks of that order only, and each one's most alike are confirmed; what these link needs no
+further comparison. Every link is confirmed on the two whole sets
 (exact integer arithmetic on sizes). Components are found by contraction with checkpoints; nothing but counts reaches
 the driver. Groups that share a hub are salted; candidate pairs are confirmed without their partners meeting in one task.
 
@@ -32,13 +33,18 @@ from umbra.session import broadcast_if_small, cut
 
 WORDS = 5
 PERCENT = 85
-T = 64
-TREES = 12
-HUB_ROUNDS = 3
+T = 128
+TREES = 5
+CHAIN_ROUNDS = 3
 SMALL = 48
+#: A large node with no more classes than this outside its largest component is compared in blocks at once.
+FEW = 4096
+#: In a chain round each class meets those of its block in sort order, and its NEAREST most alike are confirmed.
+BLOCK = 256
+NEAREST = 2
 DEPTH = 5
-#: Pairs of signatures that agree in a smaller part can't reach the threshold: over 4 standard errors below it.
-SKETCH_MARGIN = 0.19
+#: Pairs of signatures that agree in a smaller part can't reach the threshold: 3.5 standard errors below it.
+SKETCH_MARGIN = 0.11
 BROADCAST_IDS = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,31 +148,37 @@ PAIRS = "a bigint, b bigint"
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by grp to candidate pairs of a group: different components, sizes and signatures that may reach the threshold."""
+    """Rows sorted by grp to links of a group, enough to join what belongs together.
+
+    Pairs of different components whose sizes and signatures may reach the threshold are confirmed on the whole sets, the
+    most alike first; what a link has joined isn't compared again.
+    """
     held: list[pa.RecordBatch] = []
 
     def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
         g = t.column("grp").to_numpy()
         border = np.append(np.flatnonzero(np.diff(g, prepend=g[0] + 1)), len(g))
-        ids, comp, n, role = (t.column(c).to_numpy() for c in ("id", "comp", "n", "role"))
+        ids, n, role = (t.column(c).to_numpy() for c in ("id", "n", "role"))
+        comp = t.column("comp").to_numpy().copy()
         sig = matrix(t.column("sig").combine_chunks())
+        whole = [np.frombuffer(s, dtype=np.uint64) for s in t.column("s").to_pylist()]
         a_out, b_out = [], []
         for lo, hi in zip(border[:-1], border[1:], strict=True):
-            for i in range(lo, hi):
-                if not role[i]:
+            own = comp[lo:hi]
+            for i in np.flatnonzero(role[lo:hi]) + lo:
+                may = (own != comp[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i]))
+                near = lo + np.flatnonzero(may)
+                if not len(near):
                     continue
-                other = np.arange(lo, hi)
-                other = other[(comp[lo:hi] != comp[i]) & ((role[lo:hi] == 0) | (ids[lo:hi] > ids[i]))]
-                small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-                other = other[100 * small >= PERCENT * large]
-                if len(other):
-                    alike = (sig[other] == sig[i]).mean(axis=1)
-                    other = other[alike >= PERCENT / 100 - SKETCH_MARGIN]
-                    a_out.append(np.full(len(other), ids[i]))
-                    b_out.append(ids[other])
+                alike = (sig[near] == sig[i]).mean(axis=1)
+                order = np.argsort(-alike)
+                for j in near[order[alike[order] >= PERCENT / 100 - SKETCH_MARGIN]].tolist():
+                    if comp[j] != comp[i] and linked(whole[i], whole[j]):
+                        a_out.append(max(ids[i], ids[j]))
+                        b_out.append(min(ids[i], ids[j]))
+                        own[own == comp[j]] = comp[i]
         if a_out:
-            a, b = np.concatenate(a_out), np.concatenate(b_out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -181,27 +193,32 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(pa.Table.from_batches(held))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sa, sb) to the pairs whose whole sets reach the threshold."""
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                keep.append(i)
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
+        pairs = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+        keep = pa.array([linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in pairs], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
+def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the whole sets of the wanted ids, written once."""
+    wanted = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
+    return cut(wanted.mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"]))
 
 
 def confirmed(documents: DataFrame, pairs: DataFrame, salt: int = 500) -> DataFrame:
     """The pairs (a, b) that are links. b may be shared by very many pairs: its set is dealt to as many tasks as it needs."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(sets, "id bigint, s binary")
-    held = cut(held.dropDuplicates(["id"]))
+    held = sets_of(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     heavy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / salt).cast("int").alias("parts"))
     dealt = pairs.join(heavy, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
     right = held.join(heavy.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -248,51 +265,81 @@ def open_nodes(rows: DataFrame) -> DataFrame:
 def near_duplicate_links(documents: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(id, comp) of classes (id, n, sig) that are linked to another."""
     label, links = None, None
-    for r in range(HUB_ROUNDS):
+    for r in range(CHAIN_ROUNDS):
         rows = open_nodes(with_components(classes, label).mapInArrow(branching(range(r, r + 1)), NODE_ROWS))
-        order = F.struct(F.xxhash64(F.col("id"), F.lit(r)), "id", "comp")
-        hubs = rows.groupBy("node").agg(F.min(order).alias("hub")).select("node", F.col("hub.id").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        near = rows.join(hubs, "node").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        known = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-        near = near.join(known, "a").join(known.toDF("b", "nb", "sigb"), "b").mapInArrow(plausible, PAIRS)
+        keyed = rows.join(classes.select("id", "n", "sig"), "id").withColumn("along", rotated(r))
+        near = keyed.repartitionByRange("node", "along").sortWithinPartitions("node", "along").mapInArrow(neighbours, PAIRS).distinct()
         found = confirmed(documents, cut(near))
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    rows = cut(open_nodes(with_components(classes, label).mapInArrow(branching(range(HUB_ROUNDS, HUB_ROUNDS + TREES)), NODE_ROWS)))
+    rows = cut(open_nodes(with_components(classes, label).mapInArrow(branching(range(CHAIN_ROUNDS, CHAIN_ROUNDS + TREES)), NODE_ROWS)))
     sized = classes.select("id", "n", "sig")
     groups = []
     for depth in range(DEPTH + 1):
         groups.append(rows.where(F.col("size") <= SMALL).select(F.col("node").alias("grp"), "id", "comp", F.lit(1).alias("role")))
-        rows = rows.where(F.col("size") > SMALL)
+        rows = with_rest(rows.where(F.col("size") > SMALL))
         if rows.isEmpty():
             break
-        if depth == DEPTH:
-            groups.append(blocks(rows))
+        last = depth == DEPTH
+        groups.append(blocks(rows if last else rows.where(F.col("rest") <= FEW)))
+        if last:
             break
-        rows = cut(open_nodes(rows.join(sized, "id").mapInArrow(branching(None), NODE_ROWS)))
+        many = rows.where(F.col("rest") > FEW)
+        rows = cut(open_nodes(many.select("node", "id", "comp").join(sized, "id").mapInArrow(branching(None), NODE_ROWS)))
     every = groups[0]
     for g in groups[1:]:
         every = every.unionByName(g)
-    pairs = every.join(sized, "id").repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, PAIRS).distinct()
-    return components(links.unionByName(confirmed(documents, cut(pairs))))
+    every = cut(every)
+    full = every.join(sized, "id").join(sets_of(documents, every.select("id").distinct()), "id")
+    found = full.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, PAIRS)
+    return components(links.unionByName(cut(found)))
+
+
+def rotated(r: int) -> F.Column:
+    """The signature's bytes from another place on, so that each chain round sorts a node's classes another way."""
+    at = 4 * ((r * 23 + 11) % T)
+    return F.concat(F.expr(f"substring(sig, {at + 1}, {4 * T - at})"), F.expr(f"substring(sig, 1, {at})"))
 
 
-def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and signatures may reach the threshold."""
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted inside nodes to each one's most alike in its block, of other components, if they may reach the threshold."""
     for batch in batches:
-        if batch.num_rows:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            alike = (matrix(batch.column("siga")) == matrix(batch.column("sigb"))).mean(axis=1)
-            keep = pa.array((100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (alike >= PERCENT / 100 - SKETCH_MARGIN))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        node, ids, comp, n = (batch.column(c).to_numpy() for c in ("node", "id", "comp", "n"))
+        sig = matrix(batch.column("sig"))
+        border = np.append(np.flatnonzero(np.diff(node, prepend=node[0] + 1)), len(node))
+        out = []
+        for start, stop in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+            for lo in range(start, stop, BLOCK):
+                hi = min(lo + BLOCK, stop)
+                if hi - lo < 2:
+                    continue
+                x, size = sig[lo:hi], n[lo:hi]
+                alike = np.zeros((hi - lo, hi - lo), dtype=np.float32)
+                for i in range(hi - lo):
+                    alike[i] = (x == x[i]).mean(axis=1)
+                alike[comp[lo:hi, None] == comp[None, lo:hi]] = 0
+                alike[100 * np.minimum(size[:, None], size) < PERCENT * np.maximum(size[:, None], size)] = 0
+                best = np.argsort(-alike, axis=1)[:, :NEAREST]
+                for k in range(best.shape[1]):
+                    good = np.flatnonzero(alike[np.arange(hi - lo), best[:, k]] >= PERCENT / 100 - SKETCH_MARGIN)
+                    out.append((ids[lo + good], ids[lo + best[good, k]]))
+        if out:
+            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
-def blocks(rows: DataFrame, targets: int = 32, probes: int = 1000) -> DataFrame:
-    """Large nodes in groups of bounded size: rows outside the node's largest component meet every row of the node once."""
+def with_rest(rows: DataFrame) -> DataFrame:
+    """rows with their node's largest component (main) and the number of its rows outside that (rest)."""
     by_comp = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = main.select("node", "main", F.ceil((F.col("all") - F.col("most")) / targets).cast("int").alias("nt"), F.ceil(F.col("all") / probes).cast("int").alias("np"))
-    joined = rows.join(main, "node")
+    main = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"))
+    return cut(rows.join(main, "node"))
+
+
+def blocks(rows: DataFrame, targets: int = 256, probes: int = 1000) -> DataFrame:
+    """Large nodes in groups of bounded size: rows outside the node's largest component meet every row of the node once."""
+    joined = rows.withColumn("nt", F.ceil(F.col("rest") / targets).cast("int")).withColumn("np", F.ceil(F.col("size") / probes).cast("int"))
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     t = joined.where("comp <> main").select("node", "id", "comp", own("nt", 1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.lit(1).alias("role"))
     p = joined.select("node", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), own("np", 2).alias("p"), F.lit(0).alias("role"))

@@ -57,6 +57,25 @@ def stretch(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype="<u4").astype(np.int64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' bytes, all first ones, then all second ones, ...: high bytes of small numbers compress away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
+
+
 def pair_hashes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(state before each token, hash of state and token); texts begin in the end token's state."""
     before = np.empty_like(tokens)
@@ -116,14 +135,14 @@ def ask(buckets: int, folds: int, held: int):
                 bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 border = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(border))
-                yield rows_of(own, kind, [(int(b), keys[border[b] : border[b + 1]].tobytes(), squeeze(counts[border[b] : border[b + 1]])) for b in some])
+                yield rows_of(own, kind, [(int(b), pack_keys(keys[border[b] : border[b + 1]]), squeeze(counts[border[b] : border[b + 1]])) for b in some])
 
     return run
 
 
 def answer(part: pd.DataFrame) -> pd.DataFrame:
     """One bucket's questions of one kind to the answers: for each batch the sums of its keys' counts; and the bucket's totals."""
-    keys = [np.frombuffer(k, dtype=np.uint64) for k in part["keys"]]
+    keys = [unpack_keys(k) for k in part["keys"]]
     counts = [stretch(c) for c in part["counts"]]
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
@@ -139,8 +158,12 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to their batches' texts as word numbers: keys holds the distinct words' hashes, counts the rest."""
     for ids, w in batches_of(batches):
         own = number(ids, w)
-        distinct, inverse = np.unique(w.hashes, return_inverse=True)
-        body = zlib.compress(pickle.dumps((ids, w.bounds.astype(np.int32), inverse.astype(np.int32))), 1)
+        distinct, inverse, counts = np.unique(w.hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        distinct = distinct[order]
+        body = zlib.compress(pickle.dumps((ids, w.bounds.astype(np.int32), planes(rank[inverse]))), 1)
         yield rows_of(own, TEXTS, [(0, distinct.tobytes(), body)])
 
 
@@ -154,7 +177,8 @@ def traverse(total: int, distinct_words: int, folds: int, held: int, weight: flo
         kinds = {k: g.sort_values("bucket") for k, g in part.groupby("kind")}
         out = []
         for row in kinds[TEXTS].itertuples() if TEXTS in kinds else ():
-            ids, bounds, inverse = pickle.loads(zlib.decompress(row.counts))
+            ids, bounds, numbers = pickle.loads(zlib.decompress(row.counts))
+            inverse = from_planes(numbers, "<u4").astype(np.int64)
             w = Words(None, None, None, None, np.frombuffer(row.keys, dtype=np.uint64)[inverse], bounds.astype(np.int64), 0)
             t, bounds = tokens(w)
             before, pair = pair_hashes(t, bounds)

@@ -33,7 +33,7 @@ from umbra.session import broadcast_if_small, cut
 
 WORDS = 5
 PERCENT = 85
-T = 128
+T = 64
 TREES = 5
 CHAIN_ROUNDS = 3
 SMALL = 48
@@ -44,7 +44,7 @@ BLOCK = 256
 NEAREST = 2
 DEPTH = 5
 #: Pairs of signatures that agree in a smaller part can't reach the threshold: 3.5 standard errors below it.
-SKETCH_MARGIN = 0.11
+SKETCH_MARGIN = 0.16
 BROADCAST_IDS = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,50 +147,68 @@ NODE_ROWS = "node bigint, id bigint, comp bigint"
 PAIRS = "a bigint, b bigint"
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by grp to links of a group, enough to join what belongs together.
-
-    Pairs of different components whose sizes and signatures may reach the threshold are confirmed on the whole sets, the
-    most alike first; what a link has joined isn't compared again.
-    """
-    held: list[pa.RecordBatch] = []
-
-    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        g = t.column("grp").to_numpy()
-        border = np.append(np.flatnonzero(np.diff(g, prepend=g[0] + 1)), len(g))
-        ids, n, role = (t.column(c).to_numpy() for c in ("id", "n", "role"))
-        comp = t.column("comp").to_numpy().copy()
-        sig = matrix(t.column("sig").combine_chunks())
-        whole = [np.frombuffer(s, dtype=np.uint64) for s in t.column("s").to_pylist()]
-        a_out, b_out = [], []
-        for lo, hi in zip(border[:-1], border[1:], strict=True):
-            own = comp[lo:hi]
-            for i in np.flatnonzero(role[lo:hi]) + lo:
-                may = (own != comp[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i]))
-                near = lo + np.flatnonzero(may)
-                if not len(near):
-                    continue
+def in_groups(make):
+    """A mapInArrow function: make() on rows sorted by grp, each call with whole groups; groups are of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            g = t.column("grp").to_numpy()
+            last = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0
+            if last:
+                yield from make(t.slice(0, last))
+            held = t.slice(last).to_batches()
+        if held:
+            yield from make(pa.Table.from_batches(held))
+
+    return run
+
+
+def plausible_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """Of each group's targets: (the group's components, which the caller may join; target; rows that may reach the threshold
+    with it, the most alike first; the group's first row)."""
+    g = t.column("grp").to_numpy()
+    border = np.append(np.flatnonzero(np.diff(g, prepend=g[0] + 1)), len(g))
+    n, role = (t.column(c).to_numpy() for c in ("n", "role"))
+    comp = t.column("comp").to_numpy().copy()
+    sig = matrix(t.column("sig").combine_chunks())
+    for lo, hi in zip(border[:-1], border[1:], strict=True):
+        for i in np.flatnonzero(role[lo:hi]) + lo:
+            may = (comp[lo:hi] != comp[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i]))
+            near = lo + np.flatnonzero(may)
+            if len(near):
                 alike = (sig[near] == sig[i]).mean(axis=1)
                 order = np.argsort(-alike)
-                for j in near[order[alike[order] >= PERCENT / 100 - SKETCH_MARGIN]].tolist():
-                    if comp[j] != comp[i] and linked(whole[i], whole[j]):
-                        a_out.append(max(ids[i], ids[j]))
-                        b_out.append(min(ids[i], ids[j]))
-                        own[own == comp[j]] = comp[i]
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([*held, batch])
-        g = t.column("grp").to_numpy()
-        last = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0
-        if last:
-            yield from groups(t.slice(0, last))
-        held = t.slice(last).to_batches()
-    if held:
-        yield from groups(pa.Table.from_batches(held))
+                near = near[order[alike[order] >= PERCENT / 100 - SKETCH_MARGIN]]
+            if len(near):
+                yield comp[lo:hi], int(i) - int(lo), near - lo, int(lo)
+
+
+def with_partner(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows that may reach the threshold with another one of their group."""
+    keep = np.zeros(t.num_rows, dtype=bool)
+    for _, i, near, lo in plausible_pairs(t):
+        keep[lo + i] = True
+        keep[lo + near] = True
+    yield from t.filter(pa.array(keep)).to_batches()
+
+
+def links_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of the groups, enough to join what belongs together; what one has joined isn't compared again."""
+    ids = t.column("id").to_numpy()
+    whole = t.column("s").to_pylist()
+    a, b = [], []
+    for comp, i, near, lo in plausible_pairs(t):
+        x = np.frombuffer(whole[lo + i], dtype=np.uint64)
+        for j in near.tolist():
+            if comp[j] != comp[i] and linked(x, np.frombuffer(whole[lo + j], dtype=np.uint64)):
+                a.append(max(ids[lo + i], ids[lo + j]))
+                b.append(min(ids[lo + i], ids[lo + j]))
+                comp[comp == comp[j]] = comp[i]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -289,9 +307,11 @@ def near_duplicate_links(documents: DataFrame, classes: DataFrame) -> DataFrame
     every = groups[0]
     for g in groups[1:]:
         every = every.unionByName(g)
-    every = cut(every)
-    full = every.join(sized, "id").join(sets_of(documents, every.select("id").distinct()), "id")
-    found = full.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, PAIRS)
+    rows_of_groups = "grp bigint, id bigint, comp bigint, role int, n bigint, sig binary"
+    sorted_ = lambda df: df.repartition("grp").sortWithinPartitions("grp")
+    every = cut(sorted_(every.join(sized, "id").select("grp", "id", "comp", "role", "n", "sig")).mapInArrow(in_groups(with_partner), rows_of_groups))
+    full = every.join(sets_of(documents, every.select("id").distinct()), "id")
+    found = sorted_(full).mapInArrow(in_groups(links_of), PAIRS)
     return components(links.unionByName(cut(found)))
 
 

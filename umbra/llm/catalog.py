@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm.chat import CONTROL, OTHER, ROLES, format_turns, read_back
 from umbra.llm.html_text import main_text
 from umbra.llm.language_model import score_texts
-from umbra.llm.licenses import scan_licenses
+from umbra.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_words
 from umbra.llm.near_dups import near_duplicates
 from umbra.llm.packing import pack
 from umbra.llm.quality_model import quality
@@ -93,3 +93,48 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
     WHEN 'assistant' THEN {sum(map(len, ROLES["assistant"]))} ELSE {sum(map(len, OTHER))} + length(role) END)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(text: str) -> str:
+    """DuckDB: the list of lower-cased alphanumeric words."""
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLE["op9_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_words_sql("text")} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM
+  (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b))),
+hits AS (SELECT doc_id, n, p, item_id FROM dw JOIN bw USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(text))}])" for label, text in TEMPLATES)
+_places = " UNION ALL ".join(
+    f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE "
+    + " AND ".join(f"w[i + {j}] = '{part}'" for j, part in enumerate(phrase.split()))
+    for phrase, label in PHRASES.items()
+)
+ORACLE["op10_licenses"] = f"""
+WITH d AS (SELECT doc_id, text, {_words_sql("text")} AS w FROM documents),
+places AS ({_places}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM places GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {_templates}) AS v(label, words)),
+lines AS (SELECT doc_id, list_distinct({_words_sql("line")}) AS lw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+held AS (SELECT doc_id, label, len(list_intersect(lw, words))::DOUBLE / len(words) AS score FROM lines, t
+  WHERE len(list_intersect(lw, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM held) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(score) AS held FROM held GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(held, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""

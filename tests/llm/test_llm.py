@@ -75,6 +75,22 @@ def test_quality_rules(spark, documents, texts):
     assert all(r["llr"] == 0 for r in quality_rules.quality_rules(documents, labels.limit(0)).collect())
 
 
+def test_quality_rules_with_many_ngrams(spark, monkeypatch):
+    """More distinct n-grams than any fixed table of buckets keeps apart, and several passes."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(60000)}" for _ in range(300))) for i in range(3000)] + [(3000 + i, " ".join(f"junk{r.randrange(60)}" for _ in range(20))) for i in range(20)]
+    rows += [rows[7], rows[3001], (None, rows[3002][1])]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)] + [(3000 + i, 0, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    got = quality_rules.quality_rules(documents, labels).select("doc_id", "llr", "kept").collect()
+    assert len(got) == len(rows)
+    assert not any(x["kept"] for x in got if x["doc_id"] is None or x["doc_id"] >= 3000)
+    assert all(x["kept"] for x in got if x["doc_id"] is not None and x["doc_id"] < 3000)
+    monkeypatch.setattr(quality_rules, "LARGE", 1 << 15)
+    passes = quality_rules.quality_rules(documents, labels, block=1 << 19).select("doc_id", "llr", "kept").collect()
+    assert sorted(got, key=str) == sorted(passes, key=str)
+
+
 @pytest.mark.parametrize("max_words", [10**6, 8])
 def test_decontamination(spark, documents, texts, max_words):
     words_of = lambda t: ALNUM_RE.findall((t or "").translate(LOW))

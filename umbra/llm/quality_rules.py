@@ -1,10 +1,15 @@
 """Quality rules: hashed n-gram log-likelihood ratio of each whole text, DataFrame functions only.
 
-Two multinomials over BUCKETS hashed word unigrams and bigrams are counted: one over the trusted target (documents
-labelled of good quality), one over the raw corpus (all documents). A text's score is the sum over its n-grams of
-log(target / raw), divided by their number; a text below `threshold` is rejected, the same for every row. Counting
-sends only bucket counts through the shuffle (at most BUCKETS rows a task); the ratio table has BUCKETS entries at
-any input size and reaches the scan as a scalar subquery, so no text is ever shuffled.
+Two multinomials over hashed word unigrams and bigrams are counted: one over the trusted target (documents labelled of
+good quality), one over the raw corpus (all documents). A text's score is the sum over its n-grams of the log of the
+target count over the count expected from the raw corpus, divided by their number; a text below `threshold` is
+rejected, the same for every row. An n-gram that stands once in the raw corpus tells of no other text and counts 0.
+
+There are at least as many buckets as distinct n-grams (counted on the hashes that are 0 modulo SAMPLE), so junk and
+ordinary n-grams don't mix as the corpus grows. Counting sends a row for each bucket and task through the shuffle; from
+LARGE buckets on that is done in SLICES passes. The ratios are whole multiples of 1 / SCALE, kept in segments in the checkpoint folder; a pass over the documents takes
+BLOCK buckets as a scalar subquery, and where there are more, further passes add to the sums, which are exact and so
+don't depend on the number of passes. No text is ever shuffled.
 
 Null and empty texts have no words: counts 0, llr 0, base_failed true (fewer than 10 words), kept false. Repeated
 rows are scored alike. An empty table gives an empty result. Without trusted labels the target equals the raw
@@ -14,15 +19,24 @@ corpus, all ratios are 0 and only the base rules decide. Columns beyond doc_id a
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.tables import BROADCAST_LABELS, clean_labels
-from umbra.session import broadcast_if_small
-
-BUCKETS = 1 << 15
+from umbra.session import broadcast_if_small, cut
+
+#: Buckets at least, and in a pass; segments of a block.
+LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 25, 1 << 15
+#: From LARGE buckets on, counting takes SLICES passes, so that the shuffle files of one are on disk at a time.
+LARGE, SLICES = 1 << 24, 4
+#: Distinct n-grams are counted on one of so many hashes.
+SAMPLE = 64
+#: Ratios are kept in 1 / SCALE.
+SCALE = 1024
 #: Texts score -inf..inf around 0; junk lies far below, ordinary prose near 0.
-THRESHOLD = -0.1
+THRESHOLD = -0.3
 #: Weight of the pseudo-counts, in counts a bucket.
 SMOOTHING = 1.0
 SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -44,13 +58,9 @@ def pair_hashes(h: Column) -> Column:
     return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
 
 
-def bucket(x: Column) -> Column:
-    return F.pmod(x, F.lit(BUCKETS)).cast("int")
-
-
 def grams() -> Column:
-    """Bucket numbers of a row's words and adjacent pairs; the last word's pair is its own."""
-    return F.transform(F.concat("h", "pairs"), bucket)
+    """Hashes of a row's words and adjacent pairs; the last word's pair is its own."""
+    return F.concat("h", "pairs")
 
 
 def repeated_words() -> Column:
@@ -90,8 +100,8 @@ def hashed(documents: DataFrame, *columns: str) -> DataFrame:
     return split.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("pairs", pair_hashes(F.col("h")))
 
 
-def base_columns(documents: DataFrame) -> DataFrame:
-    """doc_id, the hashes h and pairs, and the base counts."""
+def base_columns(documents: DataFrame, *columns: Column) -> DataFrame:
+    """doc_id, the hashes h and pairs, the base counts, and columns of the text (empty for null)."""
     fours = F.slice(F.transform("pairs", lambda x, i: F.xxhash64(x, F.get("pairs", i + 2))), F.lit(1), F.greatest(F.size("h") - 3, F.lit(0)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     return (
@@ -107,39 +117,99 @@ def base_columns(documents: DataFrame) -> DataFrame:
             F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
             repeated_words().alias("n_repeat_words"),
+            *columns,
         )
     )
 
 
-def ratio_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: `ratios`, the log ratio target / raw of each bucket, by bucket number."""
+def buckets_for(n: int) -> int:
+    """Number of buckets for n distinct n-grams: a power of two."""
+    return max(LEAST, 1 << max(n - 1, 0).bit_length())
+
+
+def ratio_segments(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, int]:
+    """(segment, ratios: SEGMENT whole numbers by place) of every segment, and the number of buckets; None without a target."""
     trusted = broadcast_if_small(clean_labels(labels, "quality").where("label = 1").select("doc_id", F.lit(1).alias("trusted")), BROADCAST_LABELS)
-    rows = hashed(documents.where(F.col("text").isNotNull()).join(trusted, "doc_id", "left"), "trusted")
-    counts = (
-        rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams()).alias("b"))
-        .groupBy("b")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
-    )
-    every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
-    packed = full.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    rows = hashed(documents.where(F.col("text").isNotNull()).join(trusted, "doc_id", "left"), "trusted").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
+    some = F.filter(grams(), lambda x: F.pmod(x, F.lit(SAMPLE)) == 0)
+    sized = rows.select("trusted", F.size("h").cast("bigint").alias("n"), F.posexplode_outer(some).alias("at", "g"))
+    once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n"))
+    n_raw, n_target, distinct = sized.agg(F.sum(once), F.sum(once * F.col("trusted")), F.count_distinct("g")).first()
+    buckets = buckets_for(SAMPLE * distinct)
+    if not n_target:
+        return None, buckets
+    slices = SLICES if buckets >= LARGE else 1
+    span = buckets // SEGMENT // slices
+    parts = [counted_slice(rows, buckets, n_target / n_raw, at * span, span) for at in range(slices)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every, buckets
+
+
+def counted_slice(rows: DataFrame, buckets: int, share: float, first: int, count: int) -> DataFrame:
+    """(segment, ratios) of segments first..first + count - 1, written; share: the target's part of the raw n-grams."""
+    # raw in the lower, target in the upper half of one number
+    counts = rows.select((F.lit(1) + F.col("trusted").cast("bigint") * F.lit(1 << 32)).alias("w"), F.explode(grams()).alias("g"))
+    counts = counts.select("w", F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b")).where((F.col("b") >= first * SEGMENT) & (F.col("b") < (first + count) * SEGMENT))
+    counts = counts.groupBy("b").agg(F.sum("w").alias("w"))
+    raw, target = F.col("w").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("w", 32)
     smooth = F.lit(float(SMOOTHING))
-    total = F.lit(float(SMOOTHING * BUCKETS))
-    return packed.select(
-        F.when(
-            F.col("n_target") > 0,
-            F.transform("c", lambda x: F.log((x["target"] + smooth) / (F.col("n_target") + total)) - F.log((x["raw"] + smooth) / (F.col("n_raw") + total))),
-        )
-        .otherwise(F.transform("c", lambda x: F.lit(0.0)))
-        .alias("ratios")
+    ratio = F.round(SCALE * F.log((target + smooth) / (raw * F.lit(share) + smooth))).cast("int")
+    kept = counts.where(raw > 1).select("b", ratio.alias("ratio")).where("ratio <> 0")
+    # place in the upper half, ratio + 2^15 in the lower
+    packed = kept.select(
+        F.shiftright("b", SEGMENT.bit_length() - 1).alias("segment"),
+        (F.shiftleft(F.col("b").bitwiseAND(F.lit(SEGMENT - 1)).cast("int"), 16) + F.lit(1 << 15) + F.greatest(F.least("ratio", F.lit((1 << 15) - 1)), F.lit(1 - (1 << 15)))).alias("x"),
     )
+    every = rows.sparkSession.range(first, first + count).select(F.col("id").alias("segment"), F.lit(None).cast("int").alias("x"))
+    held = packed.unionByName(every).groupBy("segment").agg(F.collect_list("x").alias("x"))
+    # Each place also stands with a lower half of 0, sorted before its ratio, which then is taken instead.
+    full = F.sort_array(F.concat("x", F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda i: F.shiftleft(i, 16))))
+    last = bind(full, lambda s: F.filter(s, lambda x, i: F.coalesce(F.shiftright(F.get(s, i + 1), 16) != F.shiftright(x, 16), F.lit(True))))
+    low = lambda x: x.bitwiseAND(F.lit((1 << 16) - 1))
+    dense = F.transform(last, lambda x: F.when(low(x) == 0, F.lit(0)).otherwise(low(x) - F.lit(1 << 15)).cast("smallint"))
+    out = cut(held.select("segment", dense.alias("ratios")))
+    del counts, kept, packed, every, held
+    gc.collect()  # else the slice's shuffle files stay until the driver happens to collect its garbage
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def with_sum(rows: DataFrame, segments: DataFrame, buckets: int, first: int, count: int) -> DataFrame:
+    """rows with total, the sum of the ratios of their n-grams whose bucket is in segments first..first + count - 1.
+
+    Spark refuses a subquery written inside a function of lambdas; named in a projection first, it is moved there.
+    """
+    own = segments.where((F.col("segment") >= first) & (F.col("segment") < first + count))
+    table = own.agg(F.sort_array(F.collect_list(F.struct("segment", "ratios"))).alias("t")).select(F.col("t.ratios").alias("t")).scalar()
+    shift = SEGMENT.bit_length() - 1
+
+    def ratio(t: Column, x: Column) -> Column:
+        segment = F.get(t, (F.shiftright(x.bitwiseAND(F.lit(buckets - 1)), shift) - first).cast("int"))
+        return F.coalesce(F.get(segment, x.bitwiseAND(F.lit(SEGMENT - 1)).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
+
+    total = bind(F.col("table"), lambda t: F.aggregate(grams(), F.lit(0).cast("bigint"), lambda a, x: a + ratio(t, x)))
+    return rows.select("*", table.alias("table")).withColumn("total", total).drop("table")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row."""
-    ratios = ratio_table(documents, labels).first()[0]
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in ratios) + ")")
-    sums = F.aggregate(grams(), F.lit(0.0), lambda a, b: a + F.get(table, b))
-    scored = base_columns(documents).withColumn("llr", sums / F.greatest(2 * F.size("h"), F.lit(1)))
+    segments, buckets = ratio_segments(documents, labels)
+    firsts = [] if segments is None else list(range(0, buckets // SEGMENT, block // SEGMENT))
+    sums = lambda rows, first: with_sum(rows, segments, buckets, first, block // SEGMENT)
+    based = base_columns(documents, *[F.xxhash64("text").alias("text_hash")] * (len(firsts) > 1))
+    scored = (sums(based, 0) if firsts else based.withColumn("total", F.lit(0))).drop("h", "pairs")
+    if len(firsts) > 1:
+        more = None
+        for first in firsts[1:]:
+            part = sums(hashed(documents, "doc_id"), first).select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(first).alias("first"), "total")
+            more = part if more is None else more.unionByName(part)
+        # Repeated rows have the same text and so the same sums.
+        more = more.groupBy("doc_id", "text_hash", "first").agg(F.first("total").alias("s"))
+        more = more.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.sum("s").alias("s"))
+        joined = scored.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+        scored = joined.withColumn("total", F.col("total") + F.col("s")).drop("id", "hash", "s", "text_hash")
+    scored = scored.withColumn("llr", F.col("total") / F.lit(float(SCALE)) / F.greatest(2 * F.col("n_words"), F.lit(1))).drop("total")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.drop("h", "pairs", "ratios").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))

@@ -1,6 +1,7 @@
 """The llm operators against brute force on small tables, with nulls, empty and repeated rows, and clashing extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -157,6 +158,19 @@ def test_near_duplicates(documents, texts):
     assert near_dups.near_duplicates(documents.limit(0)).count() == 0
 
 
+def test_signatures_keep_pairs_at_the_threshold():
+    """The filter on signatures loses a pair just at the threshold with less than 1e-5, and says so of rows that agree in 42 of 64."""
+    p = near_dups.PERCENT / 100
+    loss = sum(math.comb(near_dups.T, k) * p**k * (1 - p) ** (near_dups.T - k) for k in range(near_dups.T + 1) if k / near_dups.T < p - near_dups.SKETCH_MARGIN)
+    assert loss < 1e-5
+    x = np.arange(near_dups.T, dtype="<u4")
+    y = np.where(x < 42, x, x + 1000).astype("<u4")
+    rows = {"grp": [5, 5], "id": [1, 2], "comp": [1, 2], "role": [1, 1], "n": [100, 100], "sig": [x.tobytes(), y.tobytes()], "node": [5, 5]}
+    t = pa.table(rows)
+    assert [near.tolist() for _, _, near, _ in near_dups.plausible_pairs(t)] == [[1], [0]]
+    assert [b.to_pylist() for b in near_dups.neighbours(iter(t.to_batches()))][0][0] == {"a": 2, "b": 1}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -113,6 +113,15 @@ def test_decontamination(spark, documents, texts, max_words):
     assert not any(r["contaminated"] for r in winnowing.contamination(documents, benchmark.limit(0)).collect())
 
 
+@pytest.mark.parametrize("max_words", [10**6, 8])
+def test_decontamination_of_null_and_repeated_ids(spark, max_words):
+    hot, other = " ".join(f"h{i}" for i in range(12)), " ".join(f"o{i}" for i in range(12))
+    documents = spark.createDataFrame([(None, hot), (1, hot), (1, other)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(0, hot), (0, hot), (1, " ".join(f"n{i}" for i in range(12)))], "item_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in winnowing.contamination(documents, benchmark, max_words=max_words).collect()}
+    assert got == {(None, 12, 12, 1), (1, 12, 12, 1), (1, 12, 0, 0)}
+
+
 def test_packing(documents, texts):
     from tokenizers import Tokenizer
 

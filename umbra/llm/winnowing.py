@@ -30,7 +30,7 @@ from umbra.llm.words import ALNUM, Words, grams, words
 WINDOW = 10
 K = 5
 MAX_WORDS = 2_000_000
-SCHEMA = "doc_id bigint, n_words bigint, spans array<int>, items array<string>"
+SCHEMA = "doc_id bigint, text_hash bigint, n_words bigint, spans array<int>, items array<string>"
 
 
 @dataclass
@@ -131,7 +131,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scan(index: Index, window: int):
-    """A mapInArrow function over (doc_id, text) batches."""
+    """A mapInArrow function over (doc_id, text, text_hash) batches; items of one id count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +144,11 @@ def scan(index: Index, window: int):
                 s, hit = matches(w, index, window)
                 for t, found in s.items():
                     spans[w.first + t] = [x for ab in merge(found) for x in ab]
-                    items[w.first + t] = sorted(index.ids[i] for i in hit[t])
+                    items[w.first + t] = sorted({index.ids[i] for i in hit[t]})
             n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"],
+                [ids, batch.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                names=["doc_id", "text_hash", "n_words", "spans", "items"],
             )
 
     return run
@@ -172,18 +172,18 @@ def blocks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, str
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_words, spans (flat begin, end word numbers of hit runs), items (sorted ids with occurring windows) of every row."""
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     parts = [rows.mapInArrow(scan(build_index(block, window, k), window), SCHEMA) for block in blocks(benchmark, max_words)]
     if not parts:
-        return rows.mapInArrow(scan(Index(), window), SCHEMA)
+        return rows.mapInArrow(scan(Index(), window), SCHEMA).drop("text_hash")
     if len(parts) == 1:
-        return parts[0]
-    # Several blocks: every pass also returns the row's number of words; hits of one document meet by doc_id.
+        return parts[0].drop("text_hash")
+    # Several blocks: every pass also returns the row's number of words; hits meet by doc_id, which may be null or repeated, and text.
     union = parts[0].where("size(spans) > 0")
     for p in parts[1:]:
         union = union.unionByName(p.where("size(spans) > 0"))
-    hits = union.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    joined = parts[0].select("doc_id", "n_words").join(hits, ["doc_id", "n_words"], "left")
+    hits = union.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    joined = parts[0].select("doc_id", "text_hash", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     none = F.array().cast("array<int>")
     return joined.select("doc_id", "n_words", F.coalesce(F.udf(union_of_spans, "array<int>")("s"), none).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
 

@@ -1,31 +1,33 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class. Of each class a
-signature of T minwise values is kept. In an independent tree every class starts at the root; a node picks one or two
-signature places (1 / similarity on average) and sends each class on to the child of its minwise value there, so
-classes at the wanted similarity meet with a probability near one in each tree. Nodes whose classes are already one
-component are dropped. A small node is compared exhaustively; a large one branches again, to DEPTH, and what is
-then still large is compared in blocks of bounded size. TREES independent trees bring the recall of a pair just at the
-threshold above 0.999.
-
-To keep large groups of near copies linear, CHAIN_ROUNDS trees come first in which a node's classes are sorted by their
-signatures, compared in blocks of that order only, and each one's most alike are confirmed; what these link needs no
-further comparison. Every link is confirmed on the two whole sets
-(exact integer arithmetic on sizes). Components are found by contraction with checkpoints; nothing but counts reaches
-the driver. Groups that share a hub are salted; candidate pairs are confirmed without their partners meeting in one task.
+A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class, named by a number of its
+own. Of each class a signature of T minwise values is kept. In an independent tree every class starts at the root; a
+node picks signature places and sends each class on to the child of its minwise value there. At the root it picks one or
+two places (1 / similarity on average), deeper always two, so that a pair at the threshold misses a tree with 0.15 at
+most at any depth; TREES independent trees miss it with 3e-7. A node of up to SMALL classes is compared exhaustively, by
+signatures. In a larger one all classes are compared with one of them, its leader; where only few differ from it, those
+are compared with the whole node in blocks; otherwise the node branches again (to DEPTH, then in blocks). Nodes whose
+classes already belong together are dropped, so large groups of near copies stay linear.
+
+Signatures only say which classes may belong together. Each such bundle's whole sets then meet once, and links are
+confirmed there by exact integer arithmetic on intersections; what a link has joined isn't compared again. A bundle of
+more than BUNDLE shingles is dealt to blocks that share HUBS of its classes; classes outside the bundle's main component
+then meet all blocks. So no task gets an unbounded group, and no pairs within groups are written. Components are found by
+contraction with checkpoints; nothing but whether something is left reaches the driver.
 
 Null, empty and word-less texts have the empty set, n_shingles 0, and link with nothing; texts of fewer words than a
-shingle are one shingle. Rows with a null id are returned alone. Repeated ids keep their rows. An empty table gives
-an empty result; extra columns are ignored.
+shingle are one shingle. Rows with a null id are returned with a null component, but their texts link others. Rows of a
+repeated id keep their own texts' sets, and each gets the component of its text. Very long texts: one is one unit of
+work; memory grows with the longest. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.words import SPACED, grams, mix, words
@@ -34,19 +36,19 @@ from umbra.session import broadcast_if_small, cut
 WORDS = 5
 PERCENT = 85
 T = 64
-TREES = 5
-CHAIN_ROUNDS = 3
-SMALL = 48
-#: A large node with no more classes than this outside its largest component is compared in blocks at once.
-FEW = 4096
-#: In a chain round each class meets those of its block in sort order, and its NEAREST most alike are confirmed.
-BLOCK = 256
-NEAREST = 2
-DEPTH = 5
+TREES = 8
+#: Classes of a node that is compared exhaustively, and of a block's targets and probes.
+SMALL, TARGETS, PROBES = 512, 256, 1024
+DEPTH = 24
 #: Pairs of signatures that agree in a smaller part are left out: 5.2 standard errors below the threshold, 40 of 64 values.
 #: A pair just at the threshold is lost so with 2.4e-6 (binomial), in every tree alike.
 SKETCH_MARGIN = 0.23
-BROADCAST_IDS = 4_000_000
+AGREE = int(np.ceil(T * (PERCENT / 100 - SKETCH_MARGIN)))
+#: Shingles of a bundle, or a block of one, that is confirmed in one group (8 bytes each).
+BUNDLE = 1 << 20
+HUBS = 8
+#: Classes to confirm that are broadcast to the documents (32 bytes each), joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 2**63, T, dtype=np.uint64)
@@ -78,6 +80,7 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, text_hash) to SKETCH rows."""
     for batch in batches:
         n, key, sig = [], [], []
         with np.errstate(over="ignore"):
@@ -90,32 +93,31 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     key.append(None)
                     sig.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+        columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "key", "sig"])
 
 
-def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        with np.errstate(over="ignore"):
-            found = [s.tobytes() for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+SKETCH = "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, sig binary"
+NODE_ROWS = "node bigint, id bigint, lab bigint"
+PAIRS = "a bigint, b bigint"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, T)
 
 
-def places_of(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The node's first signature place, and its second or -1; on average 100 / PERCENT places."""
+def places_of(node: np.ndarray, deep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The node's first signature place, and its second or -1: at the root on average 100 / PERCENT places, deeper two."""
     h = mix(node ^ np.uint64(0x5851F42D4C957F2D))
     first = (h % np.uint64(T)).astype(np.int64)
     second = (first + 1 + ((h >> np.uint64(8)) % np.uint64(T - 1)).astype(np.int64)) % T
     more = (h >> np.uint64(32)) % np.uint64(1000) < np.uint64(round(1000 * (100 / PERCENT - 1)))
-    return first, np.where(more, second, -1)
+    return first, np.where(more | deep, second, -1)
 
 
-def branch(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def branch(node: np.ndarray, sig: np.ndarray, deep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, child nodes), once for the first and once for the second places."""
-    for place in places_of(node):
+    for place in places_of(node, deep):
         rows = np.flatnonzero(place >= 0)
         value = sig[rows, place[rows]].astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -123,259 +125,274 @@ def branch(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield rows, child
 
 
-def branching(trees: range | None):
-    """A mapInArrow function: classes (id, comp, n, sig) at the roots of trees, or at their node, to rows in the children."""
+def branching(trees: int):
+    """A mapInArrow function: classes (id, sig) at the roots of so many trees, or for 0 (node, id, lab, sig) at their nodes, to the children."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, ids, comp = matrix(batch.column("sig")), batch.column("id"), batch.column("comp")
-            if trees is None:
-                starts = [batch.column("node").to_numpy().view(np.uint64)]
-            else:
-                starts = [np.full(batch.num_rows, mix(np.array([r + 1], dtype=np.uint64))[0], dtype=np.uint64) for r in trees]
-            for node in starts:
-                for rows, child in branch(node, sig):
+            sig, ids = matrix(batch.column("sig")), batch.column("id")
+            lab = ids if trees else batch.column("lab")
+            roots = [np.full(batch.num_rows, mix(np.array([r + 1], dtype=np.uint64))[0], dtype=np.uint64) for r in range(trees)]
+            for node in roots or [batch.column("node").to_numpy().view(np.uint64)]:
+                for rows, child in branch(node, sig, not trees):
                     if len(rows):
                         take = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(take), comp.take(take)], names=["node", "id", "comp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(take), lab.take(take)], names=["node", "id", "lab"])
 
     return run
 
 
-NODE_ROWS = "node bigint, id bigint, comp bigint"
-PAIRS = "a bigint, b bigint"
-
-
-def in_groups(make):
-    """A mapInArrow function: make() on rows sorted by grp, each call with whole groups; groups are of bounded size."""
+def in_groups(make: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function: make() on rows sorted by grp, each call with one whole group; groups are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([*held, batch])
-            g = t.column("grp").to_numpy()
-            last = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0
-            if last:
-                yield from make(t.slice(0, last))
-            held = t.slice(last).to_batches()
+            g = batch.column("grp").to_numpy()
+            border = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for lo, hi in zip(border[:-1], border[1:], strict=True):
+                if held and g[lo] != last:
+                    yield from make(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = g[lo]
         if held:
             yield from make(pa.Table.from_batches(held))
 
     return run
 
 
-def plausible_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
-    """Of each group's targets: (the group's components, which the caller may join; target; rows that may reach the threshold
-    with it, the most alike first; the group's first row)."""
-    g = t.column("grp").to_numpy()
-    border = np.append(np.flatnonzero(np.diff(g, prepend=g[0] + 1)), len(g))
-    n, role = (t.column(c).to_numpy() for c in ("n", "role"))
-    comp = t.column("comp").to_numpy().copy()
-    sig = matrix(t.column("sig").combine_chunks())
-    for lo, hi in zip(border[:-1], border[1:], strict=True):
-        for i in np.flatnonzero(role[lo:hi]) + lo:
-            may = (comp[lo:hi] != comp[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i]))
-            near = lo + np.flatnonzero(may)
-            if len(near):
-                alike = (sig[near] == sig[i]).mean(axis=1)
-                order = np.argsort(-alike)
-                near = near[order[alike[order] >= PERCENT / 100 - SKETCH_MARGIN]]
-            if len(near):
-                yield comp[lo:hi], int(i) - int(lo), near - lo, int(lo)
-
-
-def with_partner(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Rows that may reach the threshold with another one of their group."""
-    keep = np.zeros(t.num_rows, dtype=bool)
-    for _, i, near, lo in plausible_pairs(t):
-        keep[lo + i] = True
-        keep[lo + near] = True
-    yield from t.filter(pa.array(keep)).to_batches()
+def closure(lab: np.ndarray, target: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (row, row) that join what belongs together; rows of one lab do so from the start.
+
+    near(i, rows) gives those of rows that belong with i. Of each two rows one at least must be a target to be compared.
+    """
+    outside = np.arange(len(lab))
+    while len(outside):
+        mine = lab[outside] == lab[outside[0]]
+        queue, outside = outside[mine].tolist(), outside[~mine]
+        while queue and len(outside):
+            i = queue.pop()
+            found = near(i, outside if target[i] else outside[target[outside]])
+            if len(found):
+                yield from ((i, int(j)) for j in found)
+                joined = np.isin(lab[outside], lab[found])
+                queue += outside[joined].tolist()
+                outside = outside[~joined]
+
+
+def plausible(n: np.ndarray, sig: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """near() of closure() by signatures and set sizes."""
+
+    def near(i: int, rows: np.ndarray) -> np.ndarray:
+        rows = rows[100 * np.minimum(n[rows], n[i]) >= PERCENT * np.maximum(n[rows], n[i])]
+        return rows[(sig[rows] == sig[i]).sum(axis=1) >= AGREE]
+
+    return near
+
+
+def linked(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """near() of closure() by the whole sets, exactly."""
+    size = np.array([len(s) for s in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(len(values), dtype=bool)
+
+    def near(i: int, rows: np.ndarray) -> np.ndarray:
+        rows = rows[100 * np.minimum(size[rows], size[i]) >= PERCENT * np.maximum(size[rows], size[i])]
+        if not len(rows):
+            return rows
+        own = flat[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        lengths = size[rows]
+        border = np.cumsum(lengths) - lengths
+        at = np.repeat(begin[rows] - border, lengths) + np.arange(lengths.sum())
+        both = np.add.reduceat(mark[flat[at]].astype(np.int64), border)
+        mark[own] = False
+        return rows[100 * both >= PERCENT * (size[i] + lengths - both)]
+
+    return near
+
+
+def pairs(ids: np.ndarray, found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    ab = np.array(list(found), dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[ab[:, 0]]), pa.array(ids[ab[:, 1]])], names=["a", "b"])
+
+
+def bundles_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be linked, enough to join the group's bundles. t: grp, id, lab, target, n, sig."""
+    ids, lab, n, target = (t.column(c).to_numpy() for c in ("id", "lab", "n", "target"))
+    yield pairs(ids, closure(lab, target, plausible(n, matrix(t.column("sig").combine_chunks()))))
 
 
 def links_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links of the groups, enough to join what belongs together; what one has joined isn't compared again."""
-    ids = t.column("id").to_numpy()
-    whole = t.column("s").to_pylist()
-    a, b = [], []
-    for comp, i, near, lo in plausible_pairs(t):
-        x = np.frombuffer(whole[lo + i], dtype=np.uint64)
-        for j in near.tolist():
-            if comp[j] != comp[i] and linked(x, np.frombuffer(whole[lo + j], dtype=np.uint64)):
-                a.append(max(ids[lo + i], ids[lo + j]))
-                b.append(min(ids[lo + i], ids[lo + j]))
-                comp[comp == comp[j]] = comp[i]
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
-
-
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sa, sb) to the pairs whose whole sets reach the threshold."""
+    """Links of a group, enough to join its components. t: grp, id, lab, target, text; repeated rows count once."""
+    ids, target = (t.column(c).to_numpy() for c in ("id", "target"))
+    order = np.lexsort((~target, ids))  # of a class's rows, the target first
+    order = order[np.diff(ids[order], prepend=ids[order[0]] - 1) != 0]
+    t = t.take(pa.array(order))
+    ids, lab, target = ids[order], t.column("lab").to_numpy(), target[order]
+    with np.errstate(over="ignore"):
+        sets = [s for chunk in t.column("text").chunks for s in shingle_sets(chunk)]
+    yield pairs(ids, closure(lab, target, linked(sets)))
+
+
+def beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes with their leader's main, ln and lsig to the same rows; those that may be linked to it get its lab."""
     for batch in batches:
-        pairs = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
-        keep = pa.array([linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in pairs], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-
-def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the whole sets of the wanted ids, written once."""
-    wanted = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
-    return cut(wanted.mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"]))
-
-
-def confirmed(documents: DataFrame, pairs: DataFrame, salt: int = 500) -> DataFrame:
-    """The pairs (a, b) that are links. b may be shared by very many pairs: its set is dealt to as many tasks as it needs."""
-    held = sets_of(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    heavy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / salt).cast("int").alias("parts"))
-    dealt = pairs.join(heavy, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    right = held.join(heavy.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    full = dealt.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(right, ["b", "part"])
-    return cut(full.select("a", "b", "sa", "sb").mapInArrow(confirm, PAIRS))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, comp): the least id reachable, of all ids that stand in edges (a, b); by contraction."""
-    label = None
-    left = edges.where("a <> b").select("a", "b").distinct()
-    for _ in range(max_rounds):
-        left = cut(left)
-        if left.isEmpty():
-            break
+        if not batch.num_rows:
+            continue
+        n, ln, lab, main = (batch.column(c).to_numpy() for c in ("n", "ln", "lab", "main"))
+        alike = (matrix(batch.column("sig")) == matrix(batch.column("lsig"))).sum(axis=1) >= AGREE
+        alike &= 100 * np.minimum(n, ln) >= PERCENT * np.maximum(n, ln)
+        columns = [batch.column("node"), batch.column("id"), pa.array(np.where(alike, main, lab)), batch.column("main"), batch.column("n"), batch.column("sig")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(alike & (main != lab)), batch.column("leader")], names=[c.split()[0] for c in LED.split(", ")])
+
+
+LED = "node bigint, id bigint, lab bigint, main bigint, n bigint, sig binary, joined boolean, leader bigint"
+
+
+def scrambled(x: Column) -> Column:
+    """A bijection of 64-bit integers, so that least names stand at random places."""
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftleft(x, 13))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+        x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return x
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp): of all ids that stand in edges (a, b) the name of their component, one of its ids.
+
+    In each round every id points to its least neighbour, pointers are followed twice more, and the edges go on between
+    what they point to. Names being scrambled, a path loses most of its ids in each round, whatever its order.
+    """
+    ups = []
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up"))
-        for _ in range(2):  # pointer jumping: up may itself point further up
-            further = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            up = up.join(further, "up", "left").select("id", F.coalesce("top", "up").alias("up"))
-        up = cut(up)
-        if label is None:
-            label = up.select("id", F.col("up").alias("comp"))
-        else:
-            label = label.join(up.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
-        label = cut(label)
+        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")))
+        for _ in range(2):
+            up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
+        ups.append(up := cut(up))
         on_a, on_b = up.select(F.col("id").alias("a"), F.col("up").alias("ua")), up.select(F.col("id").alias("b"), F.col("up").alias("ub"))
-        left = left.join(on_a, "a").join(on_b, "b").where("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct()
-    else:
-        raise RuntimeError("components did not converge")
-    return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-
-
-def with_components(classes: DataFrame, label: DataFrame | None) -> DataFrame:
-    return classes.withColumn("comp", F.col("id")) if label is None else classes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
-def open_nodes(rows: DataFrame) -> DataFrame:
-    """rows in nodes of more than one component, with the node's number of rows."""
-    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return rows.join(stats.select("node", "size"), "node")
-
-
-def near_duplicate_links(documents: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(id, comp) of classes (id, n, sig) that are linked to another."""
-    label, links = None, None
-    for r in range(CHAIN_ROUNDS):
-        rows = open_nodes(with_components(classes, label).mapInArrow(branching(range(r, r + 1)), NODE_ROWS))
-        keyed = rows.join(classes.select("id", "n", "sig"), "id").withColumn("along", rotated(r))
-        near = keyed.repartitionByRange("node", "along").sortWithinPartitions("node", "along").mapInArrow(neighbours, PAIRS).distinct()
-        found = confirmed(documents, cut(near))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-    rows = cut(open_nodes(with_components(classes, label).mapInArrow(branching(range(CHAIN_ROUNDS, CHAIN_ROUNDS + TREES)), NODE_ROWS)))
-    sized = classes.select("id", "n", "sig")
-    groups = []
+        left = left.join(on_a, "a").join(on_b, "b").where("ua <> ub")
+        left = cut(left.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    if not ups:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    label = ups[0].withColumnRenamed("up", "comp")
+    for up in ups[1:]:
+        label = label.join(up.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+    return cut(label)
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("grp").sortWithinPartitions("grp")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Nodes (node, id, lab, main, n, sig) in groups of bounded size: rows outside the main lab meet every row of the node once."""
+    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("lab") != F.col("main")).alias("rest"))
+    joined = rows.join(size, "node").withColumn("nt", F.ceil(F.col("rest") / TARGETS).cast("int")).withColumn("np", F.ceil(F.col("size") / PROBES).cast("int"))
+    return crossed(joined.where("rest > 0"), "node", F.col("lab") != F.col("main"), ["lab", "n", "sig"])
+
+
+def crossed(rows: DataFrame, key: str, rest: Column, columns: list[str]) -> DataFrame:
+    """Rows in nt x np groups for each key: those of the rest are targets in one nt-th of the groups, all are probes in one np-th."""
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    t = rows.where(rest).select(key, "id", *columns, own("nt", 1).alias("t"), every("np").alias("p"), F.lit(True).alias("target"))
+    p = rows.select(key, "id", *columns, every("nt").alias("t"), own("np", 2).alias("p"), F.lit(False).alias("target"))
+    # a row that is a target and a probe of one group stands there twice, as one id with one lab
+    return t.unionByName(p).select(F.xxhash64(key, "t", "p").alias("grp"), "id", "target", *columns)
+
+
+def open_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (node, id, lab) in nodes of more than one lab with the node's size and their n and sig, written."""
+    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi")
+    return cut(rows.join(stats.select("node", "size"), "node").join(classes.select("id", "n", "sig"), "id").select("node", "size", "id", "lab", "n", "sig"))
+
+
+def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """(a, b): pairs of classes (id, n, sig) that may be linked, enough to join all that may."""
+    rows = open_nodes(classes.select("id", "sig").mapInArrow(branching(trees), NODE_ROWS), classes)
+    out = None
     for depth in range(DEPTH + 1):
-        groups.append(rows.where(F.col("size") <= SMALL).select(F.col("node").alias("grp"), "id", "comp", F.lit(1).alias("role")))
-        rows = with_rest(rows.where(F.col("size") > SMALL))
-        if rows.isEmpty():
+        groups = rows.where(F.col("size") <= small).select(F.col("node").alias("grp"), "id", F.lit(True).alias("target"), "lab", "n", "sig")
+        large = rows.where(F.col("size") > small)
+        found = None
+        if not large.isEmpty():
+            first = F.min_by(F.struct("id", "lab", "n", "sig"), F.struct(F.xxhash64("id", "node"), "id")).alias("x")
+            leaders = large.groupBy("node").agg(first).select("node", F.col("x.id").alias("leader"), F.col("x.lab").alias("main"), F.col("x.n").alias("ln"), F.col("x.sig").alias("lsig"))
+            led = cut(large.join(leaders, "node").mapInArrow(beside_leader, LED))
+            found = led.where("joined").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+            sized = led.groupBy("node").agg(F.count_if(F.col("lab") != F.col("main")).alias("rest")).where("rest > 0")
+            led = led.join(sized, "node")
+            many = F.col("rest") > (TARGETS if depth < DEPTH else float("inf"))
+            groups = groups.unionByName(blocks(led.where(~many).drop("rest")))
+        edges = grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS)
+        edges = cut(edges if found is None else edges.unionByName(found))
+        out = edges if out is None else out.unionByName(edges)
+        if found is None:
             break
-        last = depth == DEPTH
-        groups.append(blocks(rows if last else rows.where(F.col("rest") <= FEW)))
-        if last:
-            break
-        many = rows.where(F.col("rest") > FEW)
-        rows = cut(open_nodes(many.select("node", "id", "comp").join(sized, "id").mapInArrow(branching(None), NODE_ROWS)))
-    every = groups[0]
-    for g in groups[1:]:
-        every = every.unionByName(g)
-    rows_of_groups = "grp bigint, id bigint, comp bigint, role int, n bigint, sig binary"
-    sorted_ = lambda df: df.repartition("grp").sortWithinPartitions("grp")
-    every = cut(sorted_(every.join(sized, "id").select("grp", "id", "comp", "role", "n", "sig")).mapInArrow(in_groups(with_partner), rows_of_groups))
-    full = every.join(sets_of(documents, every.select("id").distinct()), "id")
-    found = sorted_(full).mapInArrow(in_groups(links_of), PAIRS)
-    return components(links.unionByName(cut(found)))
-
-
-def rotated(r: int) -> F.Column:
-    """The signature's bytes from another place on, so that each chain round sorts a node's classes another way."""
-    at = 4 * ((r * 23 + 11) % T)
-    return F.concat(F.expr(f"substring(sig, {at + 1}, {4 * T - at})"), F.expr(f"substring(sig, 1, {at})"))
-
-
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted inside nodes to each one's most alike in its block, of other components, if they may reach the threshold."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, ids, comp, n = (batch.column(c).to_numpy() for c in ("node", "id", "comp", "n"))
-        sig = matrix(batch.column("sig"))
-        border = np.append(np.flatnonzero(np.diff(node, prepend=node[0] + 1)), len(node))
-        out = []
-        for start, stop in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-            for lo in range(start, stop, BLOCK):
-                hi = min(lo + BLOCK, stop)
-                if hi - lo < 2:
-                    continue
-                x, size = sig[lo:hi], n[lo:hi]
-                alike = np.zeros((hi - lo, hi - lo), dtype=np.float32)
-                for i in range(hi - lo):
-                    alike[i] = (x == x[i]).mean(axis=1)
-                alike[comp[lo:hi, None] == comp[None, lo:hi]] = 0
-                alike[100 * np.minimum(size[:, None], size) < PERCENT * np.maximum(size[:, None], size)] = 0
-                best = np.argsort(-alike, axis=1)[:, :NEAREST]
-                for k in range(best.shape[1]):
-                    good = np.flatnonzero(alike[np.arange(hi - lo), best[:, k]] >= PERCENT / 100 - SKETCH_MARGIN)
-                    out.append((ids[lo + good], ids[lo + best[good, k]]))
-        if out:
-            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-
-def with_rest(rows: DataFrame) -> DataFrame:
-    """rows with their node's largest component (main) and the number of its rows outside that (rest)."""
-    by_comp = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"))
-    return cut(rows.join(main, "node"))
-
-
-def blocks(rows: DataFrame, targets: int = 256, probes: int = 1000) -> DataFrame:
-    """Large nodes in groups of bounded size: rows outside the node's largest component meet every row of the node once."""
-    joined = rows.withColumn("nt", F.ceil(F.col("rest") / targets).cast("int")).withColumn("np", F.ceil(F.col("size") / probes).cast("int"))
-    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    t = joined.where("comp <> main").select("node", "id", "comp", own("nt", 1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.lit(1).alias("role"))
-    p = joined.select("node", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), own("np", 2).alias("p"), F.lit(0).alias("role"))
-    return t.unionByName(p).select(F.xxhash64("node", "t", "p").alias("grp"), "id", "comp", "role")
+        again = led.where(many).select("node", "id", "lab", "sig")
+        rows = open_nodes(again.mapInArrow(branching(0), NODE_ROWS), classes)
+    return out
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc, text_hash, id, ...) with the text of one of their rows, written once."""
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
+    same = (F.col("text_hash") == F.col("own_hash")) & F.col("doc").eqNullSafe(F.col("doc_id"))
+    return cut(rows.join(broadcast_if_small(wanted, BROADCAST_ROWS), same).drop("doc_id", "own_hash", "doc", "text_hash").dropDuplicates(["id"]))
+
+
+def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle: int = BUNDLE) -> DataFrame:
+    """(a, b): links of classes (id, n, doc, text_hash) within bundles (id, comp), enough to join each component."""
+    members = cut(classes.select("id", "n", "doc", "text_hash").join(label, "id"))
+    sizes = members.groupBy("comp").agg(F.sum("n").alias("total"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(HUBS)])
+    sizes = cut(sizes.select("comp", "total", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs")))
+    held = texts_of(documents, members.select("id", "comp", "n", "doc", "text_hash"))
+    whole = held.join(sizes.where(F.col("total") <= bundle).select("comp"), "comp")
+    one_group = lambda df: df.select("grp", "id", F.col("id").alias("lab"), F.lit(True).alias("target"), "text")
+    links = cut(grouped(one_group(whole.withColumnRenamed("comp", "grp"))).mapInArrow(in_groups(links_of), PAIRS))
+    parts = F.ceil(F.col("total") / bundle).cast("int")
+    big = cut(held.join(sizes.where(F.col("total") > bundle).select("comp", "hubs", parts.alias("np")), "comp"))
+    if big.isEmpty():
+        return links
+    is_hub = F.array_contains("hubs", F.col("id"))
+    own = big.withColumn("p", F.when(is_hub, F.sequence(F.lit(0), F.col("np") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "np").cast("int"))))
+    dealt = own.select("id", "text", "comp", F.explode("p").alias("p")).withColumn("grp", F.xxhash64("comp", "p"))
+    first = cut(grouped(one_group(dealt)).mapInArrow(in_groups(links_of), PAIRS))
+    # what is outside a bundle's main component meets all of the bundle's blocks
+    labels = big.drop("hubs").join(components(first).withColumnRenamed("comp", "lab"), "id", "left").withColumn("lab", F.coalesce("lab", "id"))
+    labels = cut(labels)
+    main = labels.groupBy("comp", "lab").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = main.groupBy("comp").agg(F.max_by("lab", F.struct("c", "lab")).alias("main"), (F.sum("s") - F.max_by("s", F.struct("c", "lab"))).alias("rest")).where("rest > 0")
+    sized = labels.join(main, "comp").withColumn("nt", F.ceil(F.col("rest") / bundle).cast("int"))
+    rest = grouped(crossed(sized, "comp", F.col("lab") != F.col("main"), ["lab", "text"])).mapInArrow(in_groups(links_of), PAIRS)
+    return links.unionByName(first).unionByName(cut(rest))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    documents = documents.select("doc_id", "text")
-    sketched = cut(documents.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, key binary, sig binary"))
-    known = sketched.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes)
-    label = near_duplicate_links(documents, classes.select("id", "n", "sig"))
-    by_key = with_components(classes.select("key", "id"), label).select("key", F.col("comp").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sketched = cut(rows.mapInArrow(sketch, SKETCH))
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    by_key = sketched.where("key IS NOT NULL").groupBy("key").agg(one, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    named = scrambled(F.monotonically_increasing_id()).alias("id")
+    classes = cut(by_key.select(named, "key", "least", "copies", "n", "sig", F.col("one.doc_id").alias("doc"), F.col("one.text_hash").alias("text_hash")))
+    bundles = components(plausible_links(classes.select("id", "n", "sig")))
+    label = components(confirmed(documents, classes, bundles))
+    least = classes.select("id", "least").join(label, "id")
+    least = least.join(least.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component")
+    found = classes.select("id", "key", "least", "copies").join(least, "id", "left").where("copies > 1 OR component IS NOT NULL")
+    found = found.select("key", F.coalesce("component", "least").alias("component"))
+    out = sketched.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -292,7 +292,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("grp").sortWithinPartitions("grp")
+    """Rows of a group in one partition, side by side; dealt by a hash of grp, as a join by grp itself would let Spark leave out
+    both steps and then, as it runs, the join's own order as well."""
+    return rows.repartition(F.xxhash64("grp")).sortWithinPartitions("grp")
 
 
 def blocks(rows: DataFrame) -> DataFrame:

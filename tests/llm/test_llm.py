@@ -92,12 +92,12 @@ def test_quality_rules_with_many_ngrams(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(passes, key=str)
 
 
-@pytest.mark.parametrize("max_words", [10**6, 8])
-def test_decontamination(spark, documents, texts, max_words):
+@pytest.mark.parametrize("bits", [24, 6])
+def test_decontamination(spark, documents, texts, bits):
     words_of = lambda t: ALNUM_RE.findall((t or "").translate(LOW))
     items = [(0, " ".join(words_of(texts[8])[4:18])), (1, "one"), (2, None), (3, ""), (4, " ".join(words_of(texts[11])[:10])), (5, " ".join(words_of(texts[11])[:10])), (6, "not there at all")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    got = by_id(winnowing.contamination(documents, benchmark, max_words=max_words))
+    got = by_id(winnowing.contamination(documents, benchmark, bits=bits))
     for i, t in enumerate(texts):
         w, hit, found = words_of(t), set(), set()
         for item, x in items:
@@ -113,13 +113,21 @@ def test_decontamination(spark, documents, texts, max_words):
     assert not any(r["contaminated"] for r in winnowing.contamination(documents, benchmark.limit(0)).collect())
 
 
-@pytest.mark.parametrize("max_words", [10**6, 8])
-def test_decontamination_of_null_and_repeated_ids(spark, max_words):
+@pytest.mark.parametrize("bits", [24, 6])
+def test_decontamination_of_null_and_repeated_ids(spark, bits):
     hot, other = " ".join(f"h{i}" for i in range(12)), " ".join(f"o{i}" for i in range(12))
     documents = spark.createDataFrame([(None, hot), (1, hot), (1, other)], "doc_id bigint, text string")
-    benchmark = spark.createDataFrame([(0, hot), (0, hot), (1, " ".join(f"n{i}" for i in range(12)))], "item_id bigint, text string")
-    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in winnowing.contamination(documents, benchmark, max_words=max_words).collect()}
-    assert got == {(None, 12, 12, 1), (1, 12, 12, 1), (1, 12, 0, 0)}
+    benchmark = spark.createDataFrame([(0, hot), (0, hot), (None, hot), (None, other), (1, " ".join(f"n{i}" for i in range(12)))], "item_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in winnowing.contamination(documents, benchmark, bits=bits).collect()}
+    assert got == {(None, 12, 12, 1), (1, 12, 12, 1), (1, 12, 12, 0)}
+    left = winnowing.clean_rows(documents.unionByName(spark.createDataFrame([(1, "n0 n1"), (None, None)], documents.schema)), benchmark, bits=bits).collect()
+    assert sorted(map(str, left)) == ["Row(doc_id=1, text='n0 n1')", "Row(doc_id=None, text=None)"]
+
+
+def test_decontamination_of_equal_words_is_linear(spark):
+    documents = spark.createDataFrame([(1, "w " * 200000), (2, "w " * 9)], "doc_id bigint, text string")
+    got = winnowing.contamination(documents, spark.createDataFrame([("a", "w " * 200000)], "item_id string, text string")).collect()
+    assert {tuple(r)[:4] for r in got} == {(1, 200000, 200000, 1), (2, 9, 0, 0)}
 
 
 def test_packing(documents, texts):

@@ -382,7 +382,7 @@ def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) of every row."""
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketched = cut(rows.mapInArrow(sketch, SKETCH))
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
@@ -395,6 +395,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component")
     found = classes.select("id", "key", "least", "copies").join(least, "id", "left").where("copies > 1 OR component IS NOT NULL")
     found = found.select("key", F.coalesce("component", "least").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    out = sketched.select("doc_id", "n_shingles", "key", "text_hash").join(found, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")

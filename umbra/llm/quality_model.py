@@ -5,7 +5,7 @@ statistics (marks, capitals, digits, repeated words and lines, word and line len
 label, language, source or id: the text's size in bytes, words and lines. Every pair of features interacts through
 RANK-dimensional factors; the pair sum is taken in linear time as half of (sum of v x)^2 minus the sum of (v x)^2.
 
-The model is fitted on the driver with a bounded sample (PER_CLASS labelled rows of each class, held-out fold left
+The model is fitted in one task on a bounded sample (PER_CLASS labelled rows of each class, held-out fold left
 out), by AdaGrad on the logistic loss; sizes of model and sample don't grow with the corpus. Scoring streams whole
 texts through Arrow batches, and nothing is shuffled.
 
@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from umbra.llm.tables import fold, training_sample
+from umbra.llm.tables import fitted, fold, training_sample
 from umbra.llm.words import SPACED, Words, mix, words
 
 BITS = 15
@@ -198,25 +199,26 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rank: int = RANK, r
     return m
 
 
-def scorer(machine: Machine):
-    """A mapInArrow function: (doc_id, text, ...) to the same columns and score."""
+def scorer(machine: Machine, into: str):
+    """A mapInArrow function: rows that hold a text to the same columns and into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sigmoid(machine.logits(features(w))) for w in words(batch.column("text"), SPACED, lower=False)]
             score = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, into])
 
     return run
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    return fit(training_sample(documents, labels, "quality", per_class, FOLDS, HELD))
+    return fitted(training_sample(documents, labels, "quality", per_class, FOLDS, HELD), fit)
 
 
-def score_quality(rows: DataFrame, machine: Machine) -> DataFrame:
-    """rows, which hold a text, with quality_score."""
-    return rows.mapInArrow(scorer(machine), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", quality_score double")
+def score_quality(rows: DataFrame, machine: Machine, into: str = "quality_score") -> DataFrame:
+    """rows, which hold a text, with their score in the new column into."""
+    schema = StructType([*rows.schema.fields, StructField(into, DoubleType())])
+    return rows.mapInArrow(scorer(machine, into), schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

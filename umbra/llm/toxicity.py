@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from umbra.llm.tables import fold, training_sample
+from umbra.llm.tables import fitted, fold, training_sample
 from umbra.llm.words import ALNUM, Words, grams, mix, words
 
 WINDOW = 24
@@ -350,25 +351,26 @@ def table_gradients(v: Vocabulary, used: np.ndarray, d_x: np.ndarray) -> dict[st
     return out
 
 
-def scorer(net: Network):
-    """A mapInArrow function: rows that hold a text to the same columns and toxicity_score."""
+def scorer(net: Network, into: str):
+    """A mapInArrow function: rows that hold a text to the same columns and into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [net.score(w) for w in words(batch.column("text"), ALNUM)]
             score = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, into])
 
     return run
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    return fit(training_sample(documents, labels, "toxic", per_class, FOLDS, HELD))
+    return fitted(training_sample(documents, labels, "toxic", per_class, FOLDS, HELD), fit)
 
 
-def score_toxicity(rows: DataFrame, net: Network) -> DataFrame:
-    """rows, which hold a text, with toxicity_score."""
-    return rows.mapInArrow(scorer(net), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", toxicity_score double")
+def score_toxicity(rows: DataFrame, net: Network, into: str = "toxicity_score") -> DataFrame:
+    """rows, which hold a text, with their score in the new column into."""
+    schema = StructType([*rows.schema.fields, StructField(into, DoubleType())])
+    return rows.mapInArrow(scorer(net, into), schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

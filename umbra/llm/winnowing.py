@@ -2,197 +2,164 @@
 
 Of each text's K-word hashes the least (rightmost of equals) in every run of W consecutive ones is kept as a
 fingerprint. Two texts that share WINDOW = K + W - 1 consecutive words share a whole run and so keep the same
-fingerprint of it: no shared span of that length is missed. Training and test fingerprints are joined; each hit is
-extended word by word to the left and right, and spans of WINDOW words or more mark the document's words. Items of
-fewer than WINDOW words are one window each; for them every run of just their length is a fingerprint (W = 1).
+fingerprint of it: no shared window is missed. Items of fewer than WINDOW words are one window each; for them every run
+of just their length is its own fingerprint.
 
-The benchmark is broadcast only after a count shows at most MAX_WORDS words; beyond that it is taken in blocks of
-at most that many (one item at least), each block a pass over the documents, and the passes' spans are merged, so
-memory never grows with the benchmark. Documents stream through Arrow batches and are never shuffled in the
-one-block case.
+Training and test fingerprints meet in two steps, at every size the same ones. A table of 2**BITS bits, set where a
+benchmark fingerprint falls, goes to the documents with the scan (its size is fixed; a fuller one only lets more pass);
+windows whose fingerprint passes are joined by their own hash with the benchmark's windows. A hit is extended by the
+windows before and after it that join as well; what they cover together is a span. So equal fingerprints cost no
+pairs, and the join is salted by nothing but Spark's own splitting: of the benchmark's windows each stands there once.
+Documents' texts are read once and never shuffled; rows meet their spans by the hash of their text, on which alone
+the result depends, so null and repeated doc_ids are like any others.
 
 Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated rows are treated alike;
-items with equal texts all count. Other columns are ignored. Words are compared by 64-bit hashes.
+items with equal texts all count, an item_id counts once, and an item without an id marks words but isn't counted.
+Other columns are ignored. Words are compared by 64-bit hashes. Memory is bounded by a chunk of texts or one very long
+text, and by the windows of one text that are in the benchmark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.words import ALNUM, Words, grams, words
+from umbra.llm.words import ALNUM, Words, grams, mix, words
+from umbra.session import broadcast_if_small, cut
 
 WINDOW = 10
 K = 5
-MAX_WORDS = 2_000_000
-SCHEMA = "doc_id bigint, text_hash bigint, n_words bigint, spans array<int>, items array<string>"
-
-
-@dataclass
-class Index:
-    """Fingerprints of a block of items: for each gram length, sorted hashes with the item and place they stand at."""
-
-    ids: list[str] = field(default_factory=list)
-    words: list[np.ndarray] = field(default_factory=list)
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-
-def fingerprints(hashes: np.ndarray, text: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the winnowed k-grams of texts laid end to end; text[i] is the text of word i."""
-    if len(hashes) < k + w - 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    g = grams(hashes, k)
-    if w == 1:
-        places = np.flatnonzero(text[: len(g)] == text[k - 1 :])
-        return places, g[places]
-    runs = np.lib.stride_tricks.sliding_window_view(g[::-1], w)[::-1]  # argmin takes the first: the rightmost
-    least = np.arange(len(runs)) + (w - 1) - np.argmin(runs, axis=1)
-    least = least[text[: len(runs)] == text[k + w - 2 :]]
-    keep = np.zeros(len(g), dtype=bool)
-    keep[least] = True
-    places = np.flatnonzero(keep)
-    return places, g[places]
-
-
-def build_index(items: list[tuple[str, str]], window: int = WINDOW, k: int = K) -> Index:
-    """items: (id, text)."""
-    out = Index(ids=[i for i, _ in items])
-    flat: list[Words] = list(words(pa.array([t or "" for _, t in items], pa.string()), ALNUM)) if items else []
-    for w in flat:
-        out.words += [w.hashes[w.bounds[t] : w.bounds[t + 1]] for t in range(len(w.bounds) - 1)]
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, h in enumerate(out.words):
-        if len(h) >= window:
-            groups.setdefault((k, window - k + 1), []).append(i)
-        elif len(h):
-            groups.setdefault((len(h), 1), []).append(i)
-    for (n, w), members in groups.items():
-        hashes = np.concatenate([out.words[i] for i in members])
-        sizes = [len(out.words[i]) for i in members]
-        item = np.repeat(np.array(members), sizes)
-        begin = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-        places, found = fingerprints(hashes, item, n, w)
-        order = np.argsort(found, kind="stable")
-        out.tables[n, w] = (found[order], item[places][order], (places - begin[places])[order])
-    return out
-
-
-def matches(w: Words, index: Index, window: int = WINDOW) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
-    """Spans (first word, end) and items hit, by text of the chunk; word numbers are the chunk's."""
-    spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[int]] = {}
+BITS = 24
+#: Rows of benchmark windows or of texts with hits that are broadcast (some 32 bytes each), joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+ITEMS = "item_id string, length int, print bigint, window bigint"
+FOUND = "doc_id bigint, text_hash bigint, n_words bigint, windows array<struct<at:int,length:int,window:bigint>>"
+SPANS = "text_hash bigint, spans array<int>"
+
+
+def windows(w: Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, fingerprints, hashes) of all runs of length words inside the chunk's texts.
+
+    A window's fingerprint is its least k-gram hash, rightmost of equals, so that consecutive windows mostly share one.
+    """
+    n = len(w.hashes)
+    if n < length:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     text = w.text_of_words()
-    for (k, run), (keys, item_of, place_of) in index.tables.items():
-        places, found = fingerprints(w.hashes, text, k, run)
-        if not len(found):
-            continue
-        low = np.searchsorted(keys, found, side="left")
-        hit = low < len(keys)
-        hit[hit] = keys[low[hit]] == found[hit]
-        places, found, low = places[hit], found[hit], low[hit]
-        high = np.searchsorted(keys, found, side="right")
-        done: dict[tuple[int, int], int] = {}  # (item, place in text - place in item): end of the last span there
-        for p, a, b in zip(places.tolist(), low.tolist(), high.tolist(), strict=True):
-            t = int(text[p])
-            lo, hi = int(w.bounds[t]), int(w.bounds[t + 1])
-            for j in range(a, b):
-                i, q = int(item_of[j]), int(place_of[j])
-                if done.get((i, p - q), -1) > p:
-                    continue
-                own = index.words[i]
-                begin = p - min(p - lo, q)
-                end = p + min(hi - p, len(own) - q)
-                same = w.hashes[begin:end] == own[q - (p - begin) : q + (end - p)]
-                at = p - begin
-                left = same[:at][::-1]
-                start = begin if left.all() else p - int(np.argmin(left))
-                right = same[at:]
-                stop = end if right.all() else p + int(np.argmin(right))
-                done[i, p - q] = max(stop, p + 1)
-                if stop - start >= min(window, len(own)):
-                    spans.setdefault(t, []).append((start - lo, stop - lo))
-                    items.setdefault(t, set()).add(i)
-    return spans, items
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def scan(index: Index, window: int):
-    """A mapInArrow function over (doc_id, text, text_hash) batches; items of one id count once."""
+    places = np.flatnonzero(text[: n - length + 1] == text[length - 1 :])
+    whole = grams(w.hashes, length) ^ mix(np.array([length], dtype=np.uint64))
+    prints = np.lib.stride_tricks.sliding_window_view(grams(w.hashes, k), length - k + 1).min(axis=1)
+    return places, prints[places], whole[places]
+
+
+def gram_size(length: int, window: int, k: int) -> int:
+    """Words of the fingerprints of windows of length words."""
+    return k if length >= window else length
+
+
+def item_windows(window: int, k: int):
+    """A mapInArrow function: (item_id, text) to the items' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            counts: list[np.ndarray] = []
-            spans: list[list[int]] = [[] for _ in range(len(texts))]
-            items: list[list[str]] = [[] for _ in range(len(texts))]
-            for w in words(texts, ALNUM):
-                counts.append(np.diff(w.bounds))
-                s, hit = matches(w, index, window)
-                for t, found in s.items():
-                    spans[w.first + t] = [x for ab in merge(found) for x in ab]
-                    items[w.first + t] = sorted({index.ids[i] for i in hit[t]})
-            n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text_hash", "n_words", "spans", "items"],
-            )
+            for w in words(batch.column(1), ALNUM):
+                sizes = np.minimum(np.diff(w.bounds), window)
+                for length in np.unique(sizes[sizes > 0]).tolist():
+                    places, prints, whole = windows(w, length, gram_size(length, window, k))
+                    owner = w.text_of_words()[places]
+                    mine = sizes[owner] == length
+                    ids = batch.column(0).take(pa.array(owner[mine] + w.first))
+                    columns = [ids, pa.array(np.full(mine.sum(), length), pa.int32()), pa.array(prints[mine].view(np.int64)), pa.array(whole[mine].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "length", "print", "window"])
 
     return run
 
 
-def blocks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's (id, text) in blocks of max_words words at most, or one item; one block is on the driver at a time."""
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    block: list[tuple[str, str]] = []
-    size = 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"]) // 2 + 1  # words at most
-        if block and size + n > max_words:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += n
-    if block:
-        yield block
+def bit_table(items: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, those of the items' fingerprints set: by the first bits of their hashes."""
+    place = F.shiftrightunsigned("print", 64 - bits)
+    held = items.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    held = held.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("value"))
+    out = np.zeros(max(1, 1 << bits >> 6), dtype=np.int64)
+    for r in held.toLocalIterator():
+        out[r["word"]] = r["value"]
+    return out.view(np.uint64)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (flat begin, end word numbers of hit runs), items (sorted ids with occurring windows) of every row."""
+def scan(table: np.ndarray, bits: int, lengths: list[int], window: int, k: int):
+    """A mapInArrow function over (doc_id, text, text_hash): the rows with those of their windows whose fingerprint is in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, owner, at, size, found = [], [], [], [], []
+            for w in words(batch.column(1), ALNUM):
+                n.append(np.diff(w.bounds))
+                text = w.text_of_words()
+                for length in lengths:
+                    places, prints, whole = windows(w, length, gram_size(length, window, k))
+                    slot = prints >> np.uint64(64 - bits)
+                    hit = np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    owner.append(text[places[hit]] + w.first)
+                    at.append(places[hit] - w.bounds[:-1][text[places[hit]]])
+                    size.append(np.full(len(hit), length))
+                    found.append(whole[hit])
+            rows = batch.num_rows
+            join = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
+            owner, at, size, found = join(owner, np.int64), join(at, np.int32), join(size, np.int32), join(found, np.uint64)
+            order = np.argsort(owner, kind="stable")
+            struct = pa.StructArray.from_arrays([pa.array(at[order]), pa.array(size[order]), pa.array(found[order].view(np.int64))], names=["at", "length", "window"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(rows + 1)), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(join(n, np.int64)), lists], names=["doc_id", "text_hash", "n_words", "windows"])
+
+    return run
+
+
+def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_hash, places: begin << 32 | length of hit windows) to flat begin, end of the spans they cover."""
+    for batch in batches:
+        spans = []
+        for places in batch.column(1).to_pylist():
+            p = np.unique(np.array(places, dtype=np.int64))
+            begin, end = p >> 32, np.maximum.accumulate((p >> 32) + (p & 0xFFFFFFFF))
+            first = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+            spans.append(np.stack([begin[first], end[np.append(first[1:], len(p)) - 1]], axis=1).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32()))], names=["text_hash", "spans"])
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (doc_id, text_hash, n_words); of each text that is hit (text_hash, at, length, window) and the benchmark's windows."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = cut(items.mapInArrow(item_windows(window, k), ITEMS).distinct())
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    parts = [rows.mapInArrow(scan(build_index(block, window, k), window), SCHEMA) for block in blocks(benchmark, max_words)]
-    if not parts:
-        return rows.mapInArrow(scan(Index(), window), SCHEMA).drop("text_hash")
-    if len(parts) == 1:
-        return parts[0].drop("text_hash")
-    # Several blocks: every pass also returns the row's number of words; hits meet by doc_id, which may be null or repeated, and text.
-    union = parts[0].where("size(spans) > 0")
-    for p in parts[1:]:
-        union = union.unionByName(p.where("size(spans) > 0"))
-    hits = union.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    joined = parts[0].select("doc_id", "text_hash", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-    none = F.array().cast("array<int>")
-    return joined.select("doc_id", "n_words", F.coalesce(F.udf(union_of_spans, "array<int>")("s"), none).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
-
-
-def union_of_spans(lists):
-    """One flat, merged list of the spans of several passes."""
-    if lists is None:
-        return None
-    return [x for ab in merge([(s[i], s[i + 1]) for s in lists for i in range(0, len(s), 2)]) for x in ab]
+    found = cut(rows.mapInArrow(scan(bit_table(items, bits), bits, lengths, window, k), FOUND))
+    texts = found.where(F.size("windows") > 0).groupBy("text_hash").agg(F.first("windows").alias("windows"))
+    each = texts.select("text_hash", F.explode("windows").alias("w")).select("text_hash", "w.*")
+    known = items.select("window").distinct()
+    return found.select("doc_id", "text_hash", "n_words"), cut(each.join(broadcast_if_small(known, BROADCAST_ROWS), "window")), items
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, bits: int = BITS) -> DataFrame:
+    """doc_id, n_words, spans (flat begin, end word numbers of hit runs), items (sorted ids with occurring windows) of every row."""
+    rows, hit, items = hits(documents, benchmark, window, k, bits)
+    places = hit.select("text_hash", F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.col("length").cast("bigint")).alias("place"))
+    spans = places.groupBy("text_hash").agg(F.collect_set("place").alias("places")).mapInArrow(merging, SPANS)
+    named = items.where(F.col("item_id").isNotNull()).select("window", "item_id")
+    names = hit.select("text_hash", "window").distinct().join(named, "window").groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    both = cut(spans.join(names, "text_hash", "left"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    joined = rows.join(both, "text_hash", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", none("int")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
+
+
+def clean_rows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, bits: int = BITS) -> DataFrame:
+    """The documents, with all their columns, whose texts hold no window of the benchmark."""
+    hit = cut(hits(documents, benchmark, window, k, bits)[1].select(F.col("text_hash").alias("_hit")).distinct())
+    return documents.join(broadcast_if_small(hit, BROADCAST_ROWS), F.xxhash64("text") == F.col("_hit"), "left_anti")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -40,9 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from there (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and continue from there (survives lost executors).
+
+    A checkpointed frame keeps the size that Spark had estimated for its plan, in which each join multiplies its inputs'.
+    In loops that number itself grows without bound and fills the driver, so the frame is made anew from what was written.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

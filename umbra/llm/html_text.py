@@ -1,6 +1,6 @@
 """Main text of HTML pages by a tree-structured graphical model over the DOM.
 
-A page is read by one pass of a pattern over its tags into a tree (unclosed, stray and implied tags are dealt with;
+A page is read by one pass over its tags into a tree (unclosed, stray and implied tags are dealt with;
 scripts, styles, comments and the like leave no text). Its nodes are binary variables, content or not: a node potential
 from its features (tag, names, own text, links, place) and a parent-child potential, both trained in numpy from the
 labelled pages of `labelled_pages`. Sum-product messages pass from the leaves to the root and back, level by level,
@@ -8,14 +8,15 @@ which gives each node's exact content marginal; text of a block is kept where it
 
 Null, empty and tag-less pages: a page without tags is one text node and judged like any other; without text the
 result is "". White space inside a block is one space, blocks are trimmed and joined by two line ends in page order.
-Repeated rows are treated alike; an empty table gives an empty result; extra columns are ignored. Memory is bounded by
-one Arrow batch and one page's tree.
+Repeated rows are treated alike; an empty table gives an empty result; extra columns are ignored. Very long pages, also
+deeply nested or full of unclosed tags, take time by their length; memory is bounded by one Arrow batch and a page's tree.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from umbra.llm.labelled_pages import PAGES
 
-TAG = re.compile(r"<(?:!--(?:.*?--|[^>]*)>|!\[CDATA\[(.*?)\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,15 +70,54 @@ class Tree:
     link_chars: list[int]
 
 
+class Open:
+    """The open elements, and what the parser asks of them in constant time."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("", 0)]  # tag and block node
+        self.count: Counter[str] = Counter()
+        self.blocks = [0]  # places of elements that aren't inline
+        self.scopes: list[Counter[str]] = [Counter()]  # open tags since each barrier
+        self.silent = self.links = 0
+
+    def push(self, tag: str, node: int) -> None:
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+        self.count[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in _BARRIER:
+            self.scopes.append(Counter())
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        if self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        if tag in _BARRIER:
+            self.scopes.pop()
+        self.scopes[-1][tag] -= 1
+        self.count[tag] -= 1
+        self.silent -= tag in SILENT
+        self.links -= tag == "a"
+        return tag
+
+    def closes(self, tag: str) -> bool:
+        """Whether a closing tag ends an element; an inline one ends none outside the nearest barrier."""
+        return (self.scopes[-1] if tag in INLINE else self.count)[tag] > 0
+
+
 def parse(page: str) -> Tree:
-    """The page's tree of block elements; inline ones give their text to the block around them."""
+    """The page's tree of block elements; inline ones give their text to the block around them. Time grows with the page's length alone."""
     nodes = [Node("", "", -1, 0)]
-    stack: list[tuple[str, int]] = [("", 0)]  # open elements: tag and block node
+    open_ = Open()
     blocks: list[tuple[int, str]] = []
     links = [0]
     text: list[str] = []
     own = at = 0
-    silent = in_link = 0
+    n = len(page)
+    ahead: dict[str, int] = {}  # where the next one of each end mark stands
 
     def flush() -> None:
         if text:
@@ -86,49 +126,61 @@ def parse(page: str) -> Tree:
                 blocks.append((own, whole))
             text.clear()
 
-    n = len(page)
+    def say(begin: int, end: int) -> None:
+        if end > begin and not open_.silent:
+            text.append(page[begin:end])
+            if open_.links:
+                links[own] += end - begin
+
+    def find(mark: str, begin: int) -> int:
+        """Place of the next mark from begin on, n if there is none; begin never goes back."""
+        if ahead.get(mark, -1) < begin:
+            ahead[mark] = k if (k := page.find(mark, begin)) >= 0 else n
+        return ahead[mark]
+
     while at < n:
-        m = TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and not silent:
-            text.append(page[at:end])
-            if in_link:
-                links[own] += end - at
-        if not m:
+        start = find("<", at)
+        say(at, start)
+        if start == n:
             break
-        at = m.end()
-        if m[1] is not None and not silent:
-            text.append(m[1])
-        if not m[3]:
+        if page[start + 1 : start + 2] in ("!", "?"):
+            mark = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+            end = find(mark, start + 2 if mark == "-->" else start + 1)
+            if end < n and mark == "]]>" and not open_.silent:
+                text.append(page[start + 9 : end])
+            if end == n:  # no end: the mark of any tag ends it, and without one it is text
+                mark, end = ">", find(">", start)
+            at = end + len(mark)
+            if end == n:
+                say(start, start + 1)
+                at = start + 1
             continue
-        tag = m[3].lower()
-        if m[2]:  # a closing tag: it ends the nearest open one, and what is open inside
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+        m = TAG.match(page, start)
+        if not m:
+            say(start, start + 1)
+            at = start + 1
+            continue
+        at = m.end()
+        tag = m[2].lower()
+        if m[1]:  # a closing tag: it ends the nearest open one, and what is open inside
+            if tag == "br" or tag == "p" and not open_.count["p"]:
                 text.append(" ")
-                continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k and not (tag in INLINE and any(t in _BARRIER for t, _ in stack[k + 1 :])):
-                if any(t not in INLINE for t, _ in stack[k:]):
-                    flush()
-                for t, _ in stack[k:]:
-                    silent -= t in SILENT
-                    in_link -= t == "a"
-                del stack[k:]
-                own = stack[-1][1]
+            elif open_.closes(tag):
+                before = len(text)
+                while True:
+                    gone = open_.stack[-1][0]
+                    if gone not in INLINE and before:
+                        flush()
+                        before = 0
+                    if open_.pop() == tag:
+                        break
+                own = open_.stack[-1][1]
             continue
-        if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in ENDS[tag]:
-                    flush()
-                    for x, _ in stack[k:]:
-                        silent -= x in SILENT
-                        in_link -= x == "a"
-                    del stack[k:]
-                    own = stack[-1][1]
-                    break
-                if t not in INLINE:
-                    break
+        if tag in ENDS and open_.stack[open_.blocks[-1]][0] in ENDS[tag]:
+            flush()
+            for _ in range(len(open_.stack) - open_.blocks[-1]):
+                open_.pop()
+            own = open_.stack[-1][1]
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -136,22 +188,20 @@ def parse(page: str) -> Tree:
                 text.append(" ")
             continue
         if tag in INLINE:
-            if not m[4].endswith("/"):
-                stack.append((tag, own))
-                in_link += tag == "a"
+            if not m[3].endswith("/"):
+                open_.push(tag, own)
             continue
         flush()
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if m[4] else ""
+        names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3])) if m[3] else ""
         nodes.append(Node(tag, names, own, nodes[own].depth + 1))
         links.append(0)
         own = len(nodes) - 1
-        stack.append((tag, own))
-        silent += tag in SILENT
+        open_.push(tag, own)
         if tag in RAW:
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = close.start() if close else n
             if not close:
                 break
+            at = close.start()
     flush()
     return Tree(nodes, blocks, links)
 
@@ -220,7 +270,8 @@ class Model:
         n = len(x)
         phi = np.stack([np.zeros(n), x @ self.node], axis=1)
         psi = (edge_features(x) @ self.edge.reshape(4, EDGES).T).reshape(n, 2, 2)
-        levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1)))
         inner = phi.copy()  # own potential and children's messages
         up = np.zeros((n, 2))
         for own in reversed(levels[1:]):

@@ -3,10 +3,10 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class, named by a number of its
 own. Of each class a signature of T minwise values is kept. In an independent tree every class starts at the root; a
 node picks signature places and sends each class on to the child of its minwise value there. At the root it picks one or
-two places (1 / similarity on average), deeper always two, so that a pair at the threshold misses a tree with 0.15 at
-most at any depth; TREES independent trees miss it with 3e-7. A node of up to SMALL classes is compared exhaustively, by
-signatures. In a larger one all classes are compared with one of them, its leader; where only few differ from it, those
-are compared with the whole node in blocks; otherwise the node branches again (to DEPTH, then in blocks). Nodes whose
+two places (1 / similarity on average), deeper always two, so that a pair at the threshold misses a tree with 0.15 or
+little more at any depth; TREES independent trees and the signatures' own spread lose it with 3e-6, six levels deep 8e-6. A node of up to SMALL classes is compared exhaustively, by
+signatures. In a larger one all classes are compared with LEADERS of them; where up to FEW differ from the first and its
+like, those are compared with the whole node in blocks; otherwise the node branches again (to DEPTH, then in blocks). Nodes whose
 classes already belong together are dropped, so large groups of near copies stay linear.
 
 Signatures only say which classes may belong together. Each such bundle's whole sets then meet once, and links are
@@ -38,7 +38,9 @@ PERCENT = 85
 T = 64
 TREES = 8
 #: Classes of a node that is compared exhaustively, and of a block's targets and probes.
-SMALL, TARGETS, PROBES = 512, 256, 1024
+SMALL, TARGETS, PROBES = 512, 512, 2048
+#: Leaders of a larger node, and classes unlike them up to which it is compared in blocks at once.
+LEADERS, FEW = 8, 2048
 DEPTH = 24
 #: Pairs of signatures that agree in a smaller part are left out: 5.2 standard errors below the threshold, 40 of 64 values.
 #: A pair just at the threshold is lost so with 2.4e-6 (binomial), in every tree alike.
@@ -242,16 +244,38 @@ def links_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pairs(ids, closure(lab, target, linked(sets)))
 
 
-def beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of nodes with their leader's main, ln and lsig to the same rows; those that may be linked to it get its lab."""
+def beside_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes with their leaders (id, lab, n, sig) to LED rows: those that may be linked to a leader get its lab, and the link."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        n, ln, lab, main = (batch.column(c).to_numpy() for c in ("n", "ln", "lab", "main"))
-        alike = (matrix(batch.column("sig")) == matrix(batch.column("lsig"))).sum(axis=1) >= AGREE
-        alike &= 100 * np.minimum(n, ln) >= PERCENT * np.maximum(n, ln)
-        columns = [batch.column("node"), batch.column("id"), pa.array(np.where(alike, main, lab)), batch.column("main"), batch.column("n"), batch.column("sig")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(alike & (main != lab)), batch.column("leader")], names=[c.split()[0] for c in LED.split(", ")])
+        node, ids, lab, n = (batch.column(c).to_numpy() for c in ("node", "id", "lab", "n"))
+        sig, lab = matrix(batch.column("sig")), lab.copy()
+        main, link = np.zeros_like(lab), np.full(len(lab), -1)
+        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        leader = np.zeros_like(ids)
+        for k, at in enumerate(first.tolist()):
+            rows = np.flatnonzero(which == k)
+            leaders = batch.column("leaders")[at].as_py()
+            lsig = np.stack([np.frombuffer(x["sig"], dtype="<u4") for x in leaders])
+            ln, lid = np.array([x["n"] for x in leaders]), np.array([x["id"] for x in leaders])
+            alike = lambda s, m: ((s[:, None, :] == lsig).sum(axis=2) >= AGREE) & (100 * np.minimum(m[:, None], ln) >= PERCENT * np.maximum(m[:, None], ln))
+            own = [x["lab"] for x in leaders]
+            among = alike(lsig, ln)
+            for j in range(1, len(leaders)):
+                if among[j, :j].any():
+                    own[j] = own[int(np.argmax(among[j, :j]))]
+            near = alike(sig[rows], n[rows]) & (ids[rows, None] != lid)
+            at = np.argmax(near, axis=1)
+            # a leader goes with an earlier one only
+            itself = lid == ids[rows, None]
+            some = near.any(axis=1) & ~(itself.any(axis=1) & (at > np.argmax(itself, axis=1)))
+            main[rows] = own[0]
+            lab[rows[some]] = np.array(own)[at[some]]
+            leader[rows] = lid[at]
+            link[rows[some]] = 1
+        columns = [batch.column("node"), batch.column("id"), pa.array(lab), pa.array(main), batch.column("n"), batch.column("sig"), pa.array(link > 0), pa.array(leader)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LED.split(", ")])
 
 
 LED = "node bigint, id bigint, lab bigint, main bigint, n bigint, sig binary, joined boolean, leader bigint"
@@ -298,10 +322,9 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Nodes (node, id, lab, main, n, sig) in groups of bounded size: rows outside the main lab meet every row of the node once."""
-    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("lab") != F.col("main")).alias("rest"))
-    joined = rows.join(size, "node").withColumn("nt", F.ceil(F.col("rest") / TARGETS).cast("int")).withColumn("np", F.ceil(F.col("size") / PROBES).cast("int"))
-    return crossed(joined.where("rest > 0"), "node", F.col("lab") != F.col("main"), ["lab", "n", "sig"])
+    """Nodes (node, id, lab, main, n, sig, size, rest) in groups of bounded size: rows outside the main lab meet every row of the node once."""
+    joined = rows.withColumn("nt", F.ceil(F.col("rest") / TARGETS).cast("int")).withColumn("np", F.ceil(F.col("size") / PROBES).cast("int"))
+    return crossed(joined, "node", F.col("lab") != F.col("main"), ["lab", "n", "sig"])
 
 
 def crossed(rows: DataFrame, key: str, rest: Column, columns: list[str]) -> DataFrame:
@@ -314,36 +337,34 @@ def crossed(rows: DataFrame, key: str, rest: Column, columns: list[str]) -> Data
     return t.unionByName(p).select(F.xxhash64(key, "t", "p").alias("grp"), "id", "target", *columns)
 
 
-def open_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows (node, id, lab) in nodes of more than one lab with the node's size and their n and sig, written."""
-    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi")
-    return cut(rows.join(stats.select("node", "size"), "node").join(classes.select("id", "n", "sig"), "id").select("node", "size", "id", "lab", "n", "sig"))
-
-
-def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL) -> DataFrame:
+def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL, few: int = FEW) -> DataFrame:
     """(a, b): pairs of classes (id, n, sig) that may be linked, enough to join all that may."""
-    rows = open_nodes(classes.select("id", "sig").mapInArrow(branching(trees), NODE_ROWS), classes)
+    sized = classes.select("id", "n", "sig")
+    rows = classes.select("id", "sig").mapInArrow(branching(trees), NODE_ROWS)
+    by_hash = [F.min_by(F.struct("id", "lab"), F.struct(F.xxhash64("id", "node", F.lit(k)), "id")) for k in range(LEADERS)]
     out = None
     for depth in range(DEPTH + 1):
-        groups = rows.where(F.col("size") <= small).select(F.col("node").alias("grp"), "id", F.lit(True).alias("target"), "lab", "n", "sig")
-        large = rows.where(F.col("size") > small)
-        found = None
-        if not large.isEmpty():
-            first = F.min_by(F.struct("id", "lab", "n", "sig"), F.struct(F.xxhash64("id", "node"), "id")).alias("x")
-            leaders = large.groupBy("node").agg(first).select("node", F.col("x.id").alias("leader"), F.col("x.lab").alias("main"), F.col("x.n").alias("ln"), F.col("x.sig").alias("lsig"))
-            led = cut(large.join(leaders, "node").mapInArrow(beside_leader, LED))
-            found = led.where("joined").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-            sized = led.groupBy("node").agg(F.count_if(F.col("lab") != F.col("main")).alias("rest")).where("rest > 0")
-            led = led.join(sized, "node")
-            many = F.col("rest") > (TARGETS if depth < DEPTH else float("inf"))
-            groups = groups.unionByName(blocks(led.where(~many).drop("rest")))
-        edges = grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS)
-        edges = cut(edges if found is None else edges.unionByName(found))
+        # nodes whose classes already have one lab are done
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.array_distinct(F.array(*by_hash)).alias("leaders"))
+        stats = cut(stats.where("lo <> hi").select("node", "size", F.when(F.col("size") > small, F.col("leaders")).alias("leaders")))
+        whole = rows.join(stats.where(F.col("size") <= small).select("node"), "node", "left_semi").join(sized, "id")
+        groups = whole.select(F.col("node").alias("grp"), "id", F.lit(True).alias("target"), "lab", "n", "sig")
+        large = stats.where(F.col("size") > small)
+        if large.isEmpty():
+            edges = cut(grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS))
+            return edges if out is None else out.unionByName(edges)
+        leaders = large.select("node", F.posexplode("leaders").alias("k", "x")).select("node", "k", F.col("x.id").alias("id"), F.col("x.lab").alias("lab")).join(sized, "id")
+        leaders = leaders.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "id", "lab", "n", "sig"))).alias("leaders"))
+        led = cut(rows.join(leaders, "node").join(sized, "id").select("node", "id", "lab", "n", "sig", "leaders").mapInArrow(beside_leaders, LED))
+        found = led.where("joined").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+        left = led.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("lab") != F.col("main")).alias("rest")).where("rest > 0")
+        led = led.join(left, "node")
+        many = F.col("rest") > (few if depth < DEPTH else float("inf"))
+        edges = cut(grouped(groups.unionByName(blocks(led.where(~many)))).mapInArrow(in_groups(bundles_of), PAIRS).unionByName(found))
         out = edges if out is None else out.unionByName(edges)
-        if found is None:
-            break
-        again = led.where(many).select("node", "id", "lab", "sig")
-        rows = open_nodes(again.mapInArrow(branching(0), NODE_ROWS), classes)
+        rows = cut(led.where(many).select("node", "id", "lab", "sig").mapInArrow(branching(0), NODE_ROWS))
+        if rows.isEmpty():
+            return out
     return out
 
 

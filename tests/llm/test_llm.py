@@ -175,17 +175,92 @@ def test_near_duplicates(documents, texts):
     assert near_dups.near_duplicates(documents.limit(0)).count() == 0
 
 
+def brute_components(rows):
+    """Least doc_id reachable of each row, over all pairs of sets."""
+    sets = []
+    for _, t in rows:
+        w = SPACED_RE.findall(t.translate(LOW))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))))
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([holders[x] for x in s]), minlength=len(rows))
+        for j in np.flatnonzero(100 * both >= 85 * (len(s) + sizes - both)):
+            a, b = find(i), find(int(j))
+            up[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return {doc: least[find(i)] for i, (doc, _) in enumerate(rows)}
+
+
+def pair_at_threshold(r, name, common=()):
+    """Two texts of 296 shingles, 272 of which they share: a similarity of exactly 0.85."""
+    w = [*common, *(f"v{r.randrange(20000)}" for _ in range(300 - len(common)))]
+    return " ".join(w), " ".join([*w[:-24], *(f"z{name}_{k}" for k in range(24))])
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """3000 pairs just at the threshold: none may be lost."""
+    r = random.Random(5)
+    rows = [(2 * i + j, t) for i in range(3000) for j, t in enumerate(pair_at_threshold(r, i))]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert sum(x["component_id"] == x["doc_id"] - x["doc_id"] % 2 for x in got) == len(rows)
+
+
+def test_near_duplicates_in_deep_nodes(spark, monkeypatch):
+    """A passage that hundreds share, and hundreds of copies of one text, with limits so small that nodes branch many levels deep."""
+    r = random.Random(6)
+    passage, base = [f"p{k}" for k in range(170)], [f"q{r.randrange(5000)}" for _ in range(300)]
+    rows = [(2 * i + j, t) for i in range(200) for j, t in enumerate(pair_at_threshold(r, i, passage))]
+    for i in range(200):
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            w[r.randrange(300)] = f"m{r.randrange(9999)}"
+        rows.append((1000 + i, " ".join(w)))
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    levels = []
+    branching = near_dups.branching
+    monkeypatch.setattr(near_dups, "branching", lambda trees: levels.append(trees) or branching(trees))
+    monkeypatch.setattr(near_dups, "TARGETS", 16)
+    monkeypatch.setattr(near_dups, "PROBES", 32)
+    monkeypatch.setattr(near_dups, "LEADERS", 2)
+    monkeypatch.setattr(near_dups.plausible_links, "__defaults__", (near_dups.TREES, 24, 12))
+    monkeypatch.setattr(near_dups.confirmed, "__defaults__", (1 << 14,))
+    got = {x["doc_id"]: x["component_id"] for x in near_dups.near_duplicates(documents).collect()}
+    assert got == brute_components(rows)
+    assert len(levels) >= 4
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with unlike texts each link their own copies; rows without an id link, too, and very long texts."""
+    r = random.Random(8)
+    a, b, c = ([f"{x}{r.randrange(9000)}" for _ in range(n)] for x, n in (("a", 200), ("b", 200), ("c", 60000)))
+    near = lambda w: " ".join([*w[:-3], "x", "y", "z"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (7, near(a)), (8, near(b)), (None, " ".join(c)), (9, near(c)), (9, near(c)), (5, "")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in got if x["doc_id"]) == [(1, 1, True), (1, 1, True), (5, 5, True), (7, 1, False), (8, 1, False), (9, 9, True), (9, 9, True)]
+    assert [x["component_id"] for x in got if x["doc_id"] is None] == [None]
+
+
 def test_signatures_keep_pairs_at_the_threshold():
-    """The filter on signatures loses a pair just at the threshold with less than 1e-5, and says so of rows that agree in 42 of 64."""
-    p = near_dups.PERCENT / 100
-    loss = sum(math.comb(near_dups.T, k) * p**k * (1 - p) ** (near_dups.T - k) for k in range(near_dups.T + 1) if k / near_dups.T < p - near_dups.SKETCH_MARGIN)
-    assert loss < 1e-5
+    """The filter on signatures loses a pair just at the threshold with less than 1e-5, and lets rows pass that agree in 40 of 64."""
+    p, least = near_dups.PERCENT / 100, near_dups.AGREE
+    assert least == 40 and sum(math.comb(near_dups.T, k) * p**k * (1 - p) ** (near_dups.T - k) for k in range(least)) < 1e-5
     x = np.arange(near_dups.T, dtype="<u4")
-    y = np.where(x < 42, x, x + 1000).astype("<u4")
-    rows = {"grp": [5, 5], "id": [1, 2], "comp": [1, 2], "role": [1, 1], "n": [100, 100], "sig": [x.tobytes(), y.tobytes()], "node": [5, 5]}
-    t = pa.table(rows)
-    assert [near.tolist() for _, _, near, _ in near_dups.plausible_pairs(t)] == [[1], [0]]
-    assert [b.to_pylist() for b in near_dups.neighbours(iter(t.to_batches()))][0][0] == {"a": 2, "b": 1}
+    sig = np.stack([x, np.where(x < 40, x, x + 1000), np.where(x < 39, x, x + 2000)])
+    near = near_dups.plausible(np.array([100, 100, 100]), sig)
+    assert near(0, np.array([1, 2])).tolist() == [1]
 
 
 def test_components(spark):
@@ -206,22 +281,60 @@ def test_components(spark):
     assert {r["id"] for r in got} == {x for a, b in edges if a != b for x in (a, b)}
 
 
-def test_language_model(documents, texts):
-    got = by_id(language_model.score_texts(documents))
-    tokens = [[*SPACED_RE.findall((t or "").translate(LOW)), None] for t in texts]
-    training = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2] + [tokens[3]]  # the row without an id teaches
-    one, two = Counter(x for t in training for x in t), Counter(p for t in training for p in zip([None, *t], t, strict=False))
-    n, v, d, lam = one.total(), len(one), language_model.DISCOUNT, language_model.LAMBDA
-    root = lambda x: (one[x] - d) / n if one[x] else d * v / n
+class Walker:
+    """The automaton as plain dicts over whole tables of counts, walked one token at a time."""
+
+    def __init__(self, training):
+        L = language_model
+        one, two, three = (Counter(g for t in training for s in ([L.END, *t],) for g in zip(*(s[k:] for k in range(n)), strict=False)) for n in (1, 2, 3))
+        self.one = Counter(x for t in training for x in t)
+        self.n, self.v = self.one.total(), len(self.one)
+        count = {(): 0} | {(x,): c for x, c in self.one.items()} | {g: c for g, c in two.items() if c >= L.MIN_STATE and g[1] != L.END}
+        self.states = set(count)
+        trust = lambda s: L.TRUST[len(s) - 1] * count[s] / (count[s] + L.KAPPA[len(s) - 1]) if s else 0
+        self.back = {s: 1 - trust(s) for s in self.states}
+        self.arcs = {((), x): (c - L.DISCOUNT) / self.n for x, c in self.one.items()}
+        self.unseen = L.DISCOUNT * self.v / self.n
+        for grams in (two, three):
+            for g, c in grams.items():
+                s = g[:-1]
+                if s in self.states:
+                    self.arcs[s, g[-1]] = trust(s) * c / count[s] + self.back[s] * self.weight(s[1:], g[-1])
+
+    def weight(self, s, x):
+        """By failure arcs until there is an arc; the root's for unseen words is a loop."""
+        out = 1.0
+        while (s, x) not in self.arcs:
+            if not s:
+                return out * self.unseen
+            out, s = out * self.back[s], s[1:]
+        return out * self.arcs[s, x]
+
+    def score(self, tokens):
+        s, total = (language_model.END,), 0.0
+        for x in tokens:
+            total += math.log10(self.weight(s, x))
+            s = (*s, x)[-2:]
+            while s not in self.states:
+                s = s[1:]
+        return total
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_language_model(documents, texts, shuffled):
+    got = by_id(language_model.score_texts(documents.orderBy(F.rand()).repartition(5) if shuffled else documents))
+    tokens = [[*SPACED_RE.findall((t or "").translate(LOW)), language_model.END] for t in texts]
+    walker = Walker([t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2] + [tokens[3]])  # the row without an id teaches
+    assert sum(len(s) == 2 for s in walker.states) > 20
+    n, v, one = walker.n, walker.v, walker.one
     for i, t in enumerate(tokens):
         base = sum(np.log10((one[x] + 1) / (n + v + 1)) for x in t)
-        score = sum(np.log10(lam * two[p, x] / one[p] + (1 - lam) * root(x) if one[p] else root(x)) for p, x in zip([None, *t], t, strict=False))
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(t), sum(one[x] > 0 for x in t), n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
-    # the weights out of a state sum to one
-    state = max((x for x in one if x), key=one.get)
-    assert sum(lam * two[state, x] / one[state] + (1 - lam) * root(x) for x in one) + (1 - lam) * d * v / n == pytest.approx(1)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(walker.score(t))
+    # the weights out of each state sum to one
+    for s in sorted(walker.states, key=str)[::7]:
+        assert sum(walker.weight(s, x) for x in one) + walker.weight(s, "never seen") == pytest.approx(1)
     assert language_model.score_texts(documents.limit(0)).count() == 0
 
 

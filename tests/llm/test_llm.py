@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -76,6 +78,41 @@ def test_quality_rules(spark, documents, texts):
     assert all(r["llr"] == 0 for r in quality_rules.quality_rules(documents, labels.limit(0)).collect())
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings or longs; nulls are skipped."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h)
+            h = h - (1 << 64) if h >> 63 else h
+            h &= (1 << 64) - 1
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("place_bits", [24, 3])
+def test_quality_rules_by_brute_force(spark, documents, texts, monkeypatch, place_bits):
+    """The log-likelihood ratio from the counts of buckets, and repeats of texts with more places than fit beside a hash."""
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", place_bits)
+    target = [9, 10, 11, 20, 21]
+    labels = spark.createDataFrame([(i, 1, 0) for i in target] + [(1, 0, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = by_id(quality_rules.quality_rules(documents, labels))
+    grams = []
+    for t in [*texts, texts[3]]:
+        h = [spark_hash(w) for w in SPACED_RE.findall(t or "")]
+        grams.append([*h, *(spark_hash(x, h[i + 1] if i + 1 < len(h) else None) for i, x in enumerate(h))])
+    sampled = len({g for gs in grams for g in gs if g % quality_rules.SAMPLE == 0})
+    buckets = quality_rules.buckets_for(quality_rules.SAMPLE * sampled)
+    raw, good = Counter(g % buckets for gs in grams for g in gs), Counter(g % buckets for i in target for g in grams[i])
+    share = good.total() / raw.total()
+    ratio = {b: math.floor(quality_rules.SCALE * math.log((good[b] + 1) / (c * share + 1)) + 0.5) if c > 1 else 0 for b, c in raw.items()}
+    for i, gs in enumerate(grams[:-1]):
+        assert got[i]["llr"] == pytest.approx(sum(ratio[g % buckets] for g in gs) / quality_rules.SCALE / max(1, len(gs)), abs=1e-3), i
+    for i, t in enumerate(texts):
+        w = SPACED_RE.findall(t or "")
+        twice = {x for x, c in Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)).items() if c > 1}
+        assert got[i]["n_repeat_words"] == len({j + d for j in range(len(w) - 4) if tuple(w[j : j + 5]) in twice for d in range(5)})
+
+
 def test_quality_rules_with_many_ngrams(spark, monkeypatch):
     """More distinct n-grams than any fixed table of buckets keeps apart, and several passes."""
     r = random.Random(3)

@@ -39,6 +39,8 @@ SCALE = 1024
 THRESHOLD = -0.3
 #: Weight of the pseudo-counts, in counts a bucket.
 SMOOTHING = 1.0
+#: Bits of a window's place beside its hash while repeats are sorted; longer texts sort both whole.
+PLACE_BITS = 24
 SPLIT = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -80,15 +82,24 @@ def repeated_words() -> Column:
             lambda a, p: F.struct((a["total"] + F.least(p - a["last"], F.lit(5))).alias("total"), p.alias("last")),
         )["total"]
 
+    low = (1 << PLACE_BITS) - 1
+
     def twice(h: Column, s: Column) -> Column:
-        """h: hashes of the windows; s: sorted (39 bits of hash, 24 of place). Neighbours in s with equal whole hashes repeat."""
-        at = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+        """h: hashes of the windows; s: sorted (high bits of hash, place in the low ones). Neighbours in s with equal whole hashes repeat."""
+        at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
         same = lambda x, y: F.coalesce(F.get(h, at(x)) == F.get(h, at(y)), F.lit(False))
         places = F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), at)
         return covered(F.sort_array(places))
 
-    packed = lambda h: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << 24)).bitwiseOR(i.cast("bigint"))))
-    repeats = bind(fives, lambda h: bind(packed(h), lambda s: twice(h, s)))
+    def twice_wide(s: Column) -> Column:
+        """The same of texts whose places don't fit in the low bits; s: sorted (hash, place)."""
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        places = F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["i"])
+        return covered(F.sort_array(places))
+
+    packed = lambda h: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
+    pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    repeats = bind(fives, lambda h: F.when(n <= low, bind(packed(h), lambda s: twice(h, s))).otherwise(bind(pairs(h), twice_wide)))
     differ = F.size(F.array_distinct("fours")) == F.size("fours")
     return F.when((n < 6) | differ, F.lit(0)).otherwise(repeats).cast("bigint")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from umbra.session import broadcast_if_small
 
-#: Labels are broadcast up to this many rows (16 bytes each), joined by a shuffle beyond.
+#: Labels are broadcast up to this many rows (16 bytes each, some 60 as a hash table: 120 MB), joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
 
 

@@ -375,16 +375,37 @@ def test_language_model(documents, texts, shuffled):
     assert language_model.score_texts(documents.limit(0)).count() == 0
 
 
-def test_licenses(documents, texts):
-    got = by_id(licenses.scan_licenses(documents))
-    for i, t in enumerate(texts):
+def test_licenses(spark, documents, texts):
+    """Whole templates, wrapped over lines, with words missing or put in up to and beyond the threshold, and next to each other."""
+    r, more = random.Random(9), []
+    for label, text in licenses.TEMPLATES:
+        w = text.split()
+        for gone in (0, len(w) // 12, len(w) // 6, len(w) // 3):
+            kept = [x for i, x in enumerate(w) if i not in set(r.sample(range(len(w)), gone))]
+            lines = [" ".join(kept[i : i + 9]) for i in range(0, len(kept), 9)]
+            more.append(prose(gone, r.randint(0, 60)) + "\n" + "\n".join(lines) + "\n" + prose(7, 30))
+    more += [licenses.TEMPLATES[0][1] + " " + licenses.TEMPLATES[4][1], "cc by nc 4", "cc by nc nc 4 0", "mit\nLICENSE mit license"]
+    every = [*texts, *more]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(every)] + [(0, texts[0], "x"), (None, more[0], "x")], "doc_id bigint, text string, label string")
+    found = licenses.scan_licenses(rows).collect()
+    assert len(found) == len(every) + 2
+    got = {x["doc_id"]: x for x in found if x["doc_id"] is not None}
+    scores = set()
+    for i, t in enumerate(every):
         w = ALNUM_RE.findall((t or "").translate(LOW))
         places = [(j, label) for p, label in licenses.PHRASES.items() for q in (p.split(),) for j in range(len(w)) if w[j : j + len(q)] == q]
-        r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
-        assert r["base_labels"] == ",".join(sorted({label for _, label in places}))
-        held = {label for line in (t or "").translate(LOW).split("\n") for label, x in licenses.TEMPLATES for s in (set(licenses.template_words(x)),) if len(s & set(ALNUM_RE.findall(line))) >= licenses.THRESHOLD * len(s)}
-        assert r["labels"] == ",".join(sorted({label for _, label in places} | held))
+        x = got[i]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(w), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
+        assert x["base_labels"] == ",".join(sorted({label for _, label in places}))
+        held = []
+        for label, text in licenses.TEMPLATES:
+            s, step = set(licenses.template_words(text)), licenses.step_of(text)
+            held += [(label, n / len(s)) for j in range(0, len(w), step) for n in (len(s & set(w[j : j + 2 * step])),) if n >= licenses.THRESHOLD * len(s)]
+        assert x["labels"] == ",".join(sorted({label for _, label in places} | {label for label, _ in held}))
+        assert x["score"] == pytest.approx(max([1.0 if places else 0.0, *(n for _, n in held)]))
+        scores.add(x["score"])
+    assert len(scores - {0.0, 1.0}) >= 5
+    assert [x["labels"] for x in found if x["doc_id"] is None] == ["mit"]
     assert licenses.scan_licenses(documents.limit(0)).count() == 0
 
 

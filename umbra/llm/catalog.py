@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm.chat import CONTROL, OTHER, ROLES, format_turns, read_back
 from umbra.llm.html_text import main_text
 from umbra.llm.language_model import score_texts
-from umbra.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_words
+from umbra.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, step_of, template_words
 from umbra.llm.near_dups import near_duplicates
 from umbra.llm.packing import pack
 from umbra.llm.quality_model import quality
@@ -117,7 +117,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(text))}])" for label, text in TEMPLATES)
+_templates = ", ".join(f"('{label}', {step_of(text)}, [{', '.join(repr(w) for w in template_words(text))}])" for label, text in TEMPLATES)
 _places = " UNION ALL ".join(
     f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE "
     + " AND ".join(f"w[i + {j}] = '{part}'" for j, part in enumerate(phrase.split()))
@@ -127,9 +127,10 @@ ORACLE["op10_licenses"] = f"""
 WITH d AS (SELECT doc_id, text, {_words_sql("text")} AS w FROM documents),
 places AS ({_places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM places GROUP BY doc_id),
-t AS (SELECT * FROM (VALUES {_templates}) AS v(label, words)),
-lines AS (SELECT doc_id, list_distinct({_words_sql("line")}) AS lw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-held AS (SELECT doc_id, label, len(list_intersect(lw, words))::DOUBLE / len(words) AS score FROM lines, t
+t AS (SELECT * FROM (VALUES {_templates}) AS v(label, step, words)),
+blocks AS (SELECT doc_id, step, list_distinct(w[i + 1:i + 2 * step]) AS lw FROM
+  (SELECT doc_id, w, step, unnest(range(0, len(w), step)) AS i FROM d, (SELECT DISTINCT step FROM t))),
+held AS (SELECT doc_id, label, len(list_intersect(lw, words))::DOUBLE / len(words) AS score FROM blocks JOIN t USING (step)
   WHERE len(list_intersect(lw, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
 bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM held) GROUP BY doc_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
+def let_go(df: DataFrame) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if a count proves that it has max_rows rows at most, else df for a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -23,7 +23,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
 import zlib
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.tables import fold_of
 from umbra.llm.words import SPACED, Words, mix, words
-from umbra.session import cut
+from umbra.session import cut, let_go
 
 #: Of states of one and two words: weight of what follows them in training, and pseudo-counts; occurrences that make a pair a state.
 TRUST, KAPPA = (0.3, 0.6), (2.0, 2.0)
@@ -304,12 +303,6 @@ def scoring(total: int, known: int, folds: int, held: int):
     return run
 
 
-def let_go(df: DataFrame) -> None:
-    """Shuffle files that nothing refers to any more go now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def score_texts(documents: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = documents.select("doc_id", "text")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.words import SPACED, grams, mix, words
-from umbra.session import broadcast_if_small, cut
+from umbra.session import broadcast_if_small, cut, let_go
 
 WORDS = 5
 PERCENT = 85
@@ -49,8 +49,8 @@ AGREE = int(np.ceil(T * (PERCENT / 100 - SKETCH_MARGIN)))
 #: Shingles of a bundle, or a block of one, that is confirmed in one group (8 bytes each).
 BUNDLE = 1 << 20
 HUBS = 8
-#: Classes to confirm that are broadcast to the documents (32 bytes each), joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Classes to confirm that are broadcast to the documents (some 150 bytes each as a hash table), joined by a shuffle beyond.
+BROADCAST_ROWS = 500_000
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 2**63, T, dtype=np.uint64)
@@ -341,21 +341,21 @@ def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
     """(a, b): pairs of classes (id, n, sig) that may be linked, enough to join all that may."""
     sized = classes.select("id", "n", "sig")
     rows = classes.select("id", "sig").mapInArrow(branching(trees), NODE_ROWS)
-    by_hash = [F.min_by(F.struct("id", "lab"), F.struct(F.xxhash64("id", "node", F.lit(k)), "id")) for k in range(LEADERS)]
+    by_hash = [F.min_by(F.struct("id", "lab", "n", "sig"), F.struct(F.xxhash64("id", "node", F.lit(k)), "id")) for k in range(LEADERS)]
     out = None
     for depth in range(DEPTH + 1):
         # nodes whose classes already have one lab are done
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.array_distinct(F.array(*by_hash)).alias("leaders"))
-        stats = cut(stats.where("lo <> hi").select("node", "size", F.when(F.col("size") > small, F.col("leaders")).alias("leaders")))
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
+        stats = cut(stats.where("lo <> hi").select("node", "size"))
         whole = rows.join(stats.where(F.col("size") <= small).select("node"), "node", "left_semi").join(sized, "id")
         groups = whole.select(F.col("node").alias("grp"), "id", F.lit(True).alias("target"), "lab", "n", "sig")
-        large = stats.where(F.col("size") > small)
+        large = stats.where(F.col("size") > small).select("node")
         if large.isEmpty():
             edges = cut(grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS))
             return edges if out is None else out.unionByName(edges)
-        leaders = large.select("node", F.posexplode("leaders").alias("k", "x")).select("node", "k", F.col("x.id").alias("id"), F.col("x.lab").alias("lab")).join(sized, "id")
-        leaders = leaders.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "id", "lab", "n", "sig"))).alias("leaders"))
-        led = cut(rows.join(leaders, "node").join(sized, "id").select("node", "id", "lab", "n", "sig", "leaders").mapInArrow(beside_leaders, LED))
+        full = cut(rows.join(large, "node", "left_semi").join(sized, "id").select("node", "id", "lab", "n", "sig"))
+        leaders = full.groupBy("node").agg(F.array_distinct(F.array(*by_hash)).alias("leaders"))
+        led = cut(full.join(leaders, "node").mapInArrow(beside_leaders, LED))
         found = led.where("joined").select(F.col("id").alias("a"), F.col("leader").alias("b"))
         left = led.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("lab") != F.col("main")).alias("rest")).where("rest > 0")
         led = led.join(left, "node")
@@ -363,6 +363,8 @@ def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
         edges = cut(grouped(groups.unionByName(blocks(led.where(~many)))).mapInArrow(in_groups(bundles_of), PAIRS).unionByName(found))
         out = edges if out is None else out.unionByName(edges)
         rows = cut(led.where(many).select("node", "id", "lab", "sig").mapInArrow(branching(0), NODE_ROWS))
+        del stats, whole, groups, full, leaders, led, left
+        let_go(classes)
         if rows.isEmpty():
             return out
     return out
@@ -384,6 +386,8 @@ def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle
     whole = held.join(sizes.where(F.col("total") <= bundle).select("comp"), "comp")
     one_group = lambda df: df.select("grp", "id", F.col("id").alias("lab"), F.lit(True).alias("target"), "text")
     links = cut(grouped(one_group(whole.withColumnRenamed("comp", "grp"))).mapInArrow(in_groups(links_of), PAIRS))
+    del whole
+    let_go(classes)
     parts = F.ceil(F.col("total") / bundle).cast("int")
     big = cut(held.join(sizes.where(F.col("total") > bundle).select("comp", "hubs", parts.alias("np")), "comp"))
     if big.isEmpty():
@@ -410,8 +414,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     by_key = sketched.where("key IS NOT NULL").groupBy("key").agg(one, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     named = scrambled(F.monotonically_increasing_id()).alias("id")
     classes = cut(by_key.select(named, "key", "least", "copies", "n", "sig", F.col("one.doc_id").alias("doc"), F.col("one.text_hash").alias("text_hash")))
-    bundles = components(plausible_links(classes.select("id", "n", "sig")))
-    label = components(confirmed(documents, classes, bundles))
+    let_go(classes)
+    bundles = plausible_links(classes.select("id", "n", "sig"))
+    let_go(classes)
+    bundles = components(bundles)
+    let_go(classes)
+    links = confirmed(documents, classes, bundles)
+    let_go(classes)
+    label = components(links)
+    let_go(classes)
     least = classes.select("id", "least").join(label, "id")
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component")
     found = classes.select("id", "key", "least", "copies").join(least, "id", "left").where("copies > 1 OR component IS NOT NULL")

@@ -19,13 +19,11 @@ corpus, all ratios are 0 and only the base rules decide. Columns beyond doc_id a
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.tables import BROADCAST_LABELS, clean_labels
-from umbra.session import broadcast_if_small, cut
+from umbra.session import broadcast_if_small, cut, let_go
 
 #: Buckets at least, and in a pass; segments of a block.
 LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 25, 1 << 15
@@ -182,8 +180,7 @@ def counted_slice(rows: DataFrame, buckets: int, share: float, first: int, count
     dense = F.transform(last, lambda x: F.when(low(x) == 0, F.lit(0)).otherwise(low(x) - F.lit(1 << 15)).cast("smallint"))
     out = cut(held.select("segment", dense.alias("ratios")))
     del counts, kept, packed, every, held
-    gc.collect()  # else the slice's shuffle files stay until the driver happens to collect its garbage
-    rows.sparkSession.sparkContext._jvm.System.gc()
+    let_go(rows)
     return out
 
 

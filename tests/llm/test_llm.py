@@ -1,10 +1,12 @@
 """The llm operators against brute force on small tables, with nulls, empty and repeated rows, and clashing extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from umbra.llm import chat, html_text, language_model, licenses, near_dups, packing, quality_model, quality_rules, toxicity, winnowing
 from umbra.llm.labelled_pages import PAGES, _page
-from umbra.llm.words import ALNUM, SPACED, words
+from umbra.llm.words import ALNUM, SPACED, mix, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED_RE, ALNUM_RE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -430,6 +432,33 @@ def test_chat_round_trip(spark):
         assert (g["n_turns"], g["loss_chars"], g["loss_sha256"]) == (12, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_marginals_against_enumeration():
+    """Sum-product on a small tree against the sum over all its states."""
+    tree = html_text.parse("<html><body><nav class=menu><a href=x>Home</a></nav><div class=post><p>One two</p><ul><li>x</li><li>y</li></ul></div></body></html>")
+    x, parent, depth = html_text.features(tree)
+    r = np.random.default_rng(2)
+    model = html_text.Model(r.normal(size=html_text.SIZE), r.normal(size=(2, 2, html_text.EDGES)))
+    own, pair = model.marginals(x, parent, depth)
+    n, node, edge = len(x), x @ model.node, (html_text.edge_features(x) @ model.edge.reshape(4, -1).T).reshape(-1, 2, 2)
+    weight, total, pairs = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for state in itertools.product((0, 1), repeat=n):
+        s = np.array(state)
+        w = math.exp(node @ s + sum(edge[i, s[parent[i]], s[i]] for i in range(n) if parent[i] >= 0))
+        weight += w
+        total += w * s
+        for i in range(n):
+            if parent[i] >= 0:
+                pairs[i, s[parent[i]], s[i]] += w
+    assert own == pytest.approx(total / weight) and pair == pytest.approx(pairs / weight)
+
+
+def test_parsing_takes_time_by_length():
+    for page in ("<div>" * 50000 + "</b></x>" * 50000, "<!-- " * 100000, "<!x" * 100000, "<b>" * 30000 + "<div>" + "<span>" * 30000 + "</b>" * 30000, "<span>" * 30000 + "<hr>" * 30000):
+        began = time.perf_counter()
+        html_text.parse(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_main_text(spark):
     model = html_text.fit(PAGES)
     held = [_page(s) for s in range(5000, 5060)]
@@ -473,19 +502,26 @@ def test_classifiers(spark, operator, column):
 
 
 def test_gradients():
-    """The network's hand-made gradients against differences."""
+    """The network's hand-made gradients against differences, those of the spelling unit, too."""
     net = toxicity.Network(1)
     w = next(words(pa.array([prose(1, 30), prose(2, 9)]), ALNUM))
     v = toxicity.Vocabulary(w)
     first, size, _ = toxicity.windows(w.bounds)
     index = toxicity.window_index(v, first, size)
-    x = v.inputs(net.p["word"], net.p["char"]).astype(np.float64) + 0.1
     net.p = {k: q.astype(np.float64) for k, q in net.p.items()}
+    own = v.inputs(net.p["word"], net.p["char"]).astype(np.float64) + 0.1
     y, weight = np.arange(len(first)) % 2.0, np.ones(len(first))
-    loss = lambda: float((np.logaddexp(0, z := net.forward(net.gate_tables(x), index)[0]) - y * z).sum())
-    grads, _ = net.gradient(x, index, y, weight)
-    for k in ("Wf", "Ub", "bf", "A", "v", "o"):
-        at = tuple(s // 2 for s in net.p[k].shape)
+
+    def loss():
+        x = np.concatenate([own, net.spell(v.letters)[0]], axis=1)
+        z = net.forward(net.gate_tables(x), index)[0]
+        return float((np.logaddexp(0, z) - y * z).sum())
+
+    states, tape = net.spell(v.letters, keep=True)
+    grads, d_x = net.gradient(np.concatenate([own, states], axis=1), index, y, weight)
+    grads |= net.spell_gradient(v.letters, tape, d_x[:, toxicity.BAG :])
+    for k in ("Wf", "Ub", "bf", "A", "v", "o", "Us", "Ws", "bs", "byte"):
+        at = tuple(s // 2 for s in net.p[k].shape) if k != "byte" else (ord("a"), 2)
         old = net.p[k][at]
         net.p[k][at] = old + 1e-3
         high = loss()
@@ -495,6 +531,77 @@ def test_gradients():
         assert grads[k][at] == pytest.approx((high - low) / 2e-3, rel=0.05, abs=1e-3), k
 
 
+def naive_toxicity(net, text):
+    """The worst window's score, one window, word, byte and n-gram at a time."""
+    p = {k: q.astype(np.float64) for k, q in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def unit(d, inputs):
+        k, h, out = len(p[f"U{d}"]), np.zeros(len(p[f"U{d}"])), []
+        for x in inputs:
+            g, s = x @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+            z, r = sig(g[:k] + s[:k]), sig(g[k : 2 * k] + s[k : 2 * k])
+            c = np.tanh(g[2 * k :] + r * s[2 * k :])
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    found = next(words(pa.array([text]), ALNUM))
+    vectors = []
+    for start, end, h in zip(found.starts, found.ends, found.hashes, strict=True):
+        raw = bytes(found.data[start:end])
+        marked, slots = bytes([1]) + raw + bytes([1]), []
+        for n in toxicity.GRAMS:
+            for j in range(max(len(marked) - n, 0) + 1):
+                code = n
+                for c in (marked + bytes([1] * n))[j : j + n]:
+                    code = (code * 257 + c) % (1 << 64)
+                slots.append(int(mix(np.array([code], dtype=np.uint64))[0] >> np.uint64(64 - toxicity.CHAR_BITS)))
+        rows = p["char"][slots]
+        word = p["word"][int(h >> np.uint64(64 - toxicity.WORD_BITS))]
+        spelled = unit("s", [p["byte"][c] for c in raw[-toxicity.LETTERS :]])[-1]
+        vectors.append(np.concatenate([word, rows.mean(axis=0), [rows[:, 0].max(), min(len(raw), 40) / 20], spelled]))
+    best = -np.inf
+    for at in range(0, max(1, len(vectors) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+        x = vectors[at : at + toxicity.WINDOW]
+        pooled = np.zeros(2 * toxicity.HIDDEN)
+        if x:
+            h = np.concatenate([unit("f", x), unit("b", x[::-1])[::-1]], axis=1)
+            e = np.tanh(h @ p["A"]) @ p["v"]
+            a = np.exp(e - e.max())
+            pooled = (a / a.sum()) @ h
+        best = max(best, pooled @ p["o"] + p["c"][0])
+    return sig(best)
+
+
+def test_toxicity_scores_every_window(texts):
+    """A trained network's scores against windows scored one by one."""
+    sample = [(prose(i, 40) + (" vequance trash" if i % 2 else ""), i % 2) for i in range(60)]
+    net = toxicity.fit(sample)
+    odd = [t or "" for t in texts if len(t or "") < 3000] + [prose(5, 100) + " vequance trash " + prose(6, 50), "x" * 99]
+    got = np.concatenate([net.score(w) for w in words(pa.array(odd), ALNUM)])
+    for text, score in zip(odd, got, strict=True):
+        assert score == pytest.approx(naive_toxicity(net, text), abs=1e-4)
+    assert got[-2] > 0.5 > got[0]
+
+
+def test_quality_scores_all_pairs(texts):
+    """A trained machine's scores with every pair of features summed one by one; neighbours in a chunk change nothing."""
+    sample = [(prose(i, 40) if i % 2 else "BUY NOW!! " * 9, i % 2) for i in range(60)]
+    m = quality_model.fit(sample, epochs=2)
+    odd = [t or "" for t in texts]
+    together = np.concatenate([m.logits(quality_model.features(w)) for w in words(pa.array(odd), SPACED, lower=False)])
+    for text, logit in zip(odd, together, strict=True):
+        f = quality_model.features(next(words(pa.array([text]), SPACED, lower=False)))
+        assert m.logits(f)[0] == logit
+        x = np.concatenate([f.values, f.structure[0]])
+        at = np.concatenate([f.slots, np.arange(1 << quality_model.BITS, len(m.linear))])
+        if len(x) < 400:
+            v = m.factors[at] * x[:, None]
+            pairs = sum(float(v[i] @ v[j]) for i in range(len(x)) for j in range(i))
+            assert logit == pytest.approx(m.bias + m.linear[at] @ x + pairs, rel=1e-6, abs=1e-9)
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     documents, labels = labelled(spark)
     documents.write.parquet(str(tmp_path / "documents.parquet"))

@@ -143,19 +143,21 @@ class Machine:
     def logits(self, f: Features) -> np.ndarray:
         n = len(f.borders) - 1
         base = 1 << BITS
-        line = sums(self.linear[f.slots] * f.values, f.borders) + f.structure @ self.linear[base:]
+        line = sums(self.linear[f.slots] * f.values, f.borders) + (f.structure * self.linear[base:]).sum(axis=1)
         pairs = np.zeros(n)
         for k in range(self.factors.shape[1]):
             v, u = self.factors[f.slots, k] * f.values, self.factors[base:, k]
-            total = sums(v, f.borders) + f.structure @ u
-            squares = sums(v * v, f.borders) + (f.structure**2) @ (u * u)
+            total = sums(v, f.borders) + (f.structure * u).sum(axis=1)
+            squares = sums(v * v, f.borders) + ((f.structure * u) ** 2).sum(axis=1)
             pairs += total * total - squares
         return self.bias + line + 0.5 * pairs
 
 
 def sums(x: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    return total[borders[1:]] - total[borders[:-1]]
+    """Sum of each row's values; a row's sum doesn't depend on its neighbours."""
+    out = np.add.reduceat(np.append(x, 0.0), borders[:-1]) if len(borders) > 1 else np.zeros(0)
+    out[np.diff(borders) == 0] = 0
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

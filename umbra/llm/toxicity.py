@@ -1,8 +1,8 @@
 """Toxicity classifier: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as two inputs: the embedding of the word itself (hashed) and that of its characters (the mean of the
-embeddings of its hashed byte n-grams within word borders, and the largest of their first parts), so that inflected
-and unseen forms share what their stems have taught. A forward and a backward gated recurrent unit run over windows of
+Each word enters by itself, as an embedding (hashed), and by its characters: the last state of a small recurrent unit that
+spells its last LETTERS bytes, the mean of the embeddings of its hashed byte n-grams within word borders, and the largest of
+their first parts, so that inflected and unseen forms share what their stems have taught. A forward and a backward gated recurrent unit run over windows of
 WINDOW words, each STEP words after the last, an attention layer pools their states, and a logistic unit scores the
 window. All overlapping windows of the whole text are scored; the text's score is that of its worst window.
 
@@ -43,11 +43,14 @@ ROUNDS = 4
 LEAST_STEPS = 300
 THRESHOLD = 0.5
 FOLDS, HELD = 5, 0
-INPUT = 2 * EMBED + 2
+BAG = 2 * EMBED + 2
+#: Of the unit that spells a word: bytes read, size of their embedding and of its state.
+LETTERS, LETTER, SPELL = 16, 6, 6
+INPUT = BAG + SPELL
 #: Standard errors taken off a slot's log odds, so that rare words don't look telling by chance.
 CAUTION = 1.5
 #: Learning rate of the embeddings against that of the network.
-SLOW = 0.02
+SLOW = 0.1
 
 
 def char_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +77,13 @@ def char_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return np.concatenate(slots)[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))
 
 
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(LETTERS, words): the words' last bytes, so that each ends in the last row; -1 before them."""
+    at = ends[None, :] - LETTERS + np.arange(LETTERS)[:, None]
+    inside = at >= starts[None, :]
+    return np.where(inside, data[np.where(inside, at, 0)].astype(np.int16), np.int16(-1)) if len(starts) else np.zeros((LETTERS, 0), np.int16)
+
+
 class Vocabulary:
     """Distinct words of a chunk: slots of the words and of their n-grams; index: each word's number."""
 
@@ -82,10 +92,12 @@ class Vocabulary:
         self.words = (w.hashes[first] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         self.chars, self.borders = char_slots(w.data, w.starts[first], w.ends[first]) if len(first) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         self.lengths = np.minimum((w.ends - w.starts)[first], 40)
+        self.letters = spelling(w.data, w.starts[first], w.ends[first])
 
     def inputs(self, word_table: np.ndarray, char_table: np.ndarray) -> np.ndarray:
+        """The words' own parts: all but what their spelling adds."""
         n = len(self.words)
-        out = np.zeros((n, INPUT), dtype=np.float32)
+        out = np.zeros((n, BAG), dtype=np.float32)
         if n:
             rows = char_table[self.chars]
             out[:, :EMBED] = word_table[self.words]
@@ -110,7 +122,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters p: tables, gates (input, state and bias of update, reset and candidate, forward and backward), attention, output."""
+    """Parameters p: tables, gates (input, state and bias of update, reset and candidate; forward, backward and spelling), attention, output."""
 
     def __init__(self, seed: int = 5):
         r = np.random.Generator(np.random.PCG64(seed))
@@ -118,27 +130,60 @@ class Network:
         self.p = {"word": g(1 << WORD_BITS, EMBED, scale=0.02), "char": g(1 << CHAR_BITS, EMBED, scale=0.02)}
         for d in "fb":
             self.p |= {f"W{d}": g(INPUT, 3 * HIDDEN), f"U{d}": g(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.p |= {"byte": g(256, LETTER), "Ws": g(LETTER, 3 * SPELL), "Us": g(SPELL, 3 * SPELL), "bs": np.zeros(3 * SPELL, np.float32)}
         self.p |= {"A": g(2 * HIDDEN, HIDDEN), "v": g(HIDDEN), "o": g(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.constant: float | None = None
 
-    def run(self, d: str, gates: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, row, unit) of one direction; gates: inputs' part (time, row, 3 * HIDDEN)."""
-        steps, n, _ = gates.shape
+    def run(self, d: str, gates: np.ndarray, index: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """States (time, row, unit) of one direction (s: the last state only); gates: inputs' parts, index (time, row) into them."""
+        steps, n = index.shape
         u = self.p[f"U{d}"]
-        h = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((steps, n, HIDDEN), np.float32)
+        k = len(u)
+        h = np.zeros((n, k), np.float32)
+        out = np.empty((steps, n, k), np.float32) if d != "s" else None
         tape = []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            s = h @ u
-            zr = sigmoid(gates[t, :, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(gates[t, :, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
+        for t in range(steps) if d != "b" else range(steps - 1, -1, -1):
+            s, gate = h @ u, gates[index[t]]
+            zr = sigmoid(gate[:, : 2 * k] + s[:, : 2 * k])
+            z, r = zr[:, :k], zr[:, k:]
+            c = np.tanh(gate[:, 2 * k :] + r * s[:, 2 * k :])
             new = (c + z * (h - c)) * live[t][:, None]
             if keep:
                 tape.append((t, h, s, z, r, c))
             h = new
-            out[t] = h
-        return out, tape
+            if out is not None:
+                out[t] = h
+        return out if out is not None else h, tape
+
+    def back(self, d: str, index: np.ndarray, live: np.ndarray, tape: list, d_out: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of U and of the gate table (size rows), from those of the states (s: of the last one)."""
+        u = self.p[f"U{d}"]
+        k = len(u)
+        g_u, g_table = np.zeros_like(u), np.zeros((size, 3 * k), u.dtype)
+        carry = d_out if d == "s" else np.zeros((index.shape[1], k), u.dtype)
+        for t, before, s, z, r, c in reversed(tape):
+            dn = (carry if d == "s" else d_out[t] + carry) * live[t][:, None]
+            dc = dn * (1 - z) * (1 - c * c)
+            dz = dn * (before - c) * z * (1 - z)
+            dr = dc * s[:, 2 * k :] * r * (1 - r)
+            ds = np.concatenate([dz, dr, dc * r], axis=1)
+            np.add.at(g_table, index[t], np.concatenate([dz, dr, dc], axis=1))
+            g_u += before.T @ ds
+            carry = dn * z + ds @ u.T
+        return g_u, g_table
+
+    def spell(self, letters: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Last states of the unit that reads words' bytes."""
+        gates = np.concatenate([self.p["byte"] @ self.p["Ws"] + self.p["bs"], np.zeros((1, 3 * SPELL), np.float32)])
+        return self.run("s", gates, letters, (letters >= 0).astype(np.float32), keep)
+
+    def spell_gradient(self, letters: np.ndarray, tape: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
+        g_u, g_table = self.back("s", letters, (letters >= 0).astype(np.float32), tape, d_states, 257)
+        g = g_table[:-1]
+        return {"Us": g_u, "bs": g.sum(axis=0), "Ws": self.p["byte"].T @ g, "byte": g @ self.p["Ws"].T}
+
+    def inputs(self, v: Vocabulary) -> np.ndarray:
+        return np.concatenate([v.inputs(self.p["word"], self.p["char"]), self.spell(v.letters)[0]], axis=1)
 
     def gate_tables(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Gate inputs of each distinct word, and of none (the last row)."""
@@ -147,7 +192,7 @@ class Network:
     def forward(self, tables: dict[str, np.ndarray], index: np.ndarray, keep: bool = False):
         """Logits of windows; index (time, row): numbers of words, -1 for none."""
         live = (index >= 0).astype(np.float32)
-        states, tapes = zip(*(self.run(d, tables[d][index], live, keep) for d in "fb"), strict=True)
+        states, tapes = zip(*(self.run(d, tables[d], index, live, keep) for d in "fb"), strict=True)
         h = np.concatenate(states, axis=2)
         a = np.tanh(h @ self.p["A"])
         e = a @ self.p["v"] + np.where(live > 0, 0, -1e9).astype(np.float32)
@@ -173,19 +218,7 @@ class Network:
         d_h += d_a @ self.p["A"].T
         d_x = np.zeros((len(x) + 1, INPUT), np.float32)
         for i, d in enumerate("fb"):
-            u = self.p[f"U{d}"]
-            g_u, g_table = np.zeros_like(u), np.zeros_like(tables[d])
-            carry = np.zeros((index.shape[1], HIDDEN), np.float32)
-            own = d_h[:, :, i * HIDDEN : (i + 1) * HIDDEN]
-            for t, before, s, z, r, c in reversed(tapes[i]):
-                dn = (own[t] + carry) * live[t][:, None]
-                dc = dn * (1 - z) * (1 - c * c)
-                dz = dn * (before - c) * z * (1 - z)
-                dr = dc * s[:, 2 * HIDDEN :] * r * (1 - r)
-                ds = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(g_table, index[t], np.concatenate([dz, dr, dc], axis=1))
-                g_u += before.T @ ds
-                carry = dn * z + ds @ u.T
+            g_u, g_table = self.back(d, index, live, tapes[i], d_h[:, :, i * HIDDEN : (i + 1) * HIDDEN], len(tables[d]))
             g[f"U{d}"], g[f"b{d}"], g[f"W{d}"] = g_u, g_table[:-1].sum(axis=0), x.T @ g_table[:-1]
             d_x += g_table @ self.p[f"W{d}"].T
         return g, d_x[:-1]
@@ -200,7 +233,7 @@ class Network:
 
     def worst(self, v: Vocabulary, bounds: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """(logit, window number) of the worst window of each text."""
-        tables = self.gate_tables(v.inputs(self.p["word"], self.p["char"]))
+        tables = self.gate_tables(self.inputs(v))
         first, size, text = windows(bounds)
         logits = np.concatenate([self.forward(tables, window_index(v, first[a : a + rows], size[a : a + rows]))[0] for a in range(0, len(first), rows)])
         top = np.full(len(bounds) - 1, -np.inf)
@@ -217,7 +250,7 @@ def window_index(v: Vocabulary, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.where(inside, v.index[np.minimum(at, len(v.index) - 1)], -1) if len(v.index) else np.full(at.shape, -1)
 
 
-def learn_words(net: Network, sample: list[tuple[str, int]], y: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+def learn_words(net: Network, sample: list[tuple[str, int]], y: np.ndarray, start: bool = True) -> tuple[Vocabulary, np.ndarray]:
     """The sample's vocabulary and text borders; sets the tables' first parts to log odds. A chunk of texts at a time."""
     sizes = {"word": 1 << WORD_BITS, "char": 1 << CHAR_BITS}
     bad, good = ({k: np.zeros(n) for k, n in sizes.items()} for _ in range(2))
@@ -242,12 +275,15 @@ def learn_words(net: Network, sample: list[tuple[str, int]], y: np.ndarray) -> t
         hashes.append(w.hashes)
         ends.append(ends[-1][-1] + w.bounds[1:])
     for k in sizes:
-        net.p[k][:, 0] = log_odds(bad[k], good[k], y)
+        if start:
+            net.p[k][:, 0] = log_odds(bad[k], good[k], y)
+        net.p[k][bad[k] + good[k] == 0] = 0  # what the sample doesn't hold says nothing
     keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys)
     v = Vocabulary.__new__(Vocabulary)
     v.words = np.concatenate([own.words[n] for _, own, n in parts])[order]
     v.lengths = np.concatenate([own.lengths[n] for _, own, n in parts])[order]
+    v.letters = np.concatenate([own.letters[:, n] for _, own, n in parts], axis=1)[:, order]
     grams_ = [own.chars[own.borders[i] : own.borders[i + 1]] for _, own, n in parts for i in n]
     grams_ = [grams_[i] for i in order]
     v.borders = np.concatenate([[0], np.cumsum([len(g) for g in grams_], dtype=np.int64)])
@@ -264,20 +300,20 @@ def log_odds(bad: np.ndarray, good: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of each group of near copies (by the least 5-word hashes), as copies would make chance words look telling."""
-    seen: set[tuple[int, int]] = set()
+    """Of each label's near copies (by the least 5-word hashes) one, as copies would make chance words look telling."""
+    seen: set[tuple[int, int, int]] = set()
     out = []
     for w in words(pa.array([t for t, _ in sample], pa.string()), ALNUM):
         for t in range(len(w.bounds) - 1):
             g = grams(w.hashes[w.bounds[t] : w.bounds[t + 1]], 5)
-            keys = [(i, int(mix(g ^ np.uint64(i)).min())) for i in range(3)] if len(g) else []
+            keys = [(sample[w.first + t][1], i, int(mix(g ^ np.uint64(i)).min())) for i in range(3)] if len(g) else []
             if not any(k in seen for k in keys):
                 out.append(sample[w.first + t])
             seen.update(keys)
     return out
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01, batch: int = 32, seed: int = 3) -> Network:
+def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01, batch: int = 32, seed: int = 3, start: bool = True) -> Network:
     """A network trained on (text, 0 or 1)."""
     net = Network(seed)
     sample = without_copies(sample)
@@ -285,12 +321,12 @@ def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01,
     if len(set(y.tolist())) < 2:
         net.constant = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
         return net
-    v, bounds = learn_words(net, sample, y)
+    v, bounds = learn_words(net, sample, y, start)
     rng = np.random.Generator(np.random.PCG64(seed))
     first, size, owner = windows(bounds)
     borders = np.searchsorted(owner, np.arange(len(y) + 1))
     x = v.inputs(net.p["word"], net.p["char"])
-    hint = np.concatenate([[0], np.cumsum((x[:, 0] + x[:, -2])[v.index])])
+    hint = np.concatenate([[0], np.cumsum((x[:, 0] + x[:, BAG - 2])[v.index])])
     lead = hint[first + size] - hint[first]
     worst = np.array([a + int(np.argmax(lead[a:b])) for a, b in zip(borders[:-1], borders[1:], strict=True)])
     moments = {k: [np.zeros_like(q), np.zeros_like(q)] for k, q in net.p.items() if k not in ("word", "char")}
@@ -313,8 +349,10 @@ def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.01,
             local = local.reshape(index.shape)
             if used[0] < 0:
                 used, local = used[1:], local - 1
-            x = part_inputs(net, v, used)
+            states, tape = net.spell(v.letters[:, used], keep=True)
+            x = np.concatenate([part_inputs(net, v, used), states], axis=1)
             grads, d_x = net.gradient(x, local, labels[own], share[labels[own].astype(int)] / len(own))
+            grads |= net.spell_gradient(v.letters[:, used], tape, d_x[:, BAG:])
             for k, (rows_, g) in table_gradients(v, used, d_x).items():
                 squares[k][rows_] += g * g
                 net.p[k][rows_] -= SLOW * rate * g / np.sqrt(squares[k][rows_])

@@ -422,6 +422,18 @@ def test_chat_round_trip(spark):
             assert chat.unescape(out[begin:end]) == text
     whole = "".join(chat.render(r, t)[0] for r in ("user", "x") for t in TRAPS)
     assert [t[:2] for t in chat.parse(whole)] == [(r, t) for r in ("user", "x") for t in TRAPS]
+    for text, rounds in (("plain \n", 0), ("a [/INST] b", 1), ("\\ x", 2), ("<s>", 1), ("[", 0), (" ", 0)):
+        tried = [chat.comes_back(chat.frame("user", f(text))[0], "user", text) for f in chat.ESCAPES]
+        assert tried.index(True) == rounds and chat.render("user", text)[3] == (rounds > 0)
+    with pytest.raises(ValueError):
+        list(chat.parse("[INST] a [SYS] b [/INST]"))
+    split = chat.Reading(3)
+    for c in whole:
+        split.add(c, 0, 0)
+    assert split.row()[1] == 2 * len(TRAPS)
+    ties = [(5, 1, "user", x, "clash") for x in ("[b", "[INST]", "a", "a A", "\\", "")]
+    got = chat.read_back(chat.format_turns(spark.createDataFrame(ties, "conv_id bigint, turn bigint, role string, text string, rendered string"))).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"user\n{x}\n" for x in sorted(t[3] for t in ties)).encode()).hexdigest()
     rows = [(c, t, r, x, "clash") for c in (1, None) for t, (r, x) in enumerate(zip(["user", "assistant", None, "tool"] * 3, [*TRAPS, None, "z"], strict=False))]
     got = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, rendered string"))).collect()
     assert len(got) == 2

@@ -6,10 +6,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from umbra import session
 from umbra.audit import compare, descent, sumtree
 from umbra.audit.memo import Memo
 from umbra.functions import encoding, ring64
-from umbra.operators import attribution, discovery, dummies, match, noise, private_join, shares, sketch
+from umbra.operators import attribution, discovery, dummies, match, mpc, noise, private_join, shares, sketch
 from umbra.operators.party import PartySpec, check_parameters, load_config, validate
 from umbra.protocol import p256, paillier
 from umbra.sources import csv_tables
@@ -88,12 +89,72 @@ def test_ring_and_shares(spark):
     assert [r["v"] for r in shares.reveal(shares.share(df, ["v"], "k"), ["v"]).orderBy("row_no").collect()] == values
     added = df.select(ring64.signed(ring64.add(F.col("v"), F.lit(1))).alias("x")).collect()
     assert [r["x"] for r in added] == [((v + 1 + 2**63) % 2**64) - 2**63 for v in values]
-    pairs = spark.createDataFrame([(a, b) for a in values for b in values], "x long, y long")
-    got = shares.prefix_add(pairs, "x", "y", "z").collect()
-    assert all(r["z"] == ((r["x"] + r["y"] + 2**63) % 2**64) - 2**63 for r in got)
     assert [r[0] for r in df.select(shares.sign_bit(F.col("v"))).collect()] == [int(v < 0) for v in values]
 
 
+def test_kernels_on_shares(spark):
+    values = [0, 1, -1, 2**62, -(2**62), 12345, -777]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in values for b in values)]
+    df = spark.createDataFrame(rows, "row_no long, x long, y long")
+    word = lambda v: (v + 2**63) % 2**64 - 2**63
+    xor = mpc.xor_shared(df, ["x", "y"], "k")
+    got = mpc.added(mpc.conjunction(xor, [("x", "y", "z")], "k"), "x", "y", "s", "k").select("row_no", mpc.xor_open("z").alias("z"), mpc.xor_open("s").alias("s")).collect()
+    for r in got:
+        _, x, y = rows[r["row_no"]]
+        assert (r["z"], r["s"]) == (x & y, word(x + y))
+    w = mpc.wide(shares.share(df, ["x", "y"], "k"), ["x", "y"])
+    w = mpc.less(mpc.greater(w, "x", "y", "gt", "k"), "x", 12345, "lt", "k")
+    got = mpc.chosen(w, "gt", "y", "c", "k").collect()
+    for r in got:
+        _, x, y = rows[r["row_no"]]
+        near = abs(x - y) < 2**63
+        assert not near or (r["gt_0"] ^ r["gt_1"], word(r["c_0"] + r["c_1"])) == (int(x > y), y if x > y else 0)
+        assert r["lt_0"] ^ r["lt_1"] == int(x < 12345)
+    # a party's shares of the results look random: no column of one party tells bits or values
+    assert len({r["c_0"] for r in got}) == len(got) and {r["gt_0"] for r in got} == {0, 1} == {r["gt_1"] for r in got}
+
+
+def test_shared_attribution_opens_no_column(spark, monkeypatch):
+    """Neither party's inputs, comparisons or contributions are put together; only sums are."""
+    monkeypatch.setattr(shares, "reveal", lambda *a, **k: pytest.fail("opened"))
+    monkeypatch.setattr(shares, "reveal_doubles", lambda *a, **k: pytest.fail("opened"))
+    rows = [(i, float(i % 7), float(i % 7 + i % 5), 10.0 + i) for i in range(40)]
+    held = shares.share_doubles(spark.createDataFrame(rows, "row_no long, t0 double, t1 double, value double"), ["t0", "t1", "value"], "s")
+    out = attribution.contributions(held, 3.0, "s").groupBy("row_no").pivot("party", [0, 1]).agg(F.first("s_c")).collect()
+    for r in out:
+        t0, t1, value = rows[r["row_no"]][1:]
+        assert (int(r["0"]) + int(r["1"])) % 2**64 == (int(value * 65536) if 0 < t1 - t0 < 3 else 0)
+        assert int(r["0"]) not in (0, int(value * 65536)) and int(r["1"]) not in (0, int(value * 65536))
+
+
+def test_private_measurement_toy(spark):
+    s = spark.createDataFrame([(i, a, b, t) for i, (a, b, t) in enumerate(zip("chegyz", "*#&@%!", [0.1, 2.0, 0.03, 4.0, 0.5, 0.6], strict=True))], "row_id long, id_0 string, id_1 string, t0 double")
+    r = spark.createDataFrame([(i, a, b, t, t) for i, (a, b, t) in enumerate(zip("bceg", "#*&!", [0.1, 2.0, 0.3, 4.0], strict=True))], "row_id long, id_0 string, id_1 string, t1 double, value double")
+    assert attribution.private_measurement(s, r, ["id_0", "id_1"], 5.0, "x", tau=4).first()["attributed"] == 2.29998779296875
+
+
+def test_waterfall_joins_do_not_grow(spark, monkeypatch):
+    """Three joins a round, however many rounds came before."""
+    ids, plans = [f"id_{i}" for i in range(7)], []
+    real = match.cut
+    monkeypatch.setattr(match, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or real(df))
+    rows = [(i, *[f"{i}-{c}" if i == c else f"{i}-{c}-s" for c in range(7)]) for i in range(9)]
+    s = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{c} string" for c in ids))
+    r = s.select("row_id", *[F.regexp_replace(c, "-s$", "-r").alias(c) for c in ids])
+    assert sorted(x[:] for x in match.waterfall_match(s, r, ids).collect()) == [(i, i, i) for i in range(7)]
+    assert max(plans) <= 3
+
+
+def test_sketch_draws_are_uniform(spark):
+    """Every cell but the true one is drawn equally often, and none twice in a report."""
+    p = sketch.SketchParams(k=2, m=12, s=4, p=0.5)
+    m = spark.range(6000).select(F.col("id").alias("client_id"), F.lit("v").alias("message"))
+    x = [set(r["x"]) for r in sketch.privatize(m, p, "u").where("j = 0").collect()]
+    assert all(len(r) == 4 and r <= set(range(12)) for r in x)
+    share = sorted(sum(c in r for r in x) / len(x) for c in range(12))
+    assert abs(share[-1] - 0.5) < 0.04 and all(abs(v - p.q) < 0.04 for v in share[:-1])
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([("abc", [1, 70000, 255])], "m string, xs array<long>")
     r = df.select(
@@ -134,7 +195,7 @@ def test_sketch_is_unbiased(spark):
 
 def test_discovery_releases_the_common(spark):
     m = spark.range(2000).select(F.col("id").alias("client_id"), F.when(F.col("id") < 1900, "often").otherwise(F.concat(F.lit("rare"), F.col("id").cast("string"))).alias("message"))
-    assert [r["message"] for r in discovery.discover(m, 0.1, 1e-5, "t").collect()] == ["often"]
+    assert [r["message"] for r in discovery.discover(m, 0.1, 1e-5, "t", "0123456789abcdef", "fedcba9876543210").collect()] == ["often"]
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -147,6 +208,26 @@ def test_csv_round_trip(spark, tmp_path):
     assert csv_tables.csv_shape(spark, path, header=True).first()[:] == (2, 4)
 
 
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("", (), {"sc": lambda self: type("", (), {"getCheckpointDir": lambda self: type("", (), {"isEmpty": lambda self: True})()})()})()
+        getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(type("", (), {"sparkContext": Context()})())
+
+
+def test_cut_forgets_estimates(spark):
+    """A loop of joins and checkpoints keeps the plans' size estimates from growing."""
+    df = spark.range(50).withColumn("v", F.col("id") % 7)
+    sizes = []
+    for _ in range(6):
+        df = session.cut(df.join(df.select(F.col("id").alias("v"), F.col("v").alias("w")), "v").select("id", F.col("w").alias("v")))
+        sizes.append(len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert df.count() == 50 and sizes[-1] == sizes[0]
+
+
 def test_memo():
     m = Memo()
     assert [m.calls(8, c) for c in range(9)] == [0, 3, 5, 6, 7, 6, 5, 3, 0]

@@ -45,17 +45,17 @@ def match_round(sender: DataFrame, receiver: DataFrame, id_column: str, number:
 def waterfall_match(sender: DataFrame, receiver: DataFrame, ids: list[str]) -> DataFrame:
     """(s_row, r_row, match_round): K rounds in column order; a row matched on both sides takes no part in later rounds.
 
-    Only row ids and id columns travel. Each round's few columns are written to the checkpoint folder, so the plan stays
-    one join deep for any K (K up to 100), and the anti-joins of a round read the previous round's result only once.
+    A round reads its own id column and leaves out, by one anti-join a side, the rows of all rounds before, whose row ids
+    are written to the checkpoint folder. So each round has three joins, whatever K is (up to 100).
     """
-    s, r = sender.select("row_id", *ids), receiver.select("row_id", *ids)
     found: list[DataFrame] = []
     for k, column in enumerate(ids):
-        matched = cut(match_round(s, r, column, k))
-        found.append(matched)
-        if k + 1 < len(ids):
-            s = s.join(matched.select(F.col("s_row").alias("row_id")), "row_id", "left_anti")
-            r = r.join(matched.select(F.col("r_row").alias("row_id")), "row_id", "left_anti")
+        s, r = sender.select("row_id", column), receiver.select("row_id", column)
+        if found:
+            before = reduce(DataFrame.unionByName, found)
+            s = s.join(before.select(F.col("s_row").alias("row_id")), "row_id", "left_anti")
+            r = r.join(before.select(F.col("r_row").alias("row_id")), "row_id", "left_anti")
+        found.append(cut(match_round(s, r, column, k)))
     return reduce(DataFrame.unionByName, found)
 
 

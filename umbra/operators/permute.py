@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from umbra.functions.prf import prf60
 
 
+#: Rows ranked in one task; 10**10 rows make a hundred thousand slices, whose sizes are summed up in one.
+SLICE_ROWS = 100_000
+
+
 def generate_permutation(rows: DataFrame, seed: str, row: str = "row_no") -> DataFrame:
     """(row_no, target): a random permutation of 0..n-1.
 
-    The rank is taken in ranges of the random number: rows are dealt to 4096 slices by its high bits, ranked inside a
-    slice, and slices are offset by the sizes of those before; no task sees all rows.
+    The rank is taken in ranges of the random number: rows are dealt to slices of some SLICE_ROWS rows by its high bits, ranked
+    inside a slice, and slices are offset by the sizes of those before; no task sees all rows.
     """
-    keyed = rows.select(row, prf60(seed, F.col(row)).alias("k")).withColumn("slice", F.shiftright("k", 48).cast("int"))
+    slices = max(1, -(-rows.count() // SLICE_ROWS))
+    high = (F.shiftright("k", 30) * F.lit(slices)).cast("bigint")
+    keyed = rows.select(row, prf60(seed, F.col(row)).alias("k")).withColumn("slice", F.shiftright(high, 30).cast("int"))
     sizes = keyed.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("slice").orderBy("k", row)) - 1

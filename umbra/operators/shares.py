@@ -65,30 +65,3 @@ def less(x: Column, y: Column) -> Column:
 def mux(bit: Column, y: Column) -> Column:
     """y where the bit is set, else 0."""
     return F.when(bit.cast("int") == 1, y).otherwise(F.lit(0).cast("bigint"))
-
-
-def xor_share(x: Column, *seed: Column | str | int) -> tuple[Column, Column]:
-    mask = word64(*seed)
-    return x.bitwiseXOR(mask), mask
-
-
-def beaver_and(x: tuple[Column, Column], y: tuple[Column, Column], *seed: Column | str | int) -> tuple[Column, Column]:
-    """XOR shares of x & y by an AND triple (a, b, a & b) dealt from the seed: only x ^ a and y ^ b are opened."""
-    a, b = word64(*seed, "a"), word64(*seed, "b")
-    c = a.bitwiseAND(b)
-    (a0, a1), (b0, b1), (c0, c1) = (xor_share(v, *seed, n) for v, n in ((a, "sa"), (b, "sb"), (c, "sc")))
-    d = x[0].bitwiseXOR(a0).bitwiseXOR(x[1].bitwiseXOR(a1))
-    e = y[0].bitwiseXOR(b0).bitwiseXOR(y[1].bitwiseXOR(b1))
-    z0 = c0.bitwiseXOR(d.bitwiseAND(b0)).bitwiseXOR(e.bitwiseAND(a0)).bitwiseXOR(d.bitwiseAND(e))
-    z1 = c1.bitwiseXOR(d.bitwiseAND(b1)).bitwiseXOR(e.bitwiseAND(a1))
-    return z0, z1
-
-
-def prefix_add(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
-    """df with out = x + y modulo 2**64 by a parallel-prefix adder: six levels of (generate, propagate) words, bit logic only."""
-    df = df.withColumn("_g", F.col(x).bitwiseAND(F.col(y))).withColumn("_p", F.col(x).bitwiseXOR(F.col(y))).withColumn("_h", F.col("_p"))
-    for k in range(6):
-        g, p = F.shiftleft("_g", 1 << k), F.shiftleft("_p", 1 << k)
-        df = df.select("*", F.col("_g").bitwiseOR(F.col("_p").bitwiseAND(g)).alias("_g2"), F.col("_p").bitwiseAND(p).alias("_p2")).drop("_g", "_p")
-        df = df.withColumnRenamed("_g2", "_g").withColumnRenamed("_p2", "_p")
-    return df.withColumn(out, F.col("_h").bitwiseXOR(F.shiftleft("_g", 1))).drop("_g", "_p", "_h")

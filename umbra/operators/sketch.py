@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ class SketchParams:
 def privatize(messages: DataFrame, params: SketchParams, seed: str | None = None) -> DataFrame:
     """client_id, j, x: one report for each message that isn't null.
 
-    The other cells are a uniform subset: the cells are ordered by random numbers and the first are taken. Without a
-    seed the numbers are Spark's own and can't be repeated.
+    The other cells are a uniform subset of the m - 1, drawn one by one: the draw for place j takes a random cell up to j, or j
+    itself if that one is taken (Floyd's sampling), so s hashes a report suffice. Without a seed the numbers are Spark's own
+    and can't be repeated.
     """
     rows = messages.where(F.col("message").isNotNull())
     if seed is None:
@@ -47,9 +49,10 @@ def privatize(messages: DataFrame, params: SketchParams, seed: str | None = None
     tag = F.lit(seed) if seed is not None else F.col("_seed")
     drawn = rows.select("client_id", (prf60(tag, "j", F.col("client_id")) % params.k).cast("int").alias("j"), "message", tag.alias("t"))
     hashed = drawn.withColumn("r", hash_encode(F.col("message"), F.col("j"), params.m).cast("int")).withColumn("hit", bernoulli(params.p, F.col("t"), "hit", F.col("client_id")))
-    others = F.array_except(F.sequence(F.lit(0), F.lit(params.m - 1)), F.array("r"))
-    ranked = F.array_sort(F.transform(others, lambda c: F.struct(prf60(F.col("t"), "fill", F.col("client_id"), c).alias("o"), c.alias("c"))))
-    fill = F.transform(F.slice(ranked, F.lit(1), F.lit(params.s) - F.col("hit")), lambda z: z["c"])
+    places = F.filter(F.sequence(F.lit(params.m - 1 - params.s), F.lit(params.m - 2)), lambda j: j >= F.lit(params.m - 1 - params.s) + F.col("hit"))
+    tried = F.transform(places, lambda j: F.struct(j.alias("j"), (prf60(F.col("t"), "fill", F.col("client_id"), j) % (j + 1)).cast("int").alias("c")))
+    taken = F.aggregate(tried, F.array().cast("array<int>"), lambda acc, z: F.array_append(acc, F.when(F.array_contains(acc, z["c"]), z["j"]).otherwise(z["c"])))
+    fill = F.transform(taken, lambda c: F.when(c >= F.col("r"), c + 1).otherwise(c))  # of all cells but the true one
     return hashed.select("client_id", "j", F.array_sort(F.concat(F.when(F.col("hit") == 1, F.array("r")).otherwise(F.array().cast("array<int>")), fill)).alias("x"))
 
 
@@ -74,3 +77,10 @@ def estimate(sketch: DataFrame, n_reports: DataFrame, candidates: DataFrame, par
     p, q, m = params.p, params.q, params.m
     n = F.lit(n_reports.first()["n"] or 0).cast("double")
     return counts.select("message", ((F.col("c") - p * n / m - q * n * (1 - 1 / m)) / ((p - q) * (1 - 1 / m))).alias("est"))
+
+
+def repeated_estimates(messages: DataFrame, candidates: DataFrame, params: SketchParams, seeds: list[str]) -> DataFrame:
+    """message, est: the mean of the estimates of one sketch for each seed."""
+    n = messages.where(F.col("message").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    runs = [estimate(build(privatize(messages, params, seed)), n, candidates, params) for seed in seeds]
+    return reduce(DataFrame.unionByName, runs).groupBy("message").agg(F.avg("est").alias("est"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from umbra.audit import compare, memo, sumtree
 from umbra.functions import encoding, ring64
 from umbra.functions.prf import bernoulli
 from umbra.operators import attribution as attr
-from umbra.operators import discovery, dummies, match, noise, permute, private_join, shares, sketch
+from umbra.operators import discovery, dummies, match, mpc, noise, permute, private_join, shares, sketch
 from umbra.operators.party import PartySpec, duplicate_ids
 from umbra.plans import inputs
 from umbra.plans.inputs import IDS, RECEIVER_SQL, SENDER_SQL, TOUCH_SQL, table
 from umbra.session import shared_folder
 from umbra.sources import csv_tables, generators
+from umbra.streaming import streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,15 +44,15 @@ def prf_sql(*parts: str) -> str:
 
 # --- set matching
 
-X_IDS, Y_IDS = "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 7 = 0"
+X_IDS, Y_IDS = "SELECT c_custkey AS id FROM customer", "SELECT DISTINCT o_custkey AS id FROM orders"
 
 
 def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
 
 
 def _y(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
 
 
 @query(f"SELECT id FROM ({X_IDS}) INTERSECT SELECT id FROM ({Y_IDS})")
@@ -208,6 +211,15 @@ def measurement_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attr.measurement(s, r, ["id_0", "id_1"], DAYS3).select(F.round("attributed", 6).alias("attributed"), "n_attributed")
 
 
+@query(_TOUCH + _FIXED)
+def private_measurement_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private join with dummies, then attribution on the joined rows' shares."""
+    ids = ["CAST(user_id AS STRING) AS id_0", "concat('x', user_id) AS id_1"]
+    s = inputs.impressions(spark, sf_dir).selectExpr("user_id AS row_id", *ids, "t0")
+    r = inputs.conversions(spark, sf_dir).selectExpr("user_id AS row_id", *ids, "t1", "value")
+    return attr.private_measurement(s, r, ["id_0", "id_1"], DAYS3, "umbra", TAU)
+
+
 # --- shares
 
 
@@ -229,17 +241,63 @@ def share_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.agg(*[ring64.signed(ring64.total(F.col(f"s_{c}"))).alias(c) for c in ("cents", "other")])
 
 
-@query(_CENTS + "SELECT row_no, CAST(cents > other AS INTEGER) AS gt, CAST(cents < other AS INTEGER) AS lt, CAST(cents < 0 AS INTEGER) AS sign, CASE WHEN cents > other THEN cents ELSE 0 END AS chosen FROM c")
+@query(_CENTS + "SELECT row_no, CAST(cents > other AS INTEGER) AS gt, CAST(cents < other AS INTEGER) AS lt, CAST(cents < 0 AS INTEGER) AS sign, CAST(cents > 1000 AS INTEGER) AS gt_plain, CASE WHEN cents > other THEN cents ELSE 0 END AS chosen FROM c")
 def compare_and_mux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, lt = shares.greater(F.col("cents"), F.col("other")), shares.less(F.col("cents"), F.col("other"))
-    return _cents(spark, sf_dir).select("row_no", gt.alias("gt"), lt.alias("lt"), shares.sign_bit(F.col("cents")).alias("sign"), shares.mux(gt, F.col("cents")).alias("chosen"))
+    """Comparisons and choice on shares; opened here are the results alone."""
+    df = mpc.wide(shares.share(_cents(spark, sf_dir), ["cents", "other"], "umbra"), ["cents", "other"])
+    df = mpc.less(mpc.greater(df, "cents", "other", "gt", "umbra"), "cents", "other", "lt", "umbra")
+    df = mpc.greater(mpc.sign(df, "cents", "sign", "umbra"), "cents", 1000, "gt_plain", "umbra")
+    df = mpc.chosen(df, "gt", "cents", "chosen", "umbra")
+    bits = [mpc.xor_open(c).cast("int").alias(c) for c in ("gt", "lt", "sign", "gt_plain")]
+    return df.select("row_no", *bits, mpc.plus(F.col("chosen_0"), F.col("chosen_1")).alias("chosen"))
 
 
 @query(_CENTS + "SELECT row_no, cents & other AS anded, cents + other AS added FROM c")
 def beaver_and_adder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = mpc.xor_shared(_cents(spark, sf_dir), ["cents", "other"], "umbra")
+    df = mpc.added(mpc.conjunction(df, [("cents", "other", "anded")], "umbra"), "cents", "other", "added", "umbra")
+    return df.select("row_no", mpc.xor_open("anded").alias("anded"), mpc.xor_open("added").alias("added"))
+
+
+@query(_CENTS + "SELECT row_no, cents FROM c")
+def arithmetic_to_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = mpc.wide(shares.share(_cents(spark, sf_dir), ["cents"], "umbra"), ["cents"])
+    return mpc.to_binary(df, "cents", "b", "umbra").select("row_no", mpc.xor_open("b").alias("cents"))
+
+
+@query(_CENTS + "SELECT row_no, CASE WHEN other > 200000 THEN cents ELSE other END AS got, 1 AS dealt_right FROM c")
+def oblivious_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receiver's chosen message; the dealt random transfer gives the receiver the message of its random choice."""
+    df = mpc.transferred(_cents(spark, sf_dir), F.col("other"), F.col("cents"), (F.col("other") > 200000).cast("int"), "got", "umbra")
+    df = mpc.random_transfer(df, "ot", "umbra")
+    right = F.col("ot_mb") == F.when(F.col("ot_b") == 1, F.col("ot_m1")).otherwise(F.col("ot_m0"))
+    return df.select("row_no", "got", (right & (F.col("ot_m0") != F.col("ot_m1"))).cast("int").alias("dealt_right"))
+
+
+@query(_CENTS + "SELECT row_no, cents, bit_count(row_no)::BIGINT AS ones, row_no AS word FROM c")
+def share_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares modulo a larger number brought to 2**64, sums of bits, words of bits."""
     rows = _cents(spark, sf_dir)
-    z = shares.beaver_and(shares.xor_share(F.col("cents"), "x", F.col("row_no")), shares.xor_share(F.col("other"), "y", F.col("row_no")), "t", F.col("row_no"))
-    return shares.prefix_add(rows, "cents", "other", "added").select("row_no", z[0].bitwiseXOR(z[1]).alias("anded"), "added")
+    big = (F.col("cents").cast("decimal(38,0)") + F.lit(str(5 << 64)).cast("decimal(38,0)"))
+    bits = F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda i: F.getbit("row_no", i).cast("int"))
+    return rows.select("row_no", ring64.signed(shares.finalize(big)).alias("cents"), shares.row_sum(bits).alias("ones"), encoding.bits_to_word(bits).alias("word"))
+
+
+@query(_CENTS + "SELECT row_no, cents FROM c")
+def shares_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share tables of both parties through CSV in the shared folder and back, then opened."""
+    folder = shared_folder(spark) + "/shares-csv"
+    columns = ["row_no", "party", "s_cents"]
+    csv_tables.sink_shares_csv(shares.share(_cents(spark, sf_dir), ["cents"], "umbra"), columns, folder, mode="overwrite")
+    back = csv_tables.scan_shares_csv(spark, folder, columns).select(F.col("row_no").cast("bigint").alias("row_no"), F.col("party").cast("int").alias("party"), "s_cents")
+    return shares.reveal(back, ["cents"])
+
+
+@query("SELECT count(*) AS n_rows, 4::BIGINT AS n_columns FROM customer")
+def csv_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark) + "/shape-csv"
+    csv_tables.sink_keyed_csv(inputs.receiver(spark, sf_dir).select(*IDS, "r_nation"), folder, mode="overwrite")
+    return csv_tables.csv_shape(spark, folder)
 
 
 @query(_CENTS + "SELECT row_no, (cents::HUGEINT - other::HUGEINT)::BIGINT AS difference, (-cents)::BIGINT AS negated, (cents::HUGEINT * 0 + 18446744073709551616 + other - 18446744073709551616)::BIGINT AS wrapped FROM c")
@@ -319,12 +377,17 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_mktsegment").alias("message"))
 
 
+_FIRST = PARAMS.m - 1 - PARAMS.s
+_FLOYD = "".join(
+    f"f{i} AS (SELECT *, " + ("CASE WHEN hit = 0 THEN " if i == 0 else "CASE WHEN true THEN ") + f"CASE WHEN t{i} IN ({', '.join(['-1', *(f'c{k}' for k in range(i))])}) THEN {_FIRST + i} ELSE t{i} END END AS c{i}"
+    f" FROM (SELECT *, {prf_sql(repr('umbra'), repr('fill'), 'client_id', str(_FIRST + i))} % {_FIRST + i + 1} AS t{i} FROM {'r1' if i == 0 else f'f{i - 1}'})),\n"
+    for i in range(PARAMS.s)
+) + "fill AS (" + " UNION ALL ".join(f"SELECT client_id, j, r, c{i} AS c FROM f{PARAMS.s - 1}" for i in range(PARAMS.s)) + "),"
 _REPORTS = f"""WITH r0 AS (SELECT c_custkey AS client_id, c_mktsegment AS message, {prf_sql("'umbra'", "'j'", "c_custkey")} % {PARAMS.k} AS j,
   CAST(floor({prf_sql("'umbra'", "'hit'", "c_custkey")}::DOUBLE / {1 << 60} * 1000000) < {PARAMS.p} * 1000000 AS INTEGER) AS hit FROM customer WHERE c_mktsegment IS NOT NULL),
 r1 AS (SELECT client_id, j, hit, {_fold(PARAMS.m)} AS r FROM (SELECT *, sha256(message || '$$$' || CAST(j AS VARCHAR)) AS d FROM r0)),
-fill AS (SELECT client_id, j, hit, c AS pos, row_number() OVER (PARTITION BY client_id ORDER BY {prf_sql("'umbra'", "'fill'", "client_id", "c")}, c) AS n
-  FROM (SELECT r1.*, t.range AS c FROM r1, range({PARAMS.m}) t WHERE t.range <> r)),
-x AS (SELECT client_id, j, r AS pos FROM r1 WHERE hit = 1 UNION ALL SELECT client_id, j, pos FROM fill WHERE n <= {PARAMS.s} - hit),
+{_FLOYD}
+x AS (SELECT client_id, j, r AS pos FROM r1 WHERE hit = 1 UNION ALL SELECT client_id, j, CASE WHEN c >= r THEN c + 1 ELSE c END AS pos FROM fill WHERE c IS NOT NULL),
 cells AS (SELECT j, pos, count(*) AS cnt FROM x GROUP BY 1, 2)
 """
 
@@ -334,6 +397,27 @@ def sketch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.build(sketch.privatize(_messages(spark, sf_dir), PARAMS, "umbra"))
 
 
+@query(_REPORTS + "SELECT CAST(j AS INTEGER) AS j, CAST(pos AS INTEGER) AS pos, cnt FROM cells")
+def sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches of each nation's reports, added cell by cell."""
+    reports = sketch.privatize(_messages(spark, sf_dir), PARAMS, "umbra").join(table(spark, sf_dir, "customer").selectExpr("c_custkey AS client_id", "c_nationkey AS nation"), "client_id")
+    return sketch.merge(*[sketch.build(reports.where((F.col("nation") < 10) == low)) for low in (True, False)])
+
+
+@query(_REPORTS + "SELECT CAST(j AS INTEGER) AS j, CAST(pos AS INTEGER) AS pos, cnt FROM cells")
+def sketch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running sketch over the customers read as a stream, once all of them have come."""
+    source = spark.readStream.schema(table(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/customer.parquet*")
+    messages = source.select(F.col("c_custkey").alias("client_id"), F.col("c_mktsegment").alias("message"))
+    name = f"sketch_{uuid.uuid4().hex}"
+    running = streams.start_sketch(messages, PARAMS, "umbra", name, shared_folder(spark))
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.table(name)
+
+
 _q = PARAMS.q
 _EST = f"round((c - {PARAMS.p} * n / {PARAMS.m} - {_q!r} * n * (1 - 1.0::DOUBLE / {PARAMS.m})) / (({PARAMS.p} - {_q!r}) * (1 - 1.0::DOUBLE / {PARAMS.m})), 6)"
 
@@ -351,6 +435,8 @@ def sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EPSILON, DELTA = 0.1, 1e-5
+#: Keys of the queries' server and analyst.
+KEYS = ("0123456789abcdef", "fedcba9876543210")
 _T, _B = noise.stability_parameters(EPSILON, DELTA)
 _LAP = f"({prf_sql(repr('umbra'), repr('release'), 'upper(sha256(w))')}::DOUBLE / {1 << 60} - 0.5)"
 _WORDS = "SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents WHERE text IS NOT NULL"
@@ -359,12 +445,31 @@ _WORDS = "SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM docu
 @query(f"SELECT w AS message FROM (SELECT w, count(*) AS n FROM ({_WORDS}) WHERE w <> '' GROUP BY w) WHERE n + (0.0 - {_B!r} * sign({_LAP}) * ln(greatest(1 - 2 * abs({_LAP}), {2.0**-60}))) >= {_T!r}")
 def discover_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("client_id"), F.explode(F.split("text", "\\s+")).alias("message")).where("message <> ''")
-    return discovery.discover(words, EPSILON, DELTA, "umbra")
+    return discovery.discover(words, EPSILON, DELTA, "umbra", *KEYS)
 
 
-@query("SELECT upper(sha256(c_mktsegment)) AS digest, count(*) AS cnt FROM customer GROUP BY c_mktsegment")
+@query("SELECT upper(sha256(c_mktsegment)) AS digest, count(*) AS cnt, c_mktsegment AS message FROM customer GROUP BY c_mktsegment")
 def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.digest_group(discovery.enclose(_messages(spark, sf_dir), "0123456789abcdef"), "umbra").select(F.hex("digest").alias("digest"), "cnt")
+    """One envelope for each client, grouped by digest; the picked envelope of each group opened by both keys in turn."""
+    groups = discovery.open_outer(discovery.digest_group(discovery.enclose(_messages(spark, sf_dir), *KEYS), "umbra"), KEYS[0])
+    return groups.select(F.hex("digest").alias("digest"), "cnt", F.aes_decrypt("envelope", F.lit(KEYS[1]), F.lit("GCM")).cast("string").alias("message"))
+
+
+_BUDGET_ROWS = [(2.0, 1.0), (68.7, 10.0), (200.0, 4.0)]
+
+
+@query(
+    "SELECT threshold, scale, round(e, 9) AS epsilon, round(0.5 * exp(e * (1 - threshold)), 12) AS delta FROM (SELECT threshold, scale, greatest(1 / scale, ln(1 + 1 / (2 * exp((threshold - 1) / scale) - 1))) AS e"
+    " FROM (VALUES " + ", ".join(f"({t}::DOUBLE, {b}::DOUBLE)" for t, b in _BUDGET_ROWS) + ") AS t(threshold, scale))"
+)
+def stability_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(t, b, *noise.stability_budget(t, b)) for t, b in _BUDGET_ROWS]
+    return spark.createDataFrame([(t, b, round(e, 9), round(d, 12)) for t, b, e, d in rows], "threshold double, scale double, epsilon double, delta double")
+
+
+@query("SELECT c_custkey AS id, round(least(greatest(c_nationkey * (1 + c_acctbal / 10000), 2), 20), 6) AS held FROM customer")
+def noisy_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(noise.noisy_count(F.col("c_nationkey"), F.col("c_acctbal") / 10000, 2, 20), 6).alias("held"))
 
 
 # --- encodings
@@ -387,6 +492,24 @@ def scalar_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT c_custkey AS id, c_custkey AS one, c_nationkey::BIGINT AS two, c_name AS name, printf('%02X', list_sum(list_transform(range(0, 8), lambda i: (((c_custkey >> i) & 1) << i)))::BIGINT) AS bits,"
+    " substr(upper(sha256(c_name)), 41, 24) AS token FROM customer"
+)
+def scalar_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = encoding.serialize_ints(F.array(F.col("c_custkey"), F.col("c_nationkey").cast("bigint")), 3)
+    back = encoding.deserialize_ints(packed, 3)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.getbit("c_custkey", i) == 1)
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.get(back, F.lit(0)).alias("one"),
+        F.get(back, F.lit(1)).alias("two"),
+        encoding.hex_decode(encoding.hex_encode(F.col("c_name"))).cast("string").alias("name"),
+        F.hex(encoding.bool_pack(bits)).alias("bits"),
+        F.hex(encoding.token_truncate(encoding.sha256_digest(F.col("c_name")))).alias("token"),
+    )
+
+
 # --- sources
 
 
@@ -398,6 +521,37 @@ def generated_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.waterfall_match(s, r, IDS).groupBy("match_round").agg(F.count(F.lit(1)).alias("n"))
 
 
+_KEY = "translate(substr(d, {0} + 1, 1), 'abcdef', '012345') || translate(substr(d, {0} + 17, 1), '0123456789', 'ghijklmnop')"
+
+
+@query(
+    f"SELECT id, {' || '.join(_KEY.format(i) for i in range(16))} || '@x' AS key, {prf_sql(repr('umbra'), 'id')} AS feature, 0::BIGINT AS nothing,"
+    f" round(5 + {prf_sql(repr('umbra'), 'id')}::DOUBLE / {1 << 60} * 5 + 2.5, 9) AS number FROM (SELECT range AS id, sha256('umbra:' || range) AS d FROM range(500))"
+)
+def generated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random ids, features, zero features and doubles."""
+    parts = [generators.features(spark, 500, "umbra").withColumnRenamed("value", "feature"), generators.features(spark, 500, "umbra", zero=True).withColumnRenamed("value", "nothing")]
+    out = generators.keys(spark, 500, "umbra", suffix="@x")
+    for p in [*parts, generators.doubles(spark, 500, 5.0, 10.0, "umbra").select("id", F.round("value", 9).alias("number"))]:
+        out = out.join(p, "id")
+    return out
+
+
+@query(
+    f"SELECT id, r < 20 AS in_x, r >= 10 AND r < 30 AS in_y, r >= 30 AS is_dummy FROM (SELECT id, row_number() OVER (ORDER BY o, id) - 1 AS r FROM (SELECT range AS id, {prf_sql(repr('umbra'), 'range')} AS o FROM range(70))) WHERE r < 35"
+)
+def generated_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit sets of 20 and 20 with 10 in common, and 5 dummies."""
+    return generators.audit_sets(spark, 20, 20, 10, dense=2, dummies=5)
+
+
+@query("SELECT side, count(*) AS n, CAST(50 AS BIGINT) AS below FROM (VALUES ('x'), ('y')) AS t(side), range(CASE side WHEN 'x' THEN 20 ELSE 15 END) GROUP BY side")
+def generated_independent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = generators.independent_sets(spark, 20, 15, 50)
+    both = x.select(F.lit("x").alias("side"), "id").unionByName(y.select(F.lit("y").alias("side"), "id"))
+    return both.where((F.col("id") >= 0) & (F.col("id") < 50)).groupBy("side").agg(F.count_distinct("id").alias("n"), F.lit(50).cast("bigint").alias("below"))
+
+
 @query(f"SELECT id_0, id_1, id_2, r_nation FROM ({RECEIVER_SQL})")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Party tables through a keyed CSV in the shared folder and back."""
@@ -421,6 +575,15 @@ def audit_memo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memo.memo_table(spark, 12)
 
 
+@query("SELECT algo, 0::BIGINT AS beyond FROM (VALUES ('baseline'), ('improved'), ('dynamic'), ('bayes'), ('sum_tree'), ('sum_only')) AS t(algo)")
+def audit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials in which an audit says that it has found more than there is, which no sound one but the probabilistic one may; that keeps to the set's size."""
+    trials = compare.leakage_trials(spark, SET_X, SET_Y, [0, 1, 2, 4, 8, 16, 30], 10)
+    common, whole = len(set(SET_X) & set(SET_Y)), len(SET_X)
+    sound = F.when(F.col("algo") == "bayes", F.col("members") + F.col("others") <= whole).otherwise((F.col("members") <= common) & (F.col("others") <= whole - common))
+    return trials.groupBy("algo").agg(F.count_if(~sound).alias("beyond"))
+
+
 @query()
 def audit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.leakage_curve(spark, SET_X, SET_Y, [0, 1, 2, 3, 4, 8, 16], 20)

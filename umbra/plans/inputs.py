@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 IDS = ["id_0", "id_1", "id_2"]
 
 
-def _ids(side: str, shift: int) -> list[str]:
+def _ids(side: str, shift: int, known: str) -> list[str]:
     """Three id columns: shared text where a rule of the key says that both parties know the id, private text elsewhere.
 
-    The receiver's second id belongs to the next customer, so that rounds disagree about which rows belong together.
+    The receiver's second id belongs to the next customer, so that rounds disagree about which rows belong together. Rows
+    outside `known` have private ids alone.
     """
     rules = ["c_custkey % 10 < 6", f"(c_custkey + {shift}) % 4 = 0 OR (c_custkey + {shift}) % 10 = 7", "c_custkey % 2 = 1"]
     shifts = [0, shift, 0]
-    return [f"CASE WHEN {r} THEN 'i{i}_' || CAST(c_custkey + {d} AS STRING) ELSE '{side}{i}_' || CAST(c_custkey AS STRING) END AS id_{i}" for i, (r, d) in enumerate(zip(rules, shifts, strict=True))]
+    return [
+        f"CASE WHEN {known} AND ({r}) THEN 'i{i}_' || CAST(c_custkey + {d} AS STRING) ELSE '{side}{i}_' || CAST(c_custkey AS STRING) END AS id_{i}"
+        for i, (r, d) in enumerate(zip(rules, shifts, strict=True))
+    ]
 
 
-SENDER = ["c_custkey AS row_id", *_ids("s", 0), "CAST(round(c_acctbal * 100) AS BIGINT) AS s_cents"]
-RECEIVER = ["c_custkey AS row_id", *_ids("r", 1), "CAST(c_nationkey AS BIGINT) AS r_nation"]
-SENDER_WHERE, RECEIVER_WHERE = "c_custkey % 5 <> 0", "c_custkey % 3 <> 0"
-SENDER_SQL = f"SELECT {', '.join(SENDER)} FROM customer WHERE {SENDER_WHERE}"
-RECEIVER_SQL = f"SELECT {', '.join(RECEIVER)} FROM customer WHERE {RECEIVER_WHERE}"
+SENDER = ["c_custkey AS row_id", *_ids("s", 0, "c_custkey % 5 <> 0"), "CAST(round(c_acctbal * 100) AS BIGINT) AS s_cents"]
+RECEIVER = ["c_custkey AS row_id", *_ids("r", 1, "c_custkey % 3 <> 0"), "CAST(c_nationkey AS BIGINT) AS r_nation"]
+SENDER_SQL = f"SELECT {', '.join(SENDER)} FROM customer"
+RECEIVER_SQL = f"SELECT {', '.join(RECEIVER)} FROM customer"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where(SENDER_WHERE).selectExpr(*SENDER)
+    return table(spark, sf_dir, "customer").selectExpr(*SENDER)
 
 
 def receiver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where(RECEIVER_WHERE).selectExpr(*RECEIVER)
+    return table(spark, sf_dir, "customer").selectExpr(*RECEIVER)
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +30,16 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "umbra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a temporary one only where none is set (tests)."""
+    """Keep the cluster's spark.checkpoint.dir; set a temporary one only in local mode (tests), which ends with the process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="umbra-checkpoint-"))
+        if not configured:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="umbra-checkpoint-")
+            atexit.register(shutil.rmtree, configured, True)
+        sc.setCheckpointDir(configured)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,8 +8,6 @@ stay, whatever their names. Rows without an id are never taken out as copies; eq
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from umbra.llm.near_dups import BROADCAST_ROWS, near_duplicates
 from umbra.llm.packing import pack
 from umbra.llm.tables import read
 from umbra.llm.winnowing import clean_rows
-from umbra.session import broadcast_if_small, cut, ensure_checkpoint_dir
+from umbra.session import broadcast_if_small, cut, remove_folder, shared_folder
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -74,11 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written to the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    """The stages over the documents of sf_dir, each written to the shared checkpoint folder and read again; what the next has read goes."""
+    folder = shared_folder(spark)
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs

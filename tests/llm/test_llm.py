@@ -614,21 +614,55 @@ def test_quality_scores_all_pairs(texts):
             assert logit == pytest.approx(m.bias + m.linear[at] @ x + pairs, rel=1e-6, abs=1e-9)
 
 
-def test_pipeline_stages_keep_columns(spark, tmp_path):
+def written(spark, folder, documents, labels, benchmark):
+    documents.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage against what it must keep of the one before, by brute force; nulls, repeated rows and clashing columns among them."""
     documents, labels = labelled(spark)
-    documents.write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, prose(2, 90))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    copied = documents.where("doc_id IN (4, 5, 6, 8)").withColumn("text", F.concat("text", F.lit(" end"))).withColumn("doc_id", F.col("doc_id") + 1000)
+    twice = documents.where("doc_id = 9")
+    leaked = spark.createDataFrame([(None, prose(2, 60), "en", "s", 0), (3000, prose(500, 50) + " " + " ".join(prose(2, 90).split()[20:45]), "en", "s", 0), (None, prose(501, 80), "en", "s", 0)], documents.schema)
+    documents = documents.unionByName(copied).unionByName(twice).unionByName(leaked)
+    documents = documents.select("*", F.lit("a").alias("quality_score"), F.lit("b").alias("toxicity_score"), F.lit(1).alias("text_hash"), F.lit(2).alias("kept"))
+    written(spark, tmp_path, documents, labels, [(1, prose(2, 90)), (None, "x" * 50), (2, None)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     for name, stage in corpus_pipeline.STAGES:
+        before = rows(docs)
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
         after = spark.read.parquet(str(tmp_path / name))
+        ids = {r[0] for r in before}
         if name != "packing":
-            assert after.columns == docs.columns and after.count() <= docs.count()
-        left.append({r["doc_id"] for r in after.select("doc_id").collect()})
+            assert after.columns == docs.columns
+        got = rows(after)
+        if name == "quality":
+            model = quality_model.train(docs, labels)
+            score = {r["doc_id"]: r["quality_score"] for r in quality_model.score_quality(docs.select("doc_id", "text"), model).collect()}
+            assert all(score[i] >= 0.3 for i in {r[0] for r in got}) and all(score[i] < 0.3 for i in ids - {r[0] for r in got})
+            assert not {r["doc_id"] for r in labels.where("quality = 0").collect()} & {r[0] for r in got}
+        if name == "near_duplicates":
+            known = [(r[0], r[1]) for r in before if r[0] is not None and (r[1] or "").strip()]
+            comp = brute_components(known)
+            assert got == [r for r in before if r[0] is None or comp.get(r[0], r[0]) == r[0]]
+            assert not {1005, 1006} & {r[0] for r in got}
+        if name == "decontamination":
+            items = prose(2, 90).translate(LOW)
+            held = {tuple(w[j : j + 10]) for w in (ALNUM_RE.findall(items),) for j in range(len(w) - 9)} | {("x" * 50,)}
+            hit = lambda t: any(tuple(w[j : j + n]) in held for w in (ALNUM_RE.findall((t or "").translate(LOW)),) for n in (1, 10) for j in range(len(w)))
+            assert got == [r for r in before if not hit(r[1])] and len(got) < len(before)
+            assert any(r[0] is None for r in got)
+        if name == "packing":
+            assert {r["doc_id"] for r in after.collect()} == ids
+            assert after.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= packing.CAPACITY
         docs = after
-    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
-    assert not left[0] & bad
-    assert 2 not in left[3] or 2 not in left[2]
-    assert left[4] == left[3]
-    assert docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= packing.CAPACITY
+    assert rows(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length")) == rows(docs.select("doc_id", "piece", "length"))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    documents, labels = labelled(spark, 4)
+    written(spark, tmp_path, documents.limit(0), labels.limit(0), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.llm.words import trim
 from umbra.session import broadcast_if_small
 
 #: Labels are broadcast up to this many rows (16 bytes each, some 60 as a hash table: 120 MB), joined by a shuffle beyond.
@@ -58,6 +59,8 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> An
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
         model = zlib.compress(pickle.dumps(fit([(t, y) for _, t, y in rows])), 1)
+        del rows
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     # an aggregate without keys is one partition, also without rows

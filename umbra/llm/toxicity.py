@@ -43,6 +43,8 @@ ROUNDS = 4
 LEAST_STEPS = 300
 THRESHOLD = 0.5
 FOLDS, HELD = 5, 0
+#: Bytes of text that are scored at once.
+CHUNK = 1 << 20
 BAG = 2 * EMBED + 2
 #: Of the unit that spells a word: bytes read, size of their embedding and of its state.
 LETTERS, LETTER, SPELL = 16, 6, 6
@@ -394,7 +396,7 @@ def scorer(net: Network, into: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [net.score(w) for w in words(batch.column("text"), ALNUM)]
+            found = [net.score(w) for w in words(batch.column("text"), ALNUM, size=CHUNK)]
             score = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, into])
 

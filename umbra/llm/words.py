@@ -8,12 +8,14 @@ chunk or by one very long text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 CHUNK = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -126,10 +128,18 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.
         t = end
 
 
+def trim() -> None:
+    """Give freed memory back, which a worker that lives on would keep: Arrow's and the C library's."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def words(texts: pa.Array, word: np.ndarray, lower: bool = True, size: int = CHUNK) -> Iterator[Words]:
     """Words of a batch of texts, chunk by chunk."""
     for raw, offsets, first in chunks(texts, size):
         yield tokenize(raw, offsets, word, lower, first)
+    trim()
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from umbra.audit.memo import Memo
 from umbra.functions import encoding, ring64
 from umbra.operators import attribution, discovery, dummies, match, mpc, noise, private_join, shares, sketch
 from umbra.operators.party import PartySpec, check_parameters, load_config, validate
-from umbra.protocol import p256, paillier
+from umbra.protocol import encrypted_match, p256, paillier
 from umbra.sources import csv_tables
 from umbra.streaming import streams
 
@@ -266,6 +266,14 @@ def test_protocol_equals_semantics(spark):
     assert one == two and again == direct and one[0] != one[1]
 
 
+def test_encrypted_match_equals_the_clear_one(spark):
+    s, r = (p.drop("f", "g") for p in parties(spark))
+    got = encrypted_match.encrypted_match(s, r, ["id_0", "id_1"], "a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, match.waterfall_match(s, r, ["id_0", "id_1"]).collect()))
+    t = encrypted_match.tokens(s.withColumn("id_1", F.col("id_0")), ["id_0", "id_1"], [5, 7], [11, 13]).collect()
+    assert all(len(x["id_0"]) == 24 and x["id_0"] != x["id_1"] for x in t)
+
+
 def test_paillier(spark):
     key = paillier.generate(512, "t")
     a, b = paillier.encrypt(key.n, 5, 12345), paillier.encrypt(key.n, 7, 54321)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions import ring64
 from umbra.operators import shares
 from umbra.operators.dummies import dummy_rows, negotiated_tau, with_dummies
 from umbra.operators.match import intersection_features, waterfall_match
 from umbra.operators.party import PartySpec, check_parameters, load_config
+from umbra.operators.permute import generate_permutation
+from umbra.session import cut
 
 
 def private_join(sender: DataFrame, receiver: DataFrame, s_spec: PartySpec, r_spec: PartySpec, s_config: dict | None = None, r_config: dict | None = None) -> DataFrame:
@@ -27,14 +30,13 @@ def private_join(sender: DataFrame, receiver: DataFrame, s_spec: PartySpec, r_sp
 
 
 def joined_shares(joined: DataFrame, features: list[str], seed: str) -> DataFrame:
-    """row_no, party and the share columns of the joined features; rows are named by a hash of the pair, not by their ids."""
-    named = joined.withColumn("row_no", F.xxhash64(F.lit(seed), "s_row", "r_row"))
-    return shares.share(named, features, seed)
+    """row_no, party and the share columns of the joined features. Rows are permuted: a place tells neither party its row."""
+    named = cut(joined.select(F.xxhash64(F.lit(seed), "s_row", "r_row").alias("_name"), *features))
+    places = generate_permutation(named.select("_name"), f"{seed}:join", "_name").withColumnRenamed("target", "row_no")
+    return shares.share(named.join(places, "_name").drop("_name"), features, seed)
 
 
 def sum_check(shared: DataFrame, column: str) -> DataFrame:
     """The sum of a shared column, from the parties' sums."""
     sums = shares.column_sum(shared, [column])
-    from umbra.functions import ring64
-
     return sums.agg(ring64.signed(ring64.total(F.col(f"s_{column}"))).alias("total"))

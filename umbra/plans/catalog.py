@@ -11,10 +11,11 @@ from umbra.audit import compare, memo, sumtree
 from umbra.functions import encoding, ring64
 from umbra.functions.prf import bernoulli
 from umbra.operators import attribution as attr
-from umbra.operators import discovery, dummies, match, mpc, noise, permute, private_join, shares, sketch
+from umbra.operators import cost, discovery, dummies, match, mpc, noise, permute, private_join, shares, sketch
 from umbra.operators.party import PartySpec, duplicate_ids
 from umbra.plans import inputs
 from umbra.plans.inputs import IDS, RECEIVER_SQL, SENDER_SQL, TOUCH_SQL, table
+from umbra.protocol import encrypted_match as protocol_match
 from umbra.session import shared_folder
 from umbra.sources import csv_tables, generators
 from umbra.streaming import streams
@@ -220,6 +221,25 @@ def private_measurement_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attr.private_measurement(s, r, ["id_0", "id_1"], DAYS3, "umbra", TAU)
 
 
+@query(
+    "SELECT a.user_id AS id, epoch_us(a.ts) AS t0, epoch_us(b.ts) AS t1, b.value FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts < a.ts + INTERVAL 1 HOUR"
+    " WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
+)
+def attribution_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases read as streams and joined by interval, once all of them have come."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    clicks = source.where("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("t0"))
+    bought = source.where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("t1"), "value")
+    name = f"touches_{uuid.uuid4().hex}"
+    joined = streams.attribution_stream(clicks, bought, "1 hour")
+    running = joined.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", shared_folder(spark)).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.table(name).select("id", F.unix_micros("t0").alias("t0"), F.unix_micros("t1").alias("t1"), "value")
+
+
 # --- shares
 
 
@@ -418,6 +438,13 @@ def sketch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+@query(_REPORTS + "SELECT CAST(j AS INTEGER) AS j, string_agg(pos, ',' ORDER BY pos) AS cells FROM x GROUP BY client_id, j")
+def shuffled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as the analyst gets them: in random order, without who sent them."""
+    reports = sketch.privatize(_messages(spark, sf_dir), PARAMS, "umbra")
+    return permute.shuffle_reports(reports, "umbra").select("j", F.array_join(F.transform("x", lambda c: c.cast("string")), ",").alias("cells"))
+
+
 _q = PARAMS.q
 _EST = f"round((c - {PARAMS.p} * n / {PARAMS.m} - {_q!r} * n * (1 - 1.0::DOUBLE / {PARAMS.m})) / (({PARAMS.p} - {_q!r}) * (1 - 1.0::DOUBLE / {PARAMS.m})), 6)"
 
@@ -434,6 +461,16 @@ def sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.estimate(built, n, messages.select("message").distinct(), PARAMS).select("message", F.round("est", 6).alias("est"))
 
 
+_ONE = ORACLE["sketch_estimates"]
+
+
+@query(f"SELECT message, round(avg(est), 6) AS est FROM (({_ONE}) UNION ALL ({_ONE.replace(repr('umbra'), repr('again'))})) GROUP BY message")
+def repeated_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    out = sketch.repeated_estimates(messages, messages.select("message").distinct(), PARAMS, ["umbra", "again"])
+    return out.select("message", F.round("est", 6).alias("est"))
+
+
 EPSILON, DELTA = 0.1, 1e-5
 #: Keys of the queries' server and analyst.
 KEYS = ("0123456789abcdef", "fedcba9876543210")
@@ -510,6 +547,35 @@ def scalar_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the protocol itself, its cost, and audits' trees
+
+
+@query("SELECT range AS s_row, range AS r_row, CAST(CASE WHEN range < 10 THEN 0 WHEN range < 20 THEN 1 ELSE 2 END AS INTEGER) AS match_round FROM range(30)")
+def encrypted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generated parties of 40 rows, matched as curve points under both parties' keys."""
+    s, r = (generators.party(spark, 40, 30, 3, 0, side) for side in "sr")
+    return protocol_match.encrypted_match(s, r, IDS, "sender", "receiver")
+
+
+@query(
+    f"SELECT 3 * (66 * (2 * n + 6 * {TAU}) + 12 * (n + 3 * {TAU})) AS match_bytes, 3 * (66 * (2 * n + 6 * {TAU}) + 12 * (n + 3 * {TAU})) + 512 * 2 * (2 * n + 6 * {TAU} + n) AS join_bytes, n * 8 * 54 AS compare_bytes FROM (SELECT count(*) AS n FROM customer)"
+)
+def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that two parties of all customers would send."""
+    n = table(spark, sf_dir, "customer").count()
+    row = (cost.match_bytes(n, n, 3, TAU), cost.join_bytes(n, n, 3, n, 2, TAU), cost.compare_bytes(n))
+    return spark.createDataFrame([row], "match_bytes bigint, join_bytes bigint, compare_bytes bigint")
+
+
+@query(
+    f"WITH r AS (SELECT c_custkey AS member, row_number() OVER (ORDER BY {prf_sql(repr('umbra'), 'c_custkey')}, c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer),"
+    " l AS (SELECT *, ceil(log2(n))::BIGINT AS levels FROM r), d AS (SELECT member, levels, floor(r * (1::BIGINT << levels)::DOUBLE / n)::BIGINT AS place, unnest(range(0, levels + 1)) AS depth FROM l)"
+    " SELECT (1::BIGINT << depth) + (place >> (levels - depth)) AS node, CAST(depth AS INTEGER) AS depth, member FROM d"
+)
+def bisect_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.bisect_tree(table(spark, sf_dir, "customer"), "umbra", "c_custkey").select("node", F.col("depth").cast("int").alias("depth"), "member")
+
+
 # --- sources
 
 

@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +67,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
-def let_go(df: DataFrame) -> None:
-    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def let_go(df: DataFrame, rounds: int = 3) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver happens to collect its garbage.
+
+    What one round finds dead still holds others, which the next one finds.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

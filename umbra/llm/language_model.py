@@ -311,12 +311,12 @@ def score_texts(documents: DataFrame, folds: int = FOLDS, held: int = HELD) -> D
     made = rows.mapInArrow(tokenizing, "keys binary, counts binary")
     texts = cut(made.select(F.monotonically_increasing_id().alias("batch"), F.lit(TEXTS).alias("kind"), F.lit(0).alias("bucket"), "keys", "counts"))
     answers = cut(texts.mapInArrow(asking(buckets, folds, held), PACKED).groupBy("kind", "bucket").applyInPandas(answer, PACKED))
-    let_go(rows)
+    let_go(rows, rounds=5)
     sums = {r["kind"]: r["n"] for r in answers.where(F.col("kind").isin(TOKENS, KNOWN)).groupBy("kind").agg(F.sum("batch").alias("n")).collect()}
     total, known = sums.get(TOKENS, 0), sums.get(KNOWN, 0)
     answers = answers.where(F.col("kind").isin(WORD, PAIR))
     asked = texts.unionByName(answers.where(F.col("kind") == PAIR)).groupBy("batch").applyInPandas(asking_triples(buckets, folds, held), PACKED)
     triples = cut(asked.groupBy("kind", "bucket").applyInPandas(answer, PACKED))
     del asked
-    let_go(rows)
+    let_go(rows, rounds=5)
     return texts.unionByName(answers).unionByName(triples).groupBy("batch").applyInPandas(scoring(total, known, folds, held), RESULT)

@@ -246,6 +246,15 @@ def test_audits_are_sound(budget):
         assert members <= x & y and others <= x - y
 
 
+def test_sum_tree_resolves_all():
+    """With queries enough every element is resolved, in parts where the whole can't be enumerated."""
+    x, y = set(range(24)), set(range(12, 40))
+    for computation in (1e10, 1e3):
+        assert sumtree.audit(x, y, 200, computation) == (x & y, x - y)
+    assert sumtree.audit(set(), y, 5) == (set(), set()) and sumtree.audit(x, set(), 5) == (set(), x)
+    assert sumtree.n_sum_pairs([("a", 1), ("b", 2), ("c", 1), ("d", 3)], 3, 2) == [[("a", 1), ("b", 2)], [("c", 1), ("b", 2)]]
+
+
 def test_audit_curve_grows(spark):
     rows = compare.leakage_curve(spark, list(range(12)), list(range(6, 20)), [0, 12, 30], 6, ("improved", "dynamic")).collect()
     by = {(r["algo"], r["tau"]): r["leak"] for r in rows}

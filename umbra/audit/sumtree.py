@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 import random
 from bisect import bisect_right
+from dataclasses import dataclass
 
 
 def n_sum(numbers, target: int, n: int) -> list[list[int]]:
@@ -51,50 +51,69 @@ def solve_size(low: int, high: int, budget: int, computation: float, density: in
     return max(low, low + bisect_right(lengths, limit, key=lambda n: complexity(n, density)) - 1) if lengths else 0
 
 
+@dataclass
+class Part:
+    """A set of elements of which the number and sum of members are known; candidates: the subsets that these allow."""
+
+    node: set[int]
+    size: int
+    total: int
+    candidates: list[list[int]]
+
+    @classmethod
+    def of(cls, node: set[int], size: int, total: int) -> Part:
+        return cls(node, size, total, n_sum(node, total, size))
+
+    def worth(self, queries: int) -> float:
+        """Elements that so many queries would resolve, were each candidate as likely as any other."""
+        c = len(self.candidates)
+        return len(self.node) * (1.0 if c <= queries else 1 - (1 - 1 / c) ** queries)
+
+    def split(self, guess: set[int], size: int, total: int) -> tuple[Part, Part]:
+        """The guessed part, of which size and total have been asked, and the rest, whose own follow."""
+        return Part.of(guess, size, total), Part.of(self.node - guess, self.size - size, self.total - total)
+
+
 def audit(x: set[int], y: set[int], budget: int, computation: float = 1e10, rng: random.Random | None = None) -> tuple[set[int], set[int]]:
-    """(elements shown to be in y, elements shown not to be) after at most `budget` queries of (size, sum)."""
+    """(elements shown to be in y, elements shown not to be) after at most `budget` queries of (size, sum).
+
+    Of the open parts the worthiest is always looked at next: one candidate left resolves it, else its first candidate is
+    asked about. Without an open part, what is left of x is asked about, or a random part of it small enough to enumerate.
+    """
     rng = rng or random.Random(0)
     members: set[int] = set()
     others: set[int] = set()
+    parts: list[Part] = []
     left = budget
 
     def ask(node: set[int]) -> tuple[int, int]:
-        both = node & y
-        return len(both), sum(both)
+        nonlocal left
+        left -= 1
+        return len(node & y), sum(node & y)
 
-    def worth(node: set[int], candidates: list) -> float:
-        c = len(candidates)
-        return len(node) if c <= left else len(node) * (1 - (1 - 1 / c) ** left)
+    def resolve() -> None:
+        for part in [p for p in parts if len(p.candidates) == 1]:
+            parts.remove(part)
+            members.update(part.candidates[0])
+            others.update(part.node.difference(part.candidates[0]))
 
     while left > 0:
-        node = x - members - others
-        if not node:
-            break
-        size, total = ask(node)
-        left -= 1
-        if not left:
-            break
-        if size > 1 and len(node) ** (size - 1) >= computation / left:
-            n = solve_size(0, min(500, len(node) + 1), left, computation, max(1, len(node) // size))
-            node = set(rng.sample(sorted(node), max(1, n)))
+        if not parts:
+            node = x - members - others
+            if not node:
+                break
             size, total = ask(node)
-            left -= 1
-        candidates = n_sum(node, total, size)
-        order = itertools.count()
-        queue = [(-worth(node, candidates), next(order), size, total, node, candidates)]
-        while queue:
-            _, _, size, total, node, candidates = heapq.heappop(queue)
-            while len(candidates) > 1 and left > 0:
-                guess = set(candidates[0])
-                got = ask(guess)
-                left -= 1
-                parts = [(guess, *got), (node - guess, size - got[0], total - got[1])]
-                nodes = [(worth(p, c), n, t, p, c) for p, n, t in parts for c in (n_sum(p, t, n),)]
-                on = 0 if nodes[0][0] > nodes[1][0] else 1
-                off = nodes[1 - on]
-                heapq.heappush(queue, (-off[0], next(order), *off[1:]))
-                _, size, total, node, candidates = nodes[on]
-            if len(candidates) == 1 and left >= 0:
-                members.update(candidates[0])
-                others.update(node - set(candidates[0]))
+            if left and size > 1 and len(node) ** (size - 1) >= computation / left:
+                n = solve_size(0, min(500, len(node) + 1), left, computation, max(1, len(node) // size))
+                node = set(rng.sample(sorted(node), max(1, n)))
+                size, total = ask(node)
+            if len(node) ** max(size - 1, 0) >= computation:
+                break  # no query is left to make it smaller
+            parts.append(Part.of(node, size, total))
+        else:
+            best = max(parts, key=lambda p: p.worth(left))
+            parts.remove(best)
+            guess = set(best.candidates[0])
+            parts.extend(best.split(guess, *ask(guess)))
+        resolve()
     return members, others

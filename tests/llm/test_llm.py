@@ -478,6 +478,15 @@ def test_main_text(spark):
     assert right >= 55
     page = '<html><body><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>T &amp; t</h1><p>One\n two<br>three<script>var x="</p>";</script><p>Four &eacute; <b>five</article><footer>(c)</footer>'
     assert html_text.extract(model, [page, None, "", "<p></p>"]) == ["T & t\n\nOne two three\n\nFour é five", "", "", ""]
+    # pages written by hand, in other ways than the model's own, and with nothing around the text
+    blog = (
+        '<!doctype html><html><head><title>T</title></head><body><div id="wrapper"><div id="header"><a href="/">My blog</a><ul class="menu"><li><a href=1>Home</a></li></ul></div><div id="main"><div class="post"><h1>On rivers</h1>'
+        '<p>Rivers carve valleys over long spans of time, and they carry silt.</p><p>Some flow <i>under</i> ground &mdash; in caves.</p><ul><li>First kind</li><li>Second kind</li></ul></div><div id="comments"><h3>Comments</h3>'
+        '<p class="comment">Nice post, thank you for writing all of this!</p></div></div><div class="sidebar"><h3>Links</h3><a href=1>One</a></div><div id="footer">Copyright 2020</div></div></body></html>'
+    )
+    assert html_text.extract(model, [blog]) == ["On rivers\n\nRivers carve valleys over long spans of time, and they carry silt.\n\nSome flow under ground — in caves.\n\nFirst kind\n\nSecond kind"]
+    for bare in ("<html><body><h2>Note</h2><p>A short page without any frame around its text.</p><p>Second paragraph here.</p></body></html>", "<h2>Note</h2><p>A short page without any frame around its text.</p><p>Second paragraph here."):
+        assert html_text.extract(model, [bare]) == ["Note\n\nA short page without any frame around its text.\n\nSecond paragraph here."]
     rows = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (2, None, None, 6)], "page_id bigint, url string, html string, text int")
     assert [r["n_chars"] for r in html_text.main_text(rows, PAGES[:60]).orderBy("page_id").collect()][-1] == 0
 

@@ -6,8 +6,8 @@ from its features (tag, names, own text, links, place) and a parent-child potent
 labelled pages of `labelled_pages`. Sum-product messages pass from the leaves to the root and back, level by level,
 which gives each node's exact content marginal; text of a block is kept where its node's marginal is 1/2 or more.
 
-Null, empty and tag-less pages: a page without tags is one text node and judged like any other; without text the
-result is "". White space inside a block is one space, blocks are trimmed and joined by two line ends in page order.
+Null, empty and tag-less pages: a page without a body tag is the body itself, and judged like any other; without text
+the result is "". White space inside a block is one space, blocks are trimmed and joined by two line ends in page order.
 Repeated rows are treated alike; an empty table gives an empty result; extra columns are ignored. Very long pages, also
 deeply nested or full of unclosed tags, take time by their length; memory is bounded by one Arrow batch and a page's tree.
 """
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from umbra.llm.labelled_pages import PAGES
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+BODY = re.compile(r"<body\b", re.I)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -293,11 +294,17 @@ class Model:
 
 
 def label_nodes(tree: Tree, wanted: list[str]) -> np.ndarray:
-    """1 for nodes that hold wanted text, below the page's own frame; the pages' labels are texts of blocks."""
+    """1 for nodes that hold wanted text, below the page's own frame; the pages' labels are texts of blocks.
+
+    The body counts as one where wanted text stands in it or its own children, as on pages without a frame.
+    """
     keep = set(wanted)
     y = np.zeros(len(tree.nodes), dtype=int)
-    for node, text in tree.blocks:
-        while text in keep and node >= 0 and tree.nodes[node].tag not in ("", "html", "body"):
+    for own, text in tree.blocks:
+        node = own
+        while text in keep and node >= 0 and tree.nodes[node].tag not in ("", "html"):
+            if tree.nodes[node].tag == "body" and node not in (own, tree.nodes[own].parent):
+                break
             y[node] = 1
             node = tree.nodes[node].parent
     return y
@@ -327,7 +334,7 @@ def fit(pages: list[tuple[str, list[str]]], steps: int = 150, rate: float = 0.1,
 
 def extract(model: Model, pages: list[str | None]) -> list[str]:
     """Main texts of pages; their trees pass messages together."""
-    trees = [parse(p or "") for p in pages]
+    trees = [parse(p if BODY.search(p) else "<body>" + p) for p in (p or "" for p in pages)]
     own, _ = model.marginals(*forest(trees)) if trees else (np.zeros(0), None)
     out, begin = [], 0
     for tree in trees:

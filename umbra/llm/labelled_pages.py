@@ -75,4 +75,17 @@ def _page(seed: int) -> tuple[str, list[str]]:
     return page, [" ".join(k.split()) for k in kept]
 
 
-PAGES = [_page(seed) for seed in range(120)]
+def _bare(seed: int) -> tuple[str, list[str]]:
+    """A page whose text stands in its body itself, with little or nothing around."""
+    r = random.Random(-1 - seed)
+    kept = [_say(r, r.choice([2, 5])), *(_say(r, r.choice([6, 9, 20, 40])) for _ in range(r.randint(1, 5)))]
+    tag = r.choice(["h1", "h2", "p"])
+    body = (f"<{tag}>{kept[0]}</{tag}>" if r.random() < 0.7 else kept[0]) + "".join(f"<p>{k}</p>" for k in kept[1:])
+    if r.random() < 0.2:
+        kept, body = kept[:1], kept[0]
+    before = f"<nav><ul>{_links(r, 4)}</ul></nav>" if r.random() < 0.4 else ""
+    after = f"<footer><p>{_say(r, 5)}</p></footer>" if r.random() < 0.4 else ""
+    return f"<html><body>{before}{body}{after}</body></html>", kept
+
+
+PAGES = [_page(seed) for seed in range(120)] + [_bare(seed) for seed in range(24)]

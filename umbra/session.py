@@ -55,13 +55,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, light: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there (survives lost executors).
 
     A checkpointed frame keeps the size that Spark had estimated for its plan, in which each join multiplies its inputs'.
     In loops that number itself grows without bound and fills the driver, so the frame is made anew from what was written.
+    light: for frames of a few numbers a row; they are written as no more files than the cluster has cores, as on local disks
+    each file that is made starts a process beside the executor.
     """
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     written = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)

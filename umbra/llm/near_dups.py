@@ -297,22 +297,22 @@ def components(edges: DataFrame) -> DataFrame:
     what they point to. Names being scrambled, a path loses most of its ids in each round, whatever its order.
     """
     ups = []
-    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), light=True)
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")))
+        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")), light=True)
         for _ in range(2):
             up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
-        ups.append(up := cut(up))
+        ups.append(up := cut(up, light=True))
         on_a, on_b = up.select(F.col("id").alias("a"), F.col("up").alias("ua")), up.select(F.col("id").alias("b"), F.col("up").alias("ub"))
         left = left.join(on_a, "a").join(on_b, "b").where("ua <> ub")
-        left = cut(left.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        left = cut(left.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), light=True)
     if not ups:
         return left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     label = ups[0].withColumnRenamed("up", "comp")
     for up in ups[1:]:
         label = label.join(up.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
-    return cut(label)
+    return cut(label, light=True)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -346,12 +346,12 @@ def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
     for depth in range(DEPTH + 1):
         # nodes whose classes already have one lab are done
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
-        stats = cut(stats.where("lo <> hi").select("node", "size"))
+        stats = cut(stats.where("lo <> hi").select("node", "size"), light=True)
         whole = rows.join(stats.where(F.col("size") <= small).select("node"), "node", "left_semi").join(sized, "id")
         groups = whole.select(F.col("node").alias("grp"), "id", F.lit(True).alias("target"), "lab", "n", "sig")
         large = stats.where(F.col("size") > small).select("node")
         if large.isEmpty():
-            edges = cut(grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS))
+            edges = cut(grouped(groups).mapInArrow(in_groups(bundles_of), PAIRS), light=True)
             return edges if out is None else out.unionByName(edges)
         full = cut(rows.join(large, "node", "left_semi").join(sized, "id").select("node", "id", "lab", "n", "sig"))
         leaders = full.groupBy("node").agg(F.array_distinct(F.array(*by_hash)).alias("leaders"))
@@ -360,9 +360,9 @@ def plausible_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
         left = led.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("lab") != F.col("main")).alias("rest")).where("rest > 0")
         led = led.join(left, "node")
         many = F.col("rest") > (few if depth < DEPTH else float("inf"))
-        edges = cut(grouped(groups.unionByName(blocks(led.where(~many)))).mapInArrow(in_groups(bundles_of), PAIRS).unionByName(found))
+        edges = cut(grouped(groups.unionByName(blocks(led.where(~many)))).mapInArrow(in_groups(bundles_of), PAIRS).unionByName(found), light=True)
         out = edges if out is None else out.unionByName(edges)
-        rows = cut(led.where(many).select("node", "id", "lab", "sig").mapInArrow(branching(0), NODE_ROWS))
+        rows = cut(led.where(many).select("node", "id", "lab", "sig").mapInArrow(branching(0), NODE_ROWS), light=True)
         del stats, whole, groups, full, leaders, led, left
         let_go(classes)
         if rows.isEmpty():
@@ -379,13 +379,13 @@ def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle: int = BUNDLE) -> DataFrame:
     """(a, b): links of classes (id, n, doc, text_hash) within bundles (id, comp), enough to join each component."""
-    members = cut(classes.select("id", "n", "doc", "text_hash").join(label, "id"))
+    members = cut(classes.select("id", "n", "doc", "text_hash").join(label, "id"), light=True)
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(HUBS)])
-    sizes = cut(sizes.select("comp", "total", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs")))
+    sizes = cut(sizes.select("comp", "total", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs")), light=True)
     held = texts_of(documents, members.select("id", "comp", "n", "doc", "text_hash"))
     whole = held.join(sizes.where(F.col("total") <= bundle).select("comp"), "comp")
     one_group = lambda df: df.select("grp", "id", F.col("id").alias("lab"), F.lit(True).alias("target"), "text")
-    links = cut(grouped(one_group(whole.withColumnRenamed("comp", "grp"))).mapInArrow(in_groups(links_of), PAIRS))
+    links = cut(grouped(one_group(whole.withColumnRenamed("comp", "grp"))).mapInArrow(in_groups(links_of), PAIRS), light=True)
     del whole
     let_go(classes)
     parts = F.ceil(F.col("total") / bundle).cast("int")
@@ -395,7 +395,7 @@ def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle
     is_hub = F.array_contains("hubs", F.col("id"))
     own = big.withColumn("p", F.when(is_hub, F.sequence(F.lit(0), F.col("np") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "np").cast("int"))))
     dealt = own.select("id", "text", "comp", F.explode("p").alias("p")).withColumn("grp", F.xxhash64("comp", "p"))
-    first = cut(grouped(one_group(dealt)).mapInArrow(in_groups(links_of), PAIRS))
+    first = cut(grouped(one_group(dealt)).mapInArrow(in_groups(links_of), PAIRS), light=True)
     # what is outside a bundle's main component meets all of the bundle's blocks
     labels = big.drop("hubs").join(components(first).withColumnRenamed("comp", "lab"), "id", "left").withColumn("lab", F.coalesce("lab", "id"))
     labels = cut(labels)
@@ -403,7 +403,7 @@ def confirmed(documents: DataFrame, classes: DataFrame, label: DataFrame, bundle
     main = main.groupBy("comp").agg(F.max_by("lab", F.struct("c", "lab")).alias("main"), (F.sum("s") - F.max_by("s", F.struct("c", "lab"))).alias("rest")).where("rest > 0")
     sized = labels.join(main, "comp").withColumn("nt", F.ceil(F.col("rest") / bundle).cast("int"))
     rest = grouped(crossed(sized, "comp", F.col("lab") != F.col("main"), ["lab", "text"])).mapInArrow(in_groups(links_of), PAIRS)
-    return links.unionByName(first).unionByName(cut(rest))
+    return links.unionByName(first).unionByName(cut(rest, light=True))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

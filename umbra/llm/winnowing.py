@@ -133,14 +133,14 @@ def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row's (doc_id, text_hash, n_words); of each text that is hit (text_hash, at, length, window) and the benchmark's windows."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    items = cut(items.mapInArrow(item_windows(window, k), ITEMS).distinct())
+    items = cut(items.mapInArrow(item_windows(window, k), ITEMS).distinct(), light=True)
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = cut(rows.mapInArrow(scan(bit_table(items, bits), bits, lengths, window, k), FOUND))
     texts = found.where(F.size("windows") > 0).groupBy("text_hash").agg(F.first("windows").alias("windows"))
     each = texts.select("text_hash", F.explode("windows").alias("w")).select("text_hash", "w.*")
     known = items.select("window").distinct()
-    return found.select("doc_id", "text_hash", "n_words"), cut(each.join(broadcast_if_small(known, BROADCAST_ROWS), "window")), items
+    return found.select("doc_id", "text_hash", "n_words"), cut(each.join(broadcast_if_small(known, BROADCAST_ROWS), "window"), light=True), items
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, bits: int = BITS) -> DataFrame:
@@ -150,7 +150,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     spans = places.groupBy("text_hash").agg(F.collect_set("place").alias("places")).mapInArrow(merging, SPANS)
     named = items.where(F.col("item_id").isNotNull()).select("window", "item_id")
     names = hit.select("text_hash", "window").distinct().join(named, "window").groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    both = cut(spans.join(names, "text_hash", "left"))
+    both = cut(spans.join(names, "text_hash", "left"), light=True)
     none = lambda kind: F.array().cast(f"array<{kind}>")
     joined = rows.join(both, "text_hash", "left")
     return joined.select("doc_id", "n_words", F.coalesce("spans", none("int")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
@@ -158,7 +158,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def clean_rows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, bits: int = BITS) -> DataFrame:
     """The documents, with all their columns, whose texts hold no window of the benchmark."""
-    hit = cut(hits(documents, benchmark, window, k, bits)[1].select(F.col("text_hash").alias("_hit")).distinct())
+    hit = cut(hits(documents, benchmark, window, k, bits)[1].select(F.col("text_hash").alias("_hit")).distinct(), light=True)
     return documents.join(broadcast_if_small(hit, BROADCAST_ROWS), F.xxhash64("text") == F.col("_hit"), "left_anti")
 
 

@@ -139,7 +139,8 @@ def words(texts: pa.Array, word: np.ndarray, lower: bool = True, size: int = CHU
     """Words of a batch of texts, chunk by chunk."""
     for raw, offsets, first in chunks(texts, size):
         yield tokenize(raw, offsets, word, lower, first)
-    trim()
+    if texts.nbytes > size:
+        trim()
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -45,7 +45,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id. A copy is known by its id and its text."""
     copies = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_copy_id"), F.col("text_hash").alias("_copy_hash"))
-    copies = broadcast_if_small(cut(copies.distinct()), BROADCAST_ROWS)
+    copies = broadcast_if_small(cut(copies.distinct(), light=True), BROADCAST_ROWS)
     return docs.join(copies, (F.col("doc_id") == F.col("_copy_id")) & (F.xxhash64("text") == F.col("_copy_hash")), "left_anti")
 
 

@@ -28,7 +28,7 @@ from umbra.session import broadcast_if_small, cut, let_go
 #: Buckets at least, and in a pass; segments of a block.
 LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 25, 1 << 15
 #: From LARGE buckets on, counting takes SLICES passes, so that the shuffle files of one are on disk at a time.
-LARGE, SLICES = 1 << 24, 4
+LARGE, SLICES = 1 << 24, 2
 #: Distinct n-grams are counted on one of so many hashes.
 SAMPLE = 64
 #: Ratios are kept in 1 / SCALE.
@@ -180,7 +180,7 @@ def counted_slice(rows: DataFrame, buckets: int, share: float, first: int, count
     dense = F.transform(last, lambda x: F.when(low(x) == 0, F.lit(0)).otherwise(low(x) - F.lit(1 << 15)).cast("smallint"))
     out = cut(held.select("segment", dense.alias("ratios")))
     del counts, kept, packed, every, held
-    let_go(rows)
+    let_go(rows, rounds=5)
     return out
 
 

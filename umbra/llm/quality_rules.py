@@ -26,7 +26,7 @@ from umbra.llm.tables import BROADCAST_LABELS, clean_labels
 from umbra.session import broadcast_if_small, cut, let_go
 
 #: Buckets at least, and in a pass; segments of a block.
-LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 25, 1 << 15
+LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 24, 1 << 15
 #: From LARGE buckets on, counting takes SLICES passes, so that the shuffle files of one are on disk at a time.
 LARGE, SLICES = 1 << 24, 2
 #: Distinct n-grams are counted on one of so many hashes.
@@ -211,7 +211,8 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = TH
     if len(firsts) > 1:
         more = None
         for first in firsts[1:]:
-            part = sums(hashed(documents, "doc_id"), first).select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(first).alias("first"), "total")
+            # written one by one, so that one block's table is in memory at a time
+            part = cut(sums(hashed(documents, "doc_id"), first).select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(first).alias("first"), "total"))
             more = part if more is None else more.unionByName(part)
         # Repeated rows have the same text and so the same sums.
         more = more.groupBy("doc_id", "text_hash", "first").agg(F.first("total").alias("s"))

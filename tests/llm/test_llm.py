@@ -131,6 +131,24 @@ def test_quality_rules_with_many_ngrams(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(passes, key=str)
 
 
+def test_quality_rules_read_the_documents_as_often_for_more_buckets(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(7 * i + j) % 50}" for j in range(30))) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+
+    def run(least):
+        monkeypatch.setattr(quality_rules, "LEAST", least)
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(row):
+            seen.add(1)
+            return row
+
+        documents = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "doc_id bigint, text string")
+        return len(quality_rules.quality_rules(documents, labels).collect()), seen.value
+
+    assert run(1 << 24) == run(1 << 26)
+
+
 @pytest.mark.parametrize("bits", [24, 6])
 def test_decontamination(spark, documents, texts, bits):
     words_of = lambda t: ALNUM_RE.findall((t or "").translate(LOW))

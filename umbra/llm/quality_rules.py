@@ -6,10 +6,12 @@ target count over the count expected from the raw corpus, divided by their numbe
 rejected, the same for every row. An n-gram that stands once in the raw corpus tells of no other text and counts 0.
 
 There are at least as many buckets as distinct n-grams (counted on the hashes that are 0 modulo SAMPLE), so junk and
-ordinary n-grams don't mix as the corpus grows. Counting sends a row for each bucket and task through the shuffle; from
-LARGE buckets on that is done in SLICES passes. The ratios are whole multiples of 1 / SCALE, kept in segments in the checkpoint folder; a pass over the documents takes
-BLOCK buckets as a scalar subquery, and where there are more, further passes add to the sums, which are exact and so
-don't depend on the number of passes. No text is ever shuffled.
+ordinary n-grams don't mix as the corpus grows. At most 2 * SLOTS frequent n-grams are counted apart, by sums that are
+combined before the shuffle, and looked up in an array (a scalar subquery). Each occurrence of any other goes once
+through the shuffle with its row's key, to where its bucket's rows meet, and sums of ratios go back by key; from LARGE
+buckets on that is done in SLICES passes. So the number of passes over the documents doesn't grow with the buckets, no
+table of buckets is ever held, and no bucket of rare n-grams is large. The ratios are whole multiples of 1 / SCALE and
+their sums exact, whatever n-grams count as frequent. No text is ever shuffled, except to meet labels too many to broadcast.
 
 Null and empty texts have no words: counts 0, llr 0, base_failed true (fewer than 10 words), kept false. Repeated
 rows are scored alike. An empty table gives an empty result. Without trusted labels the target equals the raw
@@ -19,16 +21,18 @@ corpus, all ratios are 0 and only the base rules decide. Columns beyond doc_id a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.llm.tables import BROADCAST_LABELS, clean_labels
 from umbra.session import broadcast_if_small, cut, let_go
 
-#: Buckets at least, and in a pass; segments of a block.
-LEAST, BLOCK, SEGMENT = 1 << 15, 1 << 24, 1 << 15
-#: From LARGE buckets on, counting takes SLICES passes, so that the shuffle files of one are on disk at a time.
-LARGE, SLICES = 1 << 24, 2
+#: Buckets at least.
+LEAST = 1 << 15
+#: From LARGE buckets on, rare n-grams meet in SLICES passes, so that the shuffle files of one are on disk at a time; of TASK rows a task.
+LARGE, SLICES, TASK = 1 << 24, 4, 1 << 20
+#: Frequent n-grams are found on every DOCS-th text and those of more than LONG characters; at most two for each of SLOTS slots.
+DOCS, LONG, SLOTS = 16, 1 << 16, 1 << 19
 #: Distinct n-grams are counted on one of so many hashes.
 SAMPLE = 64
 #: Ratios are kept in 1 / SCALE.
@@ -39,13 +43,15 @@ THRESHOLD = -0.3
 SMOOTHING = 1.0
 #: Bits of a window's place beside its hash while repeats are sorted; longer texts sort both whole.
 PLACE_BITS = 24
-SPLIT = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPLIT), lambda w: w != "")
+    """Words between spaces, which a plain split finds in half the time of a pattern."""
+    for white in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(white), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def bind(value: Column, body) -> Column:
@@ -105,7 +111,7 @@ def repeated_words() -> Column:
 def hashed(documents: DataFrame, *columns: str) -> DataFrame:
     """documents' columns with words, their hashes h, and the hashes of adjacent pairs; the text of nulls is empty."""
     text = F.coalesce("text", F.lit(""))
-    split = documents.select(*columns, text.alias("text"), F.array_remove(F.split(text, SPLIT), "").alias("words"))
+    split = documents.select(*columns, text.alias("text"), words_of(text).alias("words"))
     return split.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("pairs", pair_hashes(F.col("h")))
 
 
@@ -136,89 +142,103 @@ def buckets_for(n: int) -> int:
     return max(LEAST, 1 << max(n - 1, 0).bit_length())
 
 
-def ratio_segments(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, int]:
-    """(segment, ratios: SEGMENT whole numbers by place) of every segment, and the number of buckets; None without a target."""
+def row_key() -> Column:
+    """Names a row's id and text; rows that share it have equal n-grams and labels."""
+    return F.xxhash64("doc_id", "text")
+
+
+def grams_of(documents: DataFrame, *columns: Column) -> DataFrame:
+    """A row for each n-gram of each text: its hash g, and columns of the document."""
+    named = documents.withColumn("text", F.coalesce("text", F.lit(""))).select("text", *columns)
+    others = [c for c in named.columns if c != "text"]
+    return hashed(named, *others).select(*others, F.explode(grams()).alias("g"))
+
+
+def frequent_grams(documents: DataFrame) -> DataFrame:
+    """(g, place) of n-grams that are frequent in every DOCS-th text and in very long ones, at most two a slot; place: 2 * slot, or one more.
+
+    This chooses how an n-gram is counted, never what is counted.
+    """
+    some = documents.where((F.pmod(row_key(), F.lit(DOCS)) == 0) | (F.length("text") > LONG))
+    seen = grams_of(some).groupBy("g").count().where("count > 1").withColumn("slot", F.col("g").bitwiseAND(F.lit(SLOTS - 1)))
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("count"), "g"))
+    return cut(seen.withColumn("rank", rank).where("rank <= 2").select("g", (2 * F.col("slot") + F.col("rank") - 1).alias("place")), light=True)
+
+
+def table_of(places: DataFrame, column: str, empty: Column) -> DataFrame:
+    """One row t, written: an array over the 2 * SLOTS places of places' column, or of empty where a place has no row."""
+    every = places.sparkSession.range(2 * SLOTS).withColumnRenamed("id", "place").join(F.broadcast(places), "place", "left")
+    rows = every.select(F.struct("place", F.coalesce(F.col(column), empty).alias("value")).alias("x"))
+    return cut(rows.agg(F.sort_array(F.collect_list("x")).alias("t")).select(F.col("t.value").alias("t")))
+
+
+def with_place(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with the place of g among keys, the table of frequent n-grams, or null."""
+    first = (2 * F.col("g").bitwiseAND(F.lit(SLOTS - 1))).cast("int")
+    rows = rows.withColumn("keys", keys.scalar()).withColumn("first", first)
+    held = F.when(F.get("keys", F.col("first")) == F.col("g"), F.col("first")).when(F.get("keys", F.col("first") + 1) == F.col("g"), F.col("first") + 1)
+    return rows.withColumn("place", held).drop("keys", "first")
+
+
+def ratio_sums(documents: DataFrame, labels: DataFrame, block: int | None = None) -> DataFrame | None:
+    """(key, total, n) of every text with words: the sum of its n-grams' ratios and their number, over all rows with that key; None without a target."""
     trusted = broadcast_if_small(clean_labels(labels, "quality").where("label = 1").select("doc_id", F.lit(1).alias("trusted")), BROADCAST_LABELS)
-    rows = hashed(documents.where(F.col("text").isNotNull()).join(trusted, "doc_id", "left"), "trusted").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
-    some = F.filter(grams(), lambda x: F.pmod(x, F.lit(SAMPLE)) == 0)
-    sized = rows.select("trusted", F.size("h").cast("bigint").alias("n"), F.posexplode_outer(some).alias("at", "g"))
-    once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n"))
-    n_raw, n_target, distinct = sized.agg(F.sum(once), F.sum(once * F.col("trusted")), F.count_distinct("g")).first()
-    buckets = buckets_for(SAMPLE * distinct)
+    # no n-gram of a slot equals a number that ends in other bits
+    keys = table_of(frequent_grams(documents), "g", F.shiftright("place", 1).bitwiseXOR(F.lit(1)))
+    both = documents.where(F.col("text").isNotNull()).join(trusted, "doc_id", "left")
+    rows = grams_of(both, row_key().alias("key"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    placed = with_place(rows, keys)
+    # counted whole: frequent n-grams, one hash of SAMPLE, and all others together
+    named = F.when(F.col("place").isNotNull() | (F.pmod("g", F.lit(SAMPLE)) == 0), F.col("g"))
+    counts = placed.select(named.alias("g"), "place", "trusted").groupBy("g", "place").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
+    counts = cut(counts)
+    let_go(counts)
+    distinct = F.count_if(F.pmod("g", F.lit(SAMPLE)) == 0)
+    n_raw, n_target, distinct, n_rare = counts.agg(F.sum("raw"), F.sum("target"), distinct, F.sum(F.when(F.col("place").isNull(), F.col("raw")))).first()
     if not n_target:
-        return None, buckets
+        return None
+    buckets = buckets_for(SAMPLE * distinct)
     slices = SLICES if buckets >= LARGE else 1
-    span = buckets // SEGMENT // slices
-    parts = [counted_slice(rows, buckets, n_target / n_raw, at * span, span) for at in range(slices)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every, buckets
-
-
-def counted_slice(rows: DataFrame, buckets: int, share: float, first: int, count: int) -> DataFrame:
-    """(segment, ratios) of segments first..first + count - 1, written; share: the target's part of the raw n-grams."""
-    # raw in the lower, target in the upper half of one number
-    counts = rows.select((F.lit(1) + F.col("trusted").cast("bigint") * F.lit(1 << 32)).alias("w"), F.explode(grams()).alias("g"))
-    counts = counts.select("w", F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b")).where((F.col("b") >= first * SEGMENT) & (F.col("b") < (first + count) * SEGMENT))
-    counts = counts.groupBy("b").agg(F.sum("w").alias("w"))
-    raw, target = F.col("w").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("w", 32)
-    smooth = F.lit(float(SMOOTHING))
-    ratio = F.round(SCALE * F.log((target + smooth) / (raw * F.lit(share) + smooth))).cast("int")
-    kept = counts.where(raw > 1).select("b", ratio.alias("ratio")).where("ratio <> 0")
-    # place in the upper half, ratio + 2^15 in the lower
-    packed = kept.select(
-        F.shiftright("b", SEGMENT.bit_length() - 1).alias("segment"),
-        (F.shiftleft(F.col("b").bitwiseAND(F.lit(SEGMENT - 1)).cast("int"), 16) + F.lit(1 << 15) + F.greatest(F.least("ratio", F.lit((1 << 15) - 1)), F.lit(1 - (1 << 15)))).alias("x"),
-    )
-    every = rows.sparkSession.range(first, first + count).select(F.col("id").alias("segment"), F.lit(None).cast("int").alias("x"))
-    held = packed.unionByName(every).groupBy("segment").agg(F.collect_list("x").alias("x"))
-    # Each place also stands with a lower half of 0, sorted before its ratio, which then is taken instead.
-    full = F.sort_array(F.concat("x", F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda i: F.shiftleft(i, 16))))
-    last = bind(full, lambda s: F.filter(s, lambda x, i: F.coalesce(F.shiftright(F.get(s, i + 1), 16) != F.shiftright(x, 16), F.lit(True))))
-    low = lambda x: x.bitwiseAND(F.lit((1 << 16) - 1))
-    dense = F.transform(last, lambda x: F.when(low(x) == 0, F.lit(0)).otherwise(low(x) - F.lit(1 << 15)).cast("smallint"))
-    out = cut(held.select("segment", dense.alias("ratios")))
-    del counts, kept, packed, every, held
-    let_go(rows, rounds=5)
-    return out
-
-
-def with_sum(rows: DataFrame, segments: DataFrame, buckets: int, first: int, count: int) -> DataFrame:
-    """rows with total, the sum of the ratios of their n-grams whose bucket is in segments first..first + count - 1.
-
-    Spark refuses a subquery written inside a function of lambdas; named in a projection first, it is moved there.
+    if block:
+        slices = max(slices, buckets // block)
+    bucket = F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b")
+    rare = placed.where("place IS NULL").select(bucket, F.col("key").alias("id"), F.lit(None).cast("bigint").alias("raw"), F.col("trusted").cast("bigint").alias("target"))
+    known = counts.where("place IS NOT NULL").select(bucket, F.col("place").cast("bigint").alias("id"), "raw", "target")
+    parts = 1 + (n_rare or 0) // slices // TASK
+    sums = None
+    for at in range(slices):
+        part = rare.unionByName(known).where((F.col("b") >= at * buckets // slices) & (F.col("b") < (at + 1) * buckets // slices))
+        part = cut(summed_slice(part.repartition(parts, "b"), n_target / n_raw), light=True)
+        sums = part if sums is None else sums.unionByName(part)
+        let_go(part, rounds=5)
+    ratios = table_of(sums.where("frequent").select(F.col("id").alias("place"), "total"), "total", F.lit(0).cast("bigint"))
+    every = with_place(grams_of(documents, row_key().alias("key")), keys).withColumn("ratios", ratios.scalar())
+    every = every.groupBy("key").agg(F.sum(F.coalesce(F.get("ratios", F.col("place")), F.lit(0).cast("bigint"))).alias("total"), F.count("*").alias("n"))
+    rest = sums.where("NOT frequent").select(F.col("id").alias("key"), "total", F.lit(0).cast("bigint").alias("n"))
+    return every.unionByName(rest).groupBy("key").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def summed_slice(rows: DataFrame, share: float) -> DataFrame:
+    """(frequent, id, total): sums of ratios by the rows' keys, or ratios by the frequent n-grams' places.
+
+    rows: (b, id, raw, target), one for each rare n-gram of a text (raw null, counting 1) and each frequent one with its counts.
+    share: the target's part of the raw n-grams.
     """
-    own = segments.where((F.col("segment") >= first) & (F.col("segment") < first + count))
-    table = own.agg(F.sort_array(F.collect_list(F.struct("segment", "ratios"))).alias("t")).select(F.col("t.ratios").alias("t")).scalar()
-    shift = SEGMENT.bit_length() - 1
-
-    def ratio(t: Column, x: Column) -> Column:
-        segment = F.get(t, (F.shiftright(x.bitwiseAND(F.lit(buckets - 1)), shift) - first).cast("int"))
-        return F.coalesce(F.get(segment, x.bitwiseAND(F.lit(SEGMENT - 1)).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
-
-    total = bind(F.col("table"), lambda t: F.aggregate(grams(), F.lit(0).cast("bigint"), lambda a, x: a + ratio(t, x)))
-    return rows.select("*", table.alias("table")).withColumn("total", total).drop("table")
-
-
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row."""
-    segments, buckets = ratio_segments(documents, labels)
-    firsts = [] if segments is None else list(range(0, buckets // SEGMENT, block // SEGMENT))
-    sums = lambda rows, first: with_sum(rows, segments, buckets, first, block // SEGMENT)
-    based = base_columns(documents, *[F.xxhash64("text").alias("text_hash")] * (len(firsts) > 1))
-    scored = (sums(based, 0) if firsts else based.withColumn("total", F.lit(0))).drop("h", "pairs")
-    if len(firsts) > 1:
-        more = None
-        for first in firsts[1:]:
-            # written one by one, so that one block's table is in memory at a time
-            part = cut(sums(hashed(documents, "doc_id"), first).select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(first).alias("first"), "total"))
-            more = part if more is None else more.unionByName(part)
-        # Repeated rows have the same text and so the same sums.
-        more = more.groupBy("doc_id", "text_hash", "first").agg(F.first("total").alias("s"))
-        more = more.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.sum("s").alias("s"))
-        joined = scored.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-        scored = joined.withColumn("total", F.col("total") + F.col("s")).drop("id", "hash", "s", "text_hash")
-    scored = scored.withColumn("llr", F.col("total") / F.lit(float(SCALE)) / F.greatest(2 * F.col("n_words"), F.lit(1))).drop("total")
+    own = Window.partitionBy("b")
+    raw, target = F.sum(F.coalesce("raw", F.lit(1).cast("bigint"))).over(own), F.sum("target").over(own)
+    counted = rows.select(F.col("raw").isNotNull().alias("frequent"), "id", raw.alias("r"), target.alias("t")).where("r > 1")
+    smooth = F.lit(float(SMOOTHING))
+    ratio = F.round(SCALE * F.log((F.col("t") + smooth) / (F.col("r") * F.lit(share) + smooth))).cast("bigint")
+    return counted.groupBy("frequent", "id").agg(F.sum(ratio).alias("total"))
+
+
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row; block: buckets of a slice at most."""
+    sums = ratio_sums(documents, labels, block)
+    scored = base_columns(documents, F.xxhash64("doc_id", "text").alias("key")).drop("h", "pairs")
+    if sums is None:
+        scored = scored.drop("key").withColumn("llr", F.lit(0.0))
+    else:
+        scored = scored.join(sums, "key", "left").withColumn("llr", F.coalesce(F.col("total") / F.lit(float(SCALE)) / F.col("n"), F.lit(0.0))).drop("key", "total", "n")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))

@@ -30,7 +30,7 @@ from umbra.session import broadcast_if_small, cut, let_go
 #: Buckets at least.
 LEAST = 1 << 15
 #: From LARGE buckets on, rare n-grams meet in SLICES passes, so that the shuffle files of one are on disk at a time; of TASK rows a task.
-LARGE, SLICES, TASK = 1 << 24, 4, 1 << 20
+LARGE, SLICES, TASK = 1 << 24, 2, 1 << 20
 #: Frequent n-grams are found on every DOCS-th text and those of more than LONG characters; at most two for each of SLOTS slots.
 DOCS, LONG, SLOTS = 16, 1 << 16, 1 << 19
 #: Distinct n-grams are counted on one of so many hashes.
@@ -167,7 +167,7 @@ def frequent_grams(documents: DataFrame) -> DataFrame:
 
 def table_of(places: DataFrame, column: str, empty: Column) -> DataFrame:
     """One row t, written: an array over the 2 * SLOTS places of places' column, or of empty where a place has no row."""
-    every = places.sparkSession.range(2 * SLOTS).withColumnRenamed("id", "place").join(F.broadcast(places), "place", "left")
+    every = places.sparkSession.range(2 * SLOTS).withColumnRenamed("id", "place").join(places, "place", "left")
     rows = every.select(F.struct("place", F.coalesce(F.col(column), empty).alias("value")).alias("x"))
     return cut(rows.agg(F.sort_array(F.collect_list("x")).alias("t")).select(F.col("t.value").alias("t")))
 
@@ -202,12 +202,15 @@ def ratio_sums(documents: DataFrame, labels: DataFrame, block: int | None = None
     if block:
         slices = max(slices, buckets // block)
     bucket = F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b")
-    rare = placed.where("place IS NULL").select(bucket, F.col("key").alias("id"), F.lit(None).cast("bigint").alias("raw"), F.col("trusted").cast("bigint").alias("target"))
     known = counts.where("place IS NOT NULL").select(bucket, F.col("place").cast("bigint").alias("id"), "raw", "target")
     parts = 1 + (n_rare or 0) // slices // TASK
     sums = None
     for at in range(slices):
-        part = rare.unionByName(known).where((F.col("b") >= at * buckets // slices) & (F.col("b") < (at + 1) * buckets // slices))
+        inside = lambda x: x.where((F.col("b") >= at * buckets // slices) & (F.col("b") < (at + 1) * buckets // slices))  # noqa: B023, E731
+        # the slice is left first, as looking up costs more
+        rare = with_place(inside(rows.select("key", "trusted", "g", bucket)), keys).where("place IS NULL")
+        rare = rare.select("b", F.col("key").alias("id"), F.lit(None).cast("bigint").alias("raw"), F.col("trusted").cast("bigint").alias("target"))
+        part = rare.unionByName(inside(known))
         part = cut(summed_slice(part.repartition(parts, "b"), n_target / n_raw), light=True)
         sums = part if sums is None else sums.unionByName(part)
         let_go(part, rounds=5)

@@ -149,6 +149,25 @@ def test_quality_rules_read_the_documents_as_often_for_more_buckets(spark, monke
     assert run(1 << 24) == run(1 << 26)
 
 
+def test_quality_rules_split_each_text_once_a_pass_and_write_a_slice_once(spark, monkeypatch):
+    """No filter repeats the split, hashes are compiled, and both sides of a slice's join read one shuffle."""
+    documents = spark.createDataFrame([(0, "a b\tc\rd a"), (1, None)], "doc_id bigint, text string")
+    rows = quality_rules.grams_of(documents, quality_rules.row_key().alias("id"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_remove(") == 1 and "lambda" not in plan
+    assert rows.count() == 10
+    monkeypatch.setattr(quality_rules, "ZIPPED", 3)
+    assert [r["n_repeat_words"] for r in quality_rules.base_columns(spark.createDataFrame([(0, "a b c d e " * 3)], "doc_id bigint, text string")).collect()] == [15]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rare = rows.select(F.col("g").bitwiseAND(F.lit(7)).alias("b"), "id", F.lit(None).cast("struct<raw bigint, target bigint>").alias("counts"))
+        out = quality_rules.summed_slice(rare.repartition(8, "b"), 0.5)
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 @pytest.mark.parametrize("bits", [24, 6])
 def test_decontamination(spark, documents, texts, bits):
     words_of = lambda t: ALNUM_RE.findall((t or "").translate(LOW))

@@ -41,6 +41,8 @@ SCALE = 1024
 THRESHOLD = -0.3
 #: Weight of the pseudo-counts, in counts a bucket.
 SMOOTHING = 1.0
+#: Windows of more words than this aren't made by structs.
+ZIPPED = 1 << 18
 #: Bits of a window's place beside its hash while repeats are sorted; longer texts sort both whole.
 PLACE_BITS = 24
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -48,10 +50,12 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
-    """Words between spaces, which a plain split finds in half the time of a pattern."""
-    for white in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(white), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+    """Words between spaces, which a plain split finds in half the time of a pattern; only texts that hold other white space than \\n have that replaced."""
+    usual = F.replace(text, F.lit("\n"), F.lit(" "))
+    seldom, held = usual, F.lit(False)
+    for white in "\t\x0b\x0c\r":
+        seldom, held = F.replace(seldom, F.lit(white), F.lit(" ")), held | F.contains(text, F.lit(white))
+    return F.array_remove(F.split(F.when(held, seldom).otherwise(usual), " "), "")
 
 
 def bind(value: Column, body) -> Column:
@@ -59,24 +63,17 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pair_hashes(h: Column) -> Column:
-    """Hash of each word with the next; the last word stands with a null."""
-    return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-
-
-def grams() -> Column:
-    """Hashes of a row's words and adjacent pairs; the last word's pair is its own."""
-    return F.concat("h", "pairs")
+def windows() -> Column:
+    """Hashes of a row's 5-word windows. Structs of neighbours are made and hashed in a third of the time of looking each word up; long texts need too many at once."""
+    n = F.size("words") - 4
+    of = F.arrays_zip(*(F.slice("words", F.lit(1 + j), F.greatest(n, F.lit(0))).alias(f"w{j}") for j in range(5)))
+    long = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(5))))
+    return F.when(n > ZIPPED, long).otherwise(F.transform(of, lambda w: F.xxhash64(w)))
 
 
 def repeated_words() -> Column:
-    """Number of words inside 5-word windows that stand twice or more in the text.
-
-    Few clean texts repeat even four words, so a text whose 4-word windows (`fours`) all differ has none; only the
-    others hash and sort their 5-word windows.
-    """
-    n = F.size("h")
-    fives = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(F.get("pairs", i), F.get("pairs", i + 2), F.get("h", i + 4)))
+    """Number of words inside 5-word windows that stand twice or more in the text; only texts whose windows (`fives`) don't all differ sort them."""
+    n = F.size("words")
 
     def covered(places: Column) -> Column:
         """places: sorted starts; each covers 5 words, or as many as come before the next start."""
@@ -103,31 +100,21 @@ def repeated_words() -> Column:
 
     packed = lambda h: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
     pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    repeats = bind(fives, lambda h: F.when(n <= low, bind(packed(h), lambda s: twice(h, s))).otherwise(bind(pairs(h), twice_wide)))
-    differ = F.size(F.array_distinct("fours")) == F.size("fours")
-    return F.when((n < 6) | differ, F.lit(0)).otherwise(repeats).cast("bigint")
-
-
-def hashed(documents: DataFrame, *columns: str) -> DataFrame:
-    """documents' columns with words, their hashes h, and the hashes of adjacent pairs; the text of nulls is empty."""
-    text = F.coalesce("text", F.lit(""))
-    split = documents.select(*columns, text.alias("text"), words_of(text).alias("words"))
-    return split.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("pairs", pair_hashes(F.col("h")))
+    h = F.col("fives")
+    repeats = F.when(n <= low, bind(packed(h), lambda s: twice(h, s))).otherwise(bind(pairs(h), twice_wide))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeats).cast("bigint")
 
 
 def base_columns(documents: DataFrame, *columns: Column) -> DataFrame:
-    """doc_id, the hashes h and pairs, the base counts, and columns of the text (empty for null)."""
-    fours = F.slice(F.transform("pairs", lambda x, i: F.xxhash64(x, F.get("pairs", i + 2))), F.lit(1), F.greatest(F.size("h") - 3, F.lit(0)))
+    """doc_id, the base counts, and columns of the text (empty for null)."""
+    text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     return (
-        hashed(documents, "doc_id")
-        .withColumn("fours", fours)
-        .withColumn("lines", lines)
+        documents.select("doc_id", text.alias("text"), words_of(text).alias("words"))
+        .select("*", windows().alias("fives"), lines.alias("lines"))
         .select(
             "doc_id",
-            "h",
-            "pairs",
-            F.size("h").cast("bigint").alias("n_words"),
+            F.size("words").cast("bigint").alias("n_words"),
             F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
             F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -143,15 +130,24 @@ def buckets_for(n: int) -> int:
 
 
 def row_key() -> Column:
-    """Names a row's id and text; rows that share it have equal n-grams and labels."""
-    return F.xxhash64("doc_id", "text")
+    """Names a row's id and text in 63 bits; rows that share it have equal n-grams and labels."""
+    return F.shiftright(F.xxhash64("doc_id", "text"), 1)
 
 
 def grams_of(documents: DataFrame, *columns: Column) -> DataFrame:
-    """A row for each n-gram of each text: its hash g, and columns of the document."""
-    named = documents.withColumn("text", F.coalesce("text", F.lit(""))).select("text", *columns)
-    others = [c for c in named.columns if c != "text"]
-    return hashed(named, *others).select(*others, F.explode(grams()).alias("g"))
+    """A row for each word and each adjacent pair of each text, the last word standing as a pair, too: its hash g, and columns of the document.
+
+    All of it is compiled. An outer explode, as Spark splits the texts once more to leave out empty ones before an inner one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = documents.select(words_of(text).alias("words"), *columns)
+    others = [c for c in named.columns if c != "words"]
+    each = named.select(*others, "words", F.posexplode_outer("words").alias("i", "w")).where("w IS NOT NULL")
+    after = F.get("words", F.col("i") + 1)
+    each = each.select(*others, "words", "i", F.xxhash64("w").alias("x"))
+    pair = F.when(after.isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", F.xxhash64(after)))
+    # not by unpivot, whose plans Spark doesn't know as equal, so that a shuffle read twice would be written twice
+    return each.select(*others, F.explode(F.array("x", pair)).alias("g"))
 
 
 def frequent_grams(documents: DataFrame) -> DataFrame:
@@ -202,14 +198,15 @@ def ratio_sums(documents: DataFrame, labels: DataFrame, block: int | None = None
     if block:
         slices = max(slices, buckets // block)
     bucket = F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b")
-    known = counts.where("place IS NOT NULL").select(bucket, F.col("place").cast("bigint").alias("id"), "raw", "target")
-    parts = 1 + (n_rare or 0) // slices // TASK
+    known = counts.where("place IS NOT NULL").select(bucket, F.col("place").cast("bigint").alias("id"), F.struct("raw", "target").alias("counts"))
+    # no fewer than Spark's own number, to which it would deal one side of the join again
+    parts = max(1 + (n_rare or 0) // slices // TASK, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = None
     for at in range(slices):
         inside = lambda x: x.where((F.col("b") >= at * buckets // slices) & (F.col("b") < (at + 1) * buckets // slices))  # noqa: B023, E731
         # the slice is left first, as looking up costs more
         rare = with_place(inside(rows.select("key", "trusted", "g", bucket)), keys).where("place IS NULL")
-        rare = rare.select("b", F.col("key").alias("id"), F.lit(None).cast("bigint").alias("raw"), F.col("trusted").cast("bigint").alias("target"))
+        rare = rare.select("b", F.shiftleft("key", 1).bitwiseOR(F.col("trusted").cast("bigint")).alias("id"), F.lit(None).cast("struct<raw bigint, target bigint>").alias("counts"))
         part = rare.unionByName(inside(known))
         part = cut(summed_slice(part.repartition(parts, "b"), n_target / n_raw), light=True)
         sums = part if sums is None else sums.unionByName(part)
@@ -217,28 +214,29 @@ def ratio_sums(documents: DataFrame, labels: DataFrame, block: int | None = None
     ratios = table_of(sums.where("frequent").select(F.col("id").alias("place"), "total"), "total", F.lit(0).cast("bigint"))
     every = with_place(grams_of(documents, row_key().alias("key")), keys).withColumn("ratios", ratios.scalar())
     every = every.groupBy("key").agg(F.sum(F.coalesce(F.get("ratios", F.col("place")), F.lit(0).cast("bigint"))).alias("total"), F.count("*").alias("n"))
-    rest = sums.where("NOT frequent").select(F.col("id").alias("key"), "total", F.lit(0).cast("bigint").alias("n"))
+    rest = sums.where("NOT frequent").select(F.shiftright("id", 1).alias("key"), "total", F.lit(0).cast("bigint").alias("n"))
     return every.unionByName(rest).groupBy("key").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def summed_slice(rows: DataFrame, share: float) -> DataFrame:
-    """(frequent, id, total): sums of ratios by the rows' keys, or ratios by the frequent n-grams' places.
+    """(frequent, id, total): sums of ratios by the rows' ids, or ratios by the frequent n-grams' places.
 
-    rows: (b, id, raw, target), one for each rare n-gram of a text (raw null, counting 1) and each frequent one with its counts.
-    share: the target's part of the raw n-grams.
+    rows: (b, id, counts), dealt by b: one for each rare n-gram of a text (counts null; id: twice its key, and 1 if trusted) and each frequent one with its counts.
+    share: the target's part of the raw n-grams. Both sides of the join read all columns and so the same shuffle, without sorting it.
     """
-    own = Window.partitionBy("b")
-    raw, target = F.sum(F.coalesce("raw", F.lit(1).cast("bigint"))).over(own), F.sum("target").over(own)
-    counted = rows.select(F.col("raw").isNotNull().alias("frequent"), "id", raw.alias("r"), target.alias("t")).where("r > 1")
+    one = F.lit(1).cast("bigint")
+    raw, target = F.coalesce("counts.raw", one), F.coalesce("counts.target", F.col("id").bitwiseAND(one))
+    counted = rows.groupBy("b").agg(F.sum(raw).alias("r"), F.sum(target).alias("t")).where("r > 1")
     smooth = F.lit(float(SMOOTHING))
     ratio = F.round(SCALE * F.log((F.col("t") + smooth) / (F.col("r") * F.lit(share) + smooth))).cast("bigint")
-    return counted.groupBy("frequent", "id").agg(F.sum(ratio).alias("total"))
+    ratios = counted.select("b", ratio.alias("ratio")).hint("shuffle_hash")
+    return rows.join(ratios, "b").groupBy(F.col("counts").isNotNull().alias("frequent"), "id").agg(F.sum("ratio").alias("total"))
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row; block: buckets of a slice at most."""
     sums = ratio_sums(documents, labels, block)
-    scored = base_columns(documents, F.xxhash64("doc_id", "text").alias("key")).drop("h", "pairs")
+    scored = base_columns(documents, row_key().alias("key"))
     if sums is None:
         scored = scored.drop("key").withColumn("llr", F.lit(0.0))
     else:
